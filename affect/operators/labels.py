@@ -142,7 +142,7 @@ def one_hot(df: DataFrame, vocab: list[str], text_col: str = "utterance",
     for e in vocab:
         hits = F.filter(F.col("__slots"), lambda x: x["k"] == F.lit(e))
         cols.append(F.when(F.size(hits) > 0, 1).otherwise(0).alias(f"emotion__{e}"))
-        cols.append(F.coalesce(F.element_at(hits, -1)["v"], F.lit(0)).alias(f"intensity__{e}"))
+        cols.append(F.coalesce(F.try_element_at(hits, F.lit(-1))["v"], F.lit(0)).alias(f"intensity__{e}"))
     cols += [F.col(c) for c in passthrough if c in df.columns]
     return df.select(*cols)
 

@@ -15,9 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affect.functions.clean import finite, normalize_label, py_strip, to_num
+from affect.functions.frames import stack_rows
 from affect.operators.labels import SLOTS, with_emotions
 
-_ALL = Window.partitionBy()
+
+def _all():
+    """Global window; only ever used on small aggregated results."""
+    return Window.partitionBy()
 
 
 def _pct(count_col, total_col, digits: int = 2):
@@ -29,7 +33,7 @@ def _with_marker_total(exploded: DataFrame, key: str, count_name: str) -> DataFr
     row (key null).  The marker group's count is the row total N, so the
     percentage needs no second scan and no join."""
     agg = exploded.groupBy(key).agg(F.count(F.lit(1)).alias(count_name))
-    return (agg.withColumn("__n", F.max(F.when(F.col(key).isNull(), F.col(count_name))).over(_ALL))
+    return (agg.withColumn("__n", F.max(F.when(F.col(key).isNull(), F.col(count_name))).over(_all()))
                .where(F.col(key).isNotNull()))
 
 
@@ -38,7 +42,7 @@ def num_emotions_table(df: DataFrame) -> DataFrame:
     """A1: histogram of emotions per utterance with % of N."""
     e = df if "num_emotions" in df.columns else with_emotions(df)
     agg = e.groupBy("num_emotions").agg(F.count(F.lit(1)).alias("count"))
-    return (agg.withColumn("percentage", F.bround(F.col("count") / F.sum("count").over(_ALL) * 100, 2))
+    return (agg.withColumn("percentage", F.bround(F.col("count") / F.sum("count").over(_all()) * 100, 2))
                .orderBy("num_emotions"))
 
 
@@ -194,7 +198,7 @@ def balance_report(df: DataFrame, keep_null_label: bool = False) -> DataFrame:
     g = (df.select(label.alias("emotion1"), to_num("intensity1").alias("intensity1"))
            .where(F.col("emotion1").isNotNull() & F.col("intensity1").isNotNull())
            .groupBy("emotion1", "intensity1").agg(F.count(F.lit(1)).alias("count")))
-    return (g.withColumn("needed_to_balance", F.max("count").over(_ALL) - F.col("count"))
+    return (g.withColumn("needed_to_balance", F.max("count").over(_all()) - F.col("count"))
              .orderBy(F.desc("count"), "emotion1", "intensity1"))
 
 
@@ -237,9 +241,9 @@ def avg_intensity(parsed: DataFrame, vocab: list[str], prefix: str = "int__") ->
     per = [F.avg(F.col(f"{prefix}{e}")).alias(e) for e in vocab]
     a = parsed.agg(*per, F.sum(F.aggregate(nz, F.lit(0).cast("bigint"), lambda s, x: s + x)).alias("__s"),
                    F.sum(F.size(nz)).alias("__c"))
-    rows = a.select(F.inline(F.array(*[
-        F.struct(F.lit(e).alias("emotion"), F.col(e).cast("double").alias("avg_intensity")) for e in vocab]
-        + [F.struct(F.lit("__overall__"), F.coalesce(F.col("__s") / F.col("__c"), F.lit(0.0)))])))
+    rows = a.select(stack_rows(["emotion", "avg_intensity"],
+                               [(e, F.col(e).cast("double")) for e in vocab]
+                               + [("__overall__", F.coalesce(F.col("__s") / F.col("__c"), F.lit(0.0)))]))
     return rows.select("emotion", F.round("avg_intensity", 6).alias("avg_intensity"))
 
 
@@ -268,17 +272,13 @@ def profile(df: DataFrame, numeric: list[str] | None = None) -> DataFrame:
                  F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q__{c}"),
                  F.max(x).alias(f"max__{c}")]
     a = df.agg(*aggs)
-    structs = [F.struct(F.lit("__table__").alias("column"), F.lit("rows").alias("statistic"),
-                        F.col("__rows").cast("double").alias("value")),
-               F.struct(F.lit("__table__"), F.lit("columns"), F.lit(float(len(df.columns))))]
-    structs += [F.struct(F.lit(c), F.lit("nulls"), F.col(f"null__{c}").cast("double")) for c in df.columns]
+    rows = [("__table__", "rows", F.col("__rows").cast("double")),
+            ("__table__", "columns", float(len(df.columns)))]
+    rows += [(c, "nulls", F.col(f"null__{c}").cast("double")) for c in df.columns]
     for c in numeric:
-        structs += [F.struct(F.lit(c), F.lit("count"), F.col(f"count__{c}").cast("double")),
-                    F.struct(F.lit(c), F.lit("mean"), F.col(f"mean__{c}")),
-                    F.struct(F.lit(c), F.lit("std"), F.col(f"std__{c}")),
-                    F.struct(F.lit(c), F.lit("min"), F.col(f"min__{c}")),
-                    F.struct(F.lit(c), F.lit("25%"), F.get(F.col(f"q__{c}"), 0)),
-                    F.struct(F.lit(c), F.lit("50%"), F.get(F.col(f"q__{c}"), 1)),
-                    F.struct(F.lit(c), F.lit("75%"), F.get(F.col(f"q__{c}"), 2)),
-                    F.struct(F.lit(c), F.lit("max"), F.col(f"max__{c}"))]
-    return a.select(F.inline(F.array(*structs))).select("column", "statistic", F.round("value", 6).alias("value"))
+        rows += [(c, "count", F.col(f"count__{c}").cast("double")), (c, "mean", F.col(f"mean__{c}")),
+                 (c, "std", F.col(f"std__{c}")), (c, "min", F.col(f"min__{c}")),
+                 (c, "25%", F.get(F.col(f"q__{c}"), 0)), (c, "50%", F.get(F.col(f"q__{c}"), 1)),
+                 (c, "75%", F.get(F.col(f"q__{c}"), 2)), (c, "max", F.col(f"max__{c}"))]
+    return a.select(stack_rows(["column", "statistic", "value"], rows)).select(
+        "column", "statistic", F.round("value", 6).alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["affect.plans.q_profile"]
+_MODULES = ["affect.plans.q_profile", "affect.plans.q_prepare"]
 
 
 def _load():
