@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["affect.plans.q_profile", "affect.plans.q_prepare", "affect.plans.q_evaluate"]
+_MODULES = ["affect.plans.q_profile", "affect.plans.q_prepare", "affect.plans.q_evaluate", "affect.plans.q_study"]
 
 
 def _load():
