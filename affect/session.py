@@ -61,3 +61,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="affect-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir() or local
+
+
+def materialize(df, eager: bool = True):
+    """Cut the lineage of a small intermediate result (style tables, plans)
+    with a reliable checkpoint into the shared checkpoint folder, so that
+    downstream plans stay small and a lost executor never forces the
+    upstream pipeline to be recomputed."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
