@@ -217,17 +217,17 @@ def sentiment_long(pred: DataFrame) -> DataFrame:
                        F.col("sentiment_pred").alias("y_pred"))
 
 
-def emotion_long(pred: DataFrame, names: list[str]) -> DataFrame:
-    """(emotion, y_true, y_pred) from ``emotion__<e>_label/_pred`` columns."""
-    return pred.select(stack_rows(["emotion", "y_true", "y_pred"],
+def emotion_long(pred: DataFrame, names: list[str], keep=()) -> DataFrame:
+    """(keep..., emotion, y_true, y_pred) from ``emotion__<e>_label/_pred``."""
+    return pred.select(*keep, stack_rows(["emotion", "y_true", "y_pred"],
                                   [(e, F.col(f"emotion__{e}_label"), F.col(f"emotion__{e}_pred")) for e in names]))
 
 
-def intensity_long(pred: DataFrame, names: list[str], zero_based: bool = True) -> DataFrame:
-    """(emotion, y_true, y_pred) for intensities; the predictions table uses
-    1..3, evaluation 0..2 (``zero_based`` subtracts one)."""
+def intensity_long(pred: DataFrame, names: list[str], zero_based: bool = True, keep=()) -> DataFrame:
+    """(keep..., emotion, y_true, y_pred) for intensities; the predictions
+    table uses 1..3, evaluation 0..2 (``zero_based`` subtracts one)."""
     off = 1 if zero_based else 0
-    return pred.select(stack_rows(["emotion", "y_true", "y_pred"],
+    return pred.select(*keep, stack_rows(["emotion", "y_true", "y_pred"],
                                   [(e, F.col(f"intensity__{e}_label") - off, F.col(f"intensity__{e}_pred") - off)
                                    for e in names]))
 
@@ -386,9 +386,13 @@ def run_summary(epochs: DataFrame, patience: int = 2, keys=("run_id",)) -> DataF
 
 # ---------------------------------------------------------------- M18 / M19
 def mean_weighted_f1(parsed: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Mean of the parsed per-emotion weighted F1 values (4 dp)."""
-    return parsed.groupBy(*(by or [])).agg(F.round(F.avg("f1"), 4).alias("mean_weighted_f1"),
-                                          F.count(F.lit(1)).alias("n_reports"))
+    """Mean of the parsed per-emotion weighted F1 values (4 dp).  The
+    parsed values have 4 decimals, so they are summed exactly as integers
+    (ten-thousandths) — the mean does not depend on summation order."""
+    ticks = F.round(F.col("f1") * 10000).cast("long")
+    return parsed.groupBy(*(by or [])).agg(
+        F.round(F.sum(ticks) / F.count(F.lit(1)) / 10000.0, 4).alias("mean_weighted_f1"),
+        F.count(F.lit(1)).alias("n_reports"))
 
 
 def weighted_f1(df: DataFrame, f1: str = "f1_score", support: str = "support",

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["affect.plans.q_profile", "affect.plans.q_prepare", "affect.plans.q_evaluate", "affect.plans.q_study", "affect.plans.q_text", "affect.plans.q_adapt"]
+_MODULES = ["affect.plans.q_profile", "affect.plans.q_prepare", "affect.plans.q_evaluate", "affect.plans.q_study", "affect.plans.q_text", "affect.plans.q_adapt", "affect.plans.q_sources"]
 
 
 def _load():
