@@ -187,3 +187,18 @@ for _c in _NUM:
                   f"round(unnest([CAST(count({_x}) AS DOUBLE), avg({_x}), stddev_samp({_x}), min({_x}), "
                   f"quantile_cont({_x}, 0.25), quantile_cont({_x}, 0.5), quantile_cont({_x}, 0.75), max({_x})]), 6) FROM results")
 O["a18_profile"] = _RS + "SELECT \"column\", statistic, round(value, 6) AS value FROM (" + " UNION ALL ".join(f"({x})" for x in _parts) + ")"
+
+
+# ---------------------------------------------------------------- M21 (rows-only: iterative training)
+def _m21(spark, sf):
+    from affect.operators import baseline as BL
+    from affect.operators import evaluate as E
+    split = M.stratified_split(_loaded(spark, sf), by="sentiment_code", id_col="doc_id", frac=0.2, seed=42).persist()
+    train = split.where(F.col("split") == "train")
+    test = split.where(F.col("split") == "test")
+    models = BL.fit_baseline(train, NAMES, max_iter=10, num_features=1 << 14)
+    sc = BL.score(models, test, NAMES, "doc_id")
+    return E.predictions_table(sc, NAMES, id_col="doc_id")
+
+
+Q["m21_baseline_predictions"] = _m21
