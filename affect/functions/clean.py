@@ -65,8 +65,10 @@ def finite(col) -> Column:
 
 
 def py_int(col) -> Column:
-    """``int(float(v))`` for a finite double, clamped to a safe int range."""
-    return F.least(F.greatest(_c(col), F.lit(-1e9)), F.lit(1e9)).cast("int")
+    """``int(float(v))`` for a finite double, clamped to a safe int range
+    (null stays null: Spark's least/greatest skip nulls)."""
+    c = _c(col)
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(-1e9)), F.lit(1e9)).cast("int"))
 
 
 def sentiment_code(col) -> Column:
@@ -77,7 +79,7 @@ def sentiment_code(col) -> Column:
         .when(key.isin("neu", "neutral", "1"), F.lit(1)) \
         .when(key.isin("pos", "positive", "2"), F.lit(2))
     num = py_int(finite(key))
-    clamped = F.least(F.greatest(num, F.lit(0)), F.lit(2))
+    clamped = F.when(num.isNotNull(), F.least(F.greatest(num, F.lit(0)), F.lit(2)))
     return F.coalesce(mapped, clamped, F.lit(1)).cast("int")
 
 

@@ -180,7 +180,8 @@ def class_metrics(counts: DataFrame) -> DataFrame:
 
 
 def classification_report(long: DataFrame, keys: list[str], classes: list | None = None,
-                          names: dict | None = None, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
+                          names: dict | None = None, y_true: str = "y_true", y_pred: str = "y_pred",
+                          keep_order: bool = False) -> DataFrame:
     """M9: per class precision/recall/f1/support plus accuracy, macro avg and
     weighted avg rows, per ``keys`` group.  Rows: (keys, pos, label,
     precision, recall, f1, support); the accuracy row carries only f1."""
@@ -191,7 +192,9 @@ def classification_report(long: DataFrame, keys: list[str], classes: list | None
     if names:
         mapping = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
         name = F.coalesce(F.element_at(mapping, F.col("cls")), name)
-    rows = m.select(*keys, F.lit(1).alias("pos"), F.col("cls").cast("string").alias("__ord"), name.alias("label"),
+    numeric = dict(cells.dtypes).get("y_true", "string") != "string"
+    order = F.lpad(F.col("cls").cast("string"), 20, "0") if numeric else F.col("cls").cast("string")
+    rows = m.select(*keys, F.lit(1).alias("pos"), order.alias("__ord"), name.alias("label"),
                     "precision", "recall", "f1", "support")
     g = m.groupBy(*keys).agg(
         F.sum("support").alias("n"), F.sum("tp").alias("tp"),
@@ -208,7 +211,8 @@ def classification_report(long: DataFrame, keys: list[str], classes: list | None
     wei = g.select(*keys, F.lit(4).alias("pos"), F.lit("").alias("__ord"), F.lit("weighted avg").alias("label"),
                    _ratio(F.col("wp"), F.col("n")).alias("precision"), _ratio(F.col("wr"), F.col("n")).alias("recall"),
                    _ratio(F.col("wf"), F.col("n")).alias("f1"), F.col("n").alias("support"))
-    return rows.unionByName(acc).unionByName(mac).unionByName(wei).orderBy(*keys, "pos", "__ord").drop("__ord")
+    out = rows.unionByName(acc).unionByName(mac).unionByName(wei).orderBy(*keys, "pos", "__ord")
+    return out if keep_order else out.drop("__ord")
 
 
 # ---------------------------------------------------------------- wide -> long

@@ -52,7 +52,7 @@ def sentiment_code(x: str) -> str:
     num = py_int(finite(k))
     return (f"CAST(coalesce(CASE WHEN {k} IN ('neg','negative','0') THEN 0 "
             f"WHEN {k} IN ('neu','neutral','1') THEN 1 WHEN {k} IN ('pos','positive','2') THEN 2 END, "
-            f"least(greatest({num}, 0), 2), 1) AS INTEGER)")
+            f"CASE WHEN {num} IS NOT NULL THEN least(greatest({num}, 0), 2) END, 1) AS INTEGER)")
 
 
 def to_flag(x: str, name: str) -> str:

@@ -32,8 +32,9 @@ def report_lines(rep: DataFrame, keys: list[str]) -> DataFrame:
         .otherwise(F.concat(F.lpad("label", F.col("__w"), " "), F.lit(" "), F.lit(" "), _num(F.col("precision")),
                             F.lit(" "), _num(F.col("recall")), F.lit(" "), _num(F.col("f1")), F.lit(" "),
                             F.lpad(F.col("support").cast("string"), 9, " ")))
+    within = F.col("__ord") if "__ord" in rep.columns else F.col("label")
     r = r.withColumn("__line", line).withColumn("__ord", F.row_number().over(
-        Window.partitionBy(*keys).orderBy("pos", F.col("label").asc())))
+        Window.partitionBy(*keys).orderBy("pos", within)))
     header = F.concat(F.lpad(F.lit(""), F.col("__w"), " "), F.lit(" "),
                       *[F.lpad(F.lit(h), 10, " ") for h in HEADERS])
     g = r.groupBy(*keys).agg(F.first(header).alias("__h"),
