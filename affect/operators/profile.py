@@ -259,7 +259,13 @@ def presence_rates(parsed: DataFrame, vocab: list[str], prefix: str = "em__") ->
 def profile(df: DataFrame, numeric: list[str] | None = None) -> DataFrame:
     """Long-form table profile — row/column counts, nulls per column and
     ``describe`` statistics (count, mean, std, min, exact quartiles with
-    linear interpolation, max) per numeric column.  One aggregation pass."""
+    linear interpolation, max) per numeric column.
+
+    Moments come from one aggregation pass.  Quartiles are exact: the numeric
+    columns are unpivoted to (column, value) and ranked over each column's
+    histogram of distinct values (a spill-capable sort per column), so no
+    aggregation buffer ever holds a column's values."""
+    from affect.operators.study import exact_quantiles
     numeric = numeric if numeric is not None else [
         f.name for f in df.schema.fields
         if f.dataType.typeName() in ("integer", "long", "double", "float", "short", "decimal")]
@@ -268,17 +274,19 @@ def profile(df: DataFrame, numeric: list[str] | None = None) -> DataFrame:
     for c in numeric:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"count__{c}"), F.avg(x).alias(f"mean__{c}"),
-                 F.stddev_samp(x).alias(f"std__{c}"), F.min(x).alias(f"min__{c}"),
-                 F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q__{c}"),
-                 F.max(x).alias(f"max__{c}")]
+                 F.stddev_samp(x).alias(f"std__{c}"), F.min(x).alias(f"min__{c}"), F.max(x).alias(f"max__{c}")]
     a = df.agg(*aggs)
     rows = [("__table__", "rows", F.col("__rows").cast("double")),
             ("__table__", "columns", float(len(df.columns)))]
     rows += [(c, "nulls", F.col(f"null__{c}").cast("double")) for c in df.columns]
     for c in numeric:
         rows += [(c, "count", F.col(f"count__{c}").cast("double")), (c, "mean", F.col(f"mean__{c}")),
-                 (c, "std", F.col(f"std__{c}")), (c, "min", F.col(f"min__{c}")),
-                 (c, "25%", F.get(F.col(f"q__{c}"), 0)), (c, "50%", F.get(F.col(f"q__{c}"), 1)),
-                 (c, "75%", F.get(F.col(f"q__{c}"), 2)), (c, "max", F.col(f"max__{c}"))]
-    return a.select(stack_rows(["column", "statistic", "value"], rows)).select(
-        "column", "statistic", F.round("value", 6).alias("value"))
+                 (c, "std", F.col(f"std__{c}")), (c, "min", F.col(f"min__{c}")), (c, "max", F.col(f"max__{c}"))]
+    moments = a.select(stack_rows(["column", "statistic", "value"], rows))
+    if numeric:
+        long = df.select(stack_rows(["column", "value"], [(c, F.col(c).cast("double")) for c in numeric]))
+        q = exact_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75])
+        q = q.select("column", F.concat((F.col("p") * 100).cast("int").cast("string"), F.lit("%")).alias("statistic"),
+                     F.col("q").alias("value"))
+        moments = moments.unionByName(q)
+    return moments.select("column", "statistic", F.round("value", 6).alias("value"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,18 +61,24 @@ def ascii_tokens(text: Column) -> Column:
     return F.filter(runs, lambda t: t.rlike(ASCII_WORD))
 
 
-def terms(tokens: Column, stop_words: list[str] | None, ngram_max: int = 1) -> Column:
-    """Stop words removed, then 1..ngram_max grams joined by a space."""
+def with_terms(df: DataFrame, tokens: Column, stop_words: list[str] | None, ngram_max: int = 1,
+               out: str = "terms") -> DataFrame:
+    """Adds ``out``: tokens without stop words, then their 1..ngram_max grams
+    joined by a space.  The filtered token array is materialised as a column
+    first, so the n-gram lambda reads it instead of re-tokenising per
+    element."""
     toks = tokens
     if stop_words:
         # IN-list over > 10 literals is planned as a hash-set lookup (InSet)
         toks = F.filter(tokens, lambda t: ~t.isin(*stop_words))
-    out = toks
+    d = df.withColumn("__tok", toks)
+    t = F.col("__tok")
+    res = t
     for n in range(2, ngram_max + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1),
-                            lambda i: F.array_join(F.slice(toks, i, n), " "))
-        out = F.concat(out, F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>")))
-    return out
+        grams = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1),
+                            lambda i: F.array_join(F.slice(t, i, n), " "))
+        res = F.concat(res, F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>")))
+    return d.withColumn(out, res).drop("__tok")
 
 
 # ---------------------------------------------------------------- T6 core
@@ -79,7 +86,13 @@ def tfidf_scores(docs: DataFrame, keys: list[str], doc_id: list[str], term_col:
                  min_df: int = 2, max_features: int | None = 50) -> DataFrame:
     """Mean L2-normalised TF-IDF score per (keys, term) over the group's
     documents.  ``docs`` holds one row per document with an array of terms.
-    Returns (keys, term, score)."""
+    Returns (keys, term, score).
+
+    The tokenised documents are persisted (memory, spilling to disk): the
+    document counts and the term frequencies both derive from them, so the
+    source is scanned and tokenised once; executor loss recomputes the lost
+    blocks from lineage."""
+    docs = docs.select(*keys, *doc_id, term_col).persist(StorageLevel.MEMORY_AND_DISK)
     n_docs = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     tok = docs.select(*keys, *doc_id, F.explode(term_col).alias("term"))
     tf = tok.groupBy(*keys, *doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -190,7 +203,7 @@ def tfidf_keywords(docs: DataFrame, keys=GROUP_KEY, top_n: int = 20, ngram_max:
     """Per-group TF-IDF keywords (see module doc); groups whose
     vocabulary is empty get no row (callers coalesce to [])."""
     sw = english_stop_words() if stop_words is None else stop_words
-    d = docs.select(*keys, *id_cols, terms(word_tokens(F.col("text")), sw, ngram_max).alias("terms"))
+    d = with_terms(docs.select(*keys, *id_cols, "text"), word_tokens(F.col("text")), sw, ngram_max).drop("text")
     sc = tfidf_scores(d, list(keys), list(id_cols), min_df=min_df, max_features=max_features)
     return top_terms(sc, list(keys), top_n)
 
