@@ -130,71 +130,116 @@ def _choice(arr: Column, u: Column) -> Column:
     return F.element_at(arr, (F.floor(u * F.size(arr)) + 1).cast("int"))
 
 
-def rewrite_rules(df, text, keywords, starters, intensifiers, avg_length, mean_intensity,
-                  row_id, seed: int = 42, out: str = "rewritten"):
-    """Rule-based rewrite (D8a-D8g) with seeded draws per (row, step).
+def words_of(col) -> Column:
+    """Whitespace tokens (``str.split()``)."""
+    return _words(_c(col))
 
-    Works on a DataFrame and materialises every step as a column, so later
-    steps reference earlier ones by name (no exponential expression trees).
-    Adds ``out``; helper columns are dropped."""
-    u = lambda step: uniform(seed, row_id, step)
-    empty = F.array().cast("array<string>")
-    d = df.withColumn("__t0", _c(text))
-    d = d.withColumn("__kw", F.coalesce(_c(keywords), empty)) \
-         .withColumn("__st", F.coalesce(_c(starters), empty)) \
-         .withColumn("__in", F.coalesce(_c(intensifiers), empty))
-    d = d.withColumn("__nothing", (F.size("__kw") == 0) & (F.size("__st") == 0) & (F.size("__in") == 0))
-    nothing = F.col("__nothing")
-    d = d.withColumn("__in", F.when(nothing, F.array(*[F.lit(w) for w in FALLBACK_INTENSIFIERS])).otherwise(F.col("__in"))) \
-         .withColumn("__st", F.when(nothing, F.array(*[F.lit(w) for w in FALLBACK_STARTERS])).otherwise(F.col("__st"))) \
-         .withColumn("__kw", F.filter("__kw", lambda k: ~F.lower(k).isin(*META_WORDS)))    # D8g + meta words
+
+def intensity_prob(mean_intensity) -> Column:
+    """Insertion probability by the rounded mean bundle intensity."""
     r = F.bround(_c(mean_intensity), 0).cast("int")
-    prob = F.coalesce(F.element_at(F.create_map(*[x for k, v in INTENSITY_PROB.items()
+    return F.coalesce(F.element_at(F.create_map(*[x for k, v in INTENSITY_PROB.items()
                                                   for x in (F.lit(k), F.lit(v))]), r), F.lit(0.4))
-    # D8a insert an intensifier after the first linking verb (not the last word), else at a random inner position
-    d = d.withColumn("__w0", _words(F.col("__t0"))).withColumn("__p", prob)
-    n0 = F.size("__w0")
-    flags = F.transform("__w0", lambda w, i: F.lower(w).isin(*LINKING_VERBS) & (i < n0 - 1))
-    d = d.withColumn("__hit", F.array_position(flags, F.lit(True))) \
-         .withColumn("__ins", _choice(F.col("__in"), u("int_choice")))
-    rand_pos = (F.floor(u("int_pos") * (n0 - 1)) + 1).cast("int")       # randint(1, n-1), 0-based
-    d = d.withColumn("__w1", F.when((F.size("__in") > 0) & (u("int_p") < F.col("__p")),
-                                    F.when(F.col("__hit") > 0, F.array_insert("__w0", (F.col("__hit") + 1).cast("int"), F.col("__ins")))
-                                     .when(n0 > 2, F.array_insert("__w0", rand_pos + 1, F.col("__ins"))).otherwise(F.col("__w0")))
-                     .otherwise(F.col("__w0")))
-    # D8b insert up to min(max(1, n//12), 2) keywords not yet present, at random positions
-    d = d.withColumn("__t1", F.lower(F.array_join("__w1", " ")))
-    d = d.withColumn("__avail", F.filter("__kw", lambda k: ~F.col("__t1").contains(F.lower(k))))
+
+
+def step_insert_intensifier(df, words: str, intensifiers: str, prob, row_id, seed: int, out: str):
+    """With probability ``prob`` insert a drawn intensifier after the
+    first linking verb that is not the last word, else (more than two words)
+    at a random position 1..n-1."""
+    u = lambda step: uniform(seed, row_id, step)
+    w = F.col(words)
+    n = F.size(w)
+    d = df.withColumn("__hit", F.array_position(
+        F.transform(w, lambda x, i: F.lower(x).isin(*LINKING_VERBS) & (i < n - 1)), F.lit(True)))
+    d = d.withColumn("__ins", _choice(F.col(intensifiers), u("int_choice")))
+    rand_pos = (F.floor(u("int_pos") * (n - 1)) + 1).cast("int")
+    d = d.withColumn(out, F.when((F.size(intensifiers) > 0) & (u("int_p") < _c(prob)),
+                                 F.when(F.col("__hit") > 0, F.array_insert(w, (F.col("__hit") + 1).cast("int"), F.col("__ins")))
+                                  .when(n > 2, F.array_insert(w, rand_pos + 1, F.col("__ins"))).otherwise(w))
+                     .otherwise(w))
+    return d.drop("__hit", "__ins")
+
+
+def step_insert_keywords(df, words: str, keywords: str, row_id, seed: int, out: str):
+    """Insert min(max(1, n//12), 2) drawn keywords that the text does not
+    contain yet, each at a random position."""
+    d = df.withColumn("__t1", F.lower(F.array_join(words, " ")))
+    d = d.withColumn("__avail", F.filter(keywords, lambda k: ~F.col("__t1").contains(F.lower(k))))
     d = d.withColumn("__ranked", F.array_sort(F.transform("__avail", lambda k: F.struct(
         uniform(seed, F.concat_ws(":", _c(row_id).cast("string"), k), "kw_pick").alias("d"), k.alias("k")))))
-    m = F.least(F.greatest(F.lit(1), (F.size("__w1") / 12).cast("int")), F.lit(2))
+    m = F.least(F.greatest(F.lit(1), (F.size(words) / 12).cast("int")), F.lit(2))
     d = d.withColumn("__chosen", F.transform(F.slice("__ranked", 1, F.least(F.size("__ranked"), m)), lambda s, j: F.struct(
         s["k"].alias("k"), uniform(seed, F.concat_ws(":", _c(row_id).cast("string"), j.cast("string")), "kw_pos").alias("u"))))
-    d = d.withColumn("__w2", F.when(F.size("__kw") > 0, F.aggregate("__chosen", F.col("__w1"), lambda acc, s: F.array_insert(
-        acc, (F.floor(s["u"] * (F.size(acc) + 1)) + 1).cast("int"), s["k"]))).otherwise(F.col("__w1")))
-    # D8c with p = .25 replace the first word by a capitalised alphanumeric starter
-    d = d.withColumn("__stc", _choice(F.filter("__st", lambda x: ~x.isin("*", "[", "]")), u("start_choice")))
-    d = d.withColumn("__w3", F.when((F.size("__st") > 0) & (u("start_p") < 0.25) & (F.size("__w2") > 0)
-                                    & F.col("__stc").rlike(r"^[\p{L}\p{N}]+$"),
-                                    F.concat(F.array(F.initcap("__stc")),
-                                             F.slice("__w2", 2, F.greatest(F.size("__w2") - 1, F.lit(0)))))
-                     .otherwise(F.col("__w2")))
-    # D8d fit the length to the pattern's average
-    d = d.withColumn("__tl", F.coalesce(_c(avg_length), F.lit(50.0)).cast("int")) \
-         .withColumn("__t3", F.array_join("__w3", " ")).withColumn("__n3", F.size("__w3"))
+    d = d.withColumn(out, F.when(F.size(keywords) > 0, F.aggregate("__chosen", F.col(words), lambda acc, s: F.array_insert(
+        acc, (F.floor(s["u"] * (F.size(acc) + 1)) + 1).cast("int"), s["k"]))).otherwise(F.col(words)))
+    return d.drop("__t1", "__avail", "__ranked", "__chosen")
+
+
+def step_replace_starter(df, words: str, starters: str, row_id, seed: int, out: str):
+    """With p = .25 replace the first word by a drawn starter (not '*',
+    '[' or ']'), capitalised, when it is alphanumeric."""
+    u = lambda step: uniform(seed, row_id, step)
+    d = df.withColumn("__stc", _choice(F.filter(starters, lambda x: ~x.isin("*", "[", "]")), u("start_choice")))
+    w = F.col(words)
+    return d.withColumn(out, F.when((F.size(starters) > 0) & (u("start_p") < 0.25) & (F.size(w) > 0)
+                                    & F.coalesce(F.col("__stc").rlike(r"^[\p{L}\p{N}]+$"), F.lit(False)),
+                                    F.concat(F.array(F.initcap("__stc")), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))))
+                        .otherwise(w)).drop("__stc")
+
+
+def step_fit_length(df, words: str, avg_length, row_id, seed: int, out: str):
+    """D8d: below 60 % of the target length append a drawn ending; above
+    160 % keep the first 120 %.  Returns text."""
+    u = lambda step: uniform(seed, row_id, step)
+    d = df.withColumn("__tl", F.coalesce(_c(avg_length), F.lit(50.0)).cast("int"))
+    w = F.col(words)
+    n = F.size(w)
     ending = _choice(F.array(*[F.lit(e) for e in ENDINGS]), u("ending"))
-    d = d.withColumn("__t4", F.when(F.col("__n3") < F.col("__tl") * 0.6, F.concat(F.col("__t3"), F.lit(" "), ending))
-                     .when(F.col("__n3") > F.col("__tl") * 1.6,
-                           F.array_join(F.slice("__w3", 1, F.greatest((F.col("__tl") * 1.2).cast("int"), F.lit(0))), " "))
-                     .otherwise(F.col("__t3")))
-    # D8e with p = .3 prefix "I " when no first-person marker
-    low = F.lower(F.col("__t4"))
+    d = d.withColumn(out, F.when(n < F.col("__tl") * 0.6, F.concat(F.array_join(w, " "), F.lit(" "), ending))
+                     .when(n > F.col("__tl") * 1.6,
+                           F.array_join(F.slice(w, 1, F.greatest((F.col("__tl") * 1.2).cast("int"), F.lit(0))), " "))
+                     .otherwise(F.array_join(w, " ")))
+    return d.drop("__tl")
+
+
+def step_first_person(df, text: str, row_id, seed: int, out: str):
+    """D8e: with p = .3, when no first-person marker occurs, prefix "I "
+    (lower-casing an initial capital)."""
+    t = F.col(text)
+    low = F.lower(t)
     fp = F.exists(F.array(*[F.lit(p) for p in FIRST_PERSON]), lambda p: low.contains(p))
-    d = d.withColumn("__f", F.substring("__t4", 1, 1))
+    d = df.withColumn("__f", F.substring(t, 1, 1))
     upper_first = (F.col("__f") != "") & (F.col("__f") == F.upper("__f")) & (F.col("__f") != F.lower("__f"))
-    prefixed = F.when(upper_first, F.concat(F.lit("I "), F.lower("__f"), F.substring("__t4", 2, 1 << 30))) \
-        .otherwise(F.concat(F.lit("I "), F.col("__t4")))
-    d = d.withColumn("__t5", F.when(~fp & (u("i_p") < 0.3), prefixed).otherwise(F.col("__t4")))
-    # D8f strip asterisks, squeeze whitespace
-    d = d.withColumn(out, py_strip(squeeze(F.regexp_replace("__t5", r"\*+", ""))))
+    prefixed = F.when(upper_first, F.concat(F.lit("I "), F.lower("__f"), F.substring(t, 2, 1 << 30))) \
+        .otherwise(F.concat(F.lit("I "), t))
+    return d.withColumn(out, F.when(~fp & (uniform(seed, row_id, "i_p") < 0.3), prefixed).otherwise(t)).drop("__f")
+
+
+def cleanup(col) -> Column:
+    """D8f: strip asterisks, squeeze whitespace, strip."""
+    return py_strip(squeeze(F.regexp_replace(_c(col), r"\*+", "")))
+
+
+def rewrite_rules(df, text, keywords, starters, intensifiers, avg_length, mean_intensity,
+                  row_id, seed: int = 42, out: str = "rewritten"):
+    """Rule-based rewrite D8g -> D8a -> D8b -> D8c -> D8d -> D8e -> D8f
+    with seeded draws per (row, step).  Every step is materialised as a
+    column so later steps reference earlier ones by name (no exponential
+    expression trees).  Adds ``out``; helper columns are dropped."""
+    empty = F.array().cast("array<string>")
+    d = df.withColumn("__kw", F.coalesce(_c(keywords), empty)) \
+          .withColumn("__st", F.coalesce(_c(starters), empty)) \
+          .withColumn("__in", F.coalesce(_c(intensifiers), empty))
+    d = d.withColumn("__nothing", (F.size("__kw") == 0) & (F.size("__st") == 0) & (F.size("__in") == 0))
+    nothing = F.col("__nothing")
+    d = d.withColumn("__in", F.when(nothing, F.array(*[F.lit(w) for w in FALLBACK_INTENSIFIERS])).otherwise(F.col("__in"))) \
+         .withColumn("__st", F.when(nothing, F.array(*[F.lit(w) for w in FALLBACK_STARTERS])).otherwise(F.col("__st"))) \
+         .withColumn("__kw", F.filter("__kw", lambda k: ~F.lower(k).isin(*META_WORDS)))    # D8g + meta words
+    d = d.withColumn("__w0", words_of(text)).withColumn("__p", intensity_prob(mean_intensity))
+    d = step_insert_intensifier(d, "__w0", "__in", F.col("__p"), row_id, seed, "__w1")
+    d = step_insert_keywords(d, "__w1", "__kw", row_id, seed, "__w2")
+    d = step_replace_starter(d, "__w2", "__st", row_id, seed, "__w3")
+    d = step_fit_length(d, "__w3", avg_length, row_id, seed, "__t4")
+    d = step_first_person(d, "__t4", row_id, seed, "__t5")
+    d = d.withColumn(out, cleanup("__t5"))
     return d.drop(*[c for c in d.columns if c.startswith("__") and c not in df.columns])

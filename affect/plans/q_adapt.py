@@ -295,3 +295,84 @@ def _d18(spark, sf):
 
 
 Q["d18_balance_and_expand"] = _d18
+
+
+# ---------------------------------------------------------------- D8 steps (oracle-checked one by one)
+from affect.functions.clean import WS_CLASS as _W  # noqa: E402
+from affect.functions.draws import uniform_sql  # noqa: E402
+
+
+def _comp_words(spark, sf):
+    c = view(spark, "completions", sf)
+    return c.withColumn("w", RW.words_of("original")).withColumn("mi", (F.col("utt_id") % 3 + 1).cast("double"))
+
+
+def _u(step: str) -> str:
+    return uniform_sql(42, "utt_id", step)
+
+
+_CW = C + f""", cw AS (SELECT *, list_filter(regexp_split_to_array(original, '{_W}+'), lambda x: x <> '') AS w,
+  CAST(utt_id % 3 + 1 AS DOUBLE) AS mi FROM completions)
+"""
+
+
+def _d8a(spark, sf):
+    d = _comp_words(spark, sf).withColumn("ins", F.array(*[F.lit(x) for x in RW.FALLBACK_INTENSIFIERS]))
+    d = RW.step_insert_intensifier(d, "w", "ins", RW.intensity_prob(F.col("mi")), "utt_id", 42, "out")
+    return d.select("utt_id", F.array_join("out", " ").alias("text"))
+
+
+Q["d8a_insert_intensifier"] = _d8a
+_LV = "[" + ", ".join(f"'{x}'" for x in RW.LINKING_VERBS) + "]"
+O["d8a_insert_intensifier"] = _CW + f""", a AS (SELECT utt_id, w, len(w) AS n,
+  coalesce(list_position(list_transform(w, lambda x, i: list_contains({_LV}, lower(x)) AND i < len(w)), true), 0) AS hit,
+  (['very', 'really', 'so'])[CAST(floor({_u('int_choice')} * 3) AS INTEGER) + 1] AS ins,
+  CAST(floor({_u('int_pos')} * (len(w) - 1)) + 1 AS INTEGER) AS rp,
+  {_u('int_p')} < coalesce(CASE CAST(round_even(mi, 0) AS INTEGER) WHEN 1 THEN 0.2 WHEN 2 THEN 0.45 WHEN 3 THEN 0.75 END, 0.4) AS go
+  FROM cw)
+SELECT utt_id, array_to_string(CASE WHEN go AND hit > 0 THEN list_concat(w[1:hit], [ins], w[hit + 1:])
+  WHEN go AND n > 2 THEN list_concat(w[1:rp], [ins], w[rp + 1:]) ELSE w END, ' ') AS text FROM a"""
+
+
+def _d8c(spark, sf):
+    d = _comp_words(spark, sf).withColumn("st", F.array(*[F.lit(x) for x in RW.FALLBACK_STARTERS]))
+    d = RW.step_replace_starter(d, "w", "st", "utt_id", 42, "out")
+    return d.select("utt_id", F.array_join("out", " ").alias("text"))
+
+
+Q["d8c_replace_starter"] = _d8c
+O["d8c_replace_starter"] = _CW + f""", c2 AS (SELECT utt_id, w,
+  (['i', 'it', 'this'])[CAST(floor({_u('start_choice')} * 3) AS INTEGER) + 1] AS stc, {_u('start_p')} AS p FROM cw)
+SELECT utt_id, array_to_string(CASE WHEN p < 0.25 AND len(w) > 0 AND regexp_full_match(stc, '[\\p{{L}}\\p{{N}}]+')
+  THEN list_concat([upper(stc[1]) || lower(stc[2:])], w[2:]) ELSE w END, ' ') AS text FROM c2"""
+
+
+def _d8d(spark, sf):
+    d = RW.step_fit_length(_comp_words(spark, sf), "w", F.col("target_len"), "utt_id", 42, "out")
+    return d.select("utt_id", F.col("out").alias("text"))
+
+
+_EN = "[" + ", ".join("'" + e.replace("'", "''") + "'" for e in RW.ENDINGS) + "]"
+Q["d8d_fit_length"] = _d8d
+O["d8d_fit_length"] = _CW + f""", d2 AS (SELECT utt_id, w, len(w) AS n, CAST(trunc(target_len) AS INTEGER) AS tl,
+  {_EN}[CAST(floor({_u('ending')} * 5) AS INTEGER) + 1] AS ending FROM cw)
+SELECT utt_id, CASE WHEN n < tl * 0.6 THEN array_to_string(w, ' ') || ' ' || ending
+  WHEN n > tl * 1.6 THEN array_to_string(w[1:greatest(CAST(trunc(tl * 1.2) AS INTEGER), 0)], ' ')
+  ELSE array_to_string(w, ' ') END AS text FROM d2"""
+
+
+def _d8e(spark, sf):
+    d = RW.step_first_person(view(spark, "completions", sf), "original", "utt_id", 42, "out")
+    return d.select("utt_id", F.col("out").alias("text"))
+
+
+_FP = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in RW.FIRST_PERSON) + "]"
+Q["d8e_first_person"] = _d8e
+O["d8e_first_person"] = C + f""", e2 AS (SELECT utt_id, original AS t, substr(original, 1, 1) AS f,
+  len(list_filter({_FP}, lambda p: contains(lower(original), p))) > 0 AS fp, {_u('i_p')} AS p FROM completions)
+SELECT utt_id, CASE WHEN NOT fp AND p < 0.3 THEN (CASE WHEN f <> '' AND f = upper(f) AND f <> lower(f)
+  THEN 'I ' || lower(f) || substr(t, 2) ELSE 'I ' || t END) ELSE t END AS text FROM e2"""
+
+Q["d8f_cleanup"] = lambda spark, sf: view(spark, "completions", sf).select("utt_id", RW.cleanup("completion").alias("text"))
+O["d8f_cleanup"] = C + f"""SELECT utt_id, {S.strip(f"regexp_replace(regexp_replace(completion, '\\*+', '', 'g'), '{_W}+', ' ', 'g')")} AS text
+FROM completions"""

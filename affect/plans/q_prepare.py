@@ -202,3 +202,52 @@ def _m21(spark, sf):
 
 
 Q["m21_baseline_predictions"] = _m21
+
+
+# ---------------------------------------------------------------- N4-N9 as standalone column functions
+from affect.functions import clean as C  # noqa: E402
+
+Q["n4_sentiment_code"] = lambda spark, sf: _raw(spark, sf).select("doc_id", C.sentiment_code("sentiment").alias("code"))
+O["n4_sentiment_code"] = R + f"SELECT doc_id, {S.sentiment_code('sentiment')} AS code FROM labels_raw"
+
+Q["n5_to_flag"] = lambda spark, sf: _raw(spark, sf).select(
+    "doc_id", C.to_flag("emotion__joy", "joy").alias("joy"), C.to_flag("emotion__anger", "anger").alias("anger"))
+O["n5_to_flag"] = R + f"SELECT doc_id, {S.to_flag('emotion__joy', 'joy')} AS joy, {S.to_flag('emotion__anger', 'anger')} AS anger FROM labels_raw"
+
+Q["n6_intensity_class"] = lambda spark, sf: _raw(spark, sf).select(
+    "doc_id", C.intensity_class("intensity__joy").alias("joy"), C.intensity_class("intensity__anger").alias("anger"))
+O["n6_intensity_class"] = R + f"SELECT doc_id, {S.intensity_class('intensity__joy')} AS joy, {S.intensity_class('intensity__anger')} AS anger FROM labels_raw"
+
+Q["n7_repair_text"] = lambda spark, sf: C.repair_text(_raw(spark, sf).select("doc_id", "augmented", "original"),
+                                                      "augmented").select("doc_id", "augmented")
+O["n7_repair_text"] = LOADED + "SELECT doc_id, text AS augmented FROM p"
+
+
+def _n8(spark, sf):
+    """N8 defaulting: sentiment absent -> 'neutral' (one-hot), null -> 'negative'
+    (augmentation); empty bundle -> neutral:2 (bundle key)."""
+    u = view(spark, "utterances", sf)
+    no_sent = L.one_hot(u.drop("sentiment"), ["joy"], text_col="utterance").select("utt_id", "sentiment")
+    return (no_sent.join(u.select("utt_id", F.coalesce("sentiment", F.lit("negative")).alias("aug_sentiment")), "utt_id")
+                   .join(L.with_bundle_key(u).select("utt_id", "bundle_key"), "utt_id"))
+
+
+Q["n8_defaults"] = _n8
+O["n8_defaults"] = cte("utterances") + ", b AS (SELECT utt_id, list_filter([" + ", ".join(
+    f"{{'e': {S.lenient(e)}, 'i': {S.to_num(i)}}}" for e, i in L.SLOTS) + \
+    "], lambda x: x.e IS NOT NULL AND x.i IS NOT NULL) AS bundle FROM utterances)\n" \
+    "SELECT u.utt_id, 'neutral' AS sentiment, coalesce(u.sentiment, 'negative') AS aug_sentiment, " \
+    "CASE WHEN len(bundle)=0 THEN 'neutral:2' ELSE array_to_string(list_sort(list_transform(bundle, " \
+    "lambda x: x.e || ':' || CAST(CAST(trunc(x.i) AS INTEGER) AS VARCHAR))), '|') END AS bundle_key " \
+    "FROM utterances u JOIN b USING (utt_id)"
+
+
+def _n9(spark, sf):
+    u = view(spark, "utterances", sf).withColumn("conversation", F.col("domain")) \
+        .withColumn("utterance", F.when(F.col("turn") % 2 == 0, F.col("utterance")).otherwise(F.lit("")))
+    return u.select("utt_id", C.canonical_text(u).alias("text"))
+
+
+Q["n9_canonical_text"] = _n9
+O["n9_canonical_text"] = cte("utterances") + """SELECT utt_id, coalesce(CASE WHEN turn % 2 = 0 AND utterance <> '' THEN utterance END,
+ CASE WHEN domain <> '' THEN domain END, '') AS text FROM utterances"""
