@@ -376,3 +376,24 @@ SELECT utt_id, CASE WHEN NOT fp AND p < 0.3 THEN (CASE WHEN f <> '' AND f = uppe
 Q["d8f_cleanup"] = lambda spark, sf: view(spark, "completions", sf).select("utt_id", RW.cleanup("completion").alias("text"))
 O["d8f_cleanup"] = C + f"""SELECT utt_id, {S.strip(f"regexp_replace(regexp_replace(completion, '\\*+', '', 'g'), '{_W}+', ' ', 'g')")} AS text
 FROM completions"""
+
+
+# ---------------------------------------------------------------- D9 cues and prompt text (no pattern attachment)
+Q["d9_prompt_cues"] = lambda spark, sf: D.build_prompts(None, _source(spark, sf))
+_CUES = ", ".join("('{}', {}, '{}')".format(e, i, c.replace("'", "''")) for (e, i), c in D.EMOTION_CUES.items())
+O["d9_prompt_cues"] = U + f""", src AS (SELECT * FROM utterances WHERE domain = 'source'),
+cue(emotion, intensity, cue) AS (VALUES {_CUES}),
+c AS (SELECT s.utt_id, s.utterance, s.sentiment, """ + ", ".join(
+    f"(SELECT cue FROM cue WHERE cue.emotion = {S.lenient(e)} AND cue.intensity = {S.trunc_int(i)}) AS c{k}"
+    for k, (e, i) in enumerate(L.SLOTS)) + """ FROM src s),
+d AS (SELECT *, list_filter([c0, c1, c2], lambda x: x IS NOT NULL) AS cl FROM c)
+SELECT utt_id, CASE WHEN len(cl) > 0 THEN array_to_string(cl, ' and ') ELSE 'mixed feelings' END AS cues,
+ 50 AS target_len, 0 AS n_examples,
+ 'Rewrite this message as someone talking to a therapist. Show their emotional state through what they describe, not by naming emotions.' || chr(10) || chr(10) ||
+ 'Original: "' || utterance || '"' || chr(10) || chr(10) || 'Their state: ' ||
+ (CASE WHEN len(cl) > 0 THEN array_to_string(cl, ' and ') ELSE 'mixed feelings' END) || chr(10) || chr(10) ||
+ '(no clean examples available)' || chr(10) || chr(10) || 'Rules:' || chr(10) ||
+ '- Show feelings through situations, physical reactions, thoughts' || chr(10) ||
+ '- Don''t use emotion labels (sad, angry, happy, etc.)' || chr(10) || '- Natural tone, about 50 words' || chr(10) ||
+ '- ' || coalesce(sentiment, 'negative') || ' sentiment' || chr(10) || '- Just the message, no explanations' || chr(10) || chr(10) ||
+ 'Message:' AS prompt FROM d"""
