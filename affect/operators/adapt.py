@@ -92,12 +92,12 @@ def pair_counts(df: DataFrame) -> DataFrame:
               .groupBy("p.emotion", "p.intensity").agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def rare_flags(df: DataFrame, min_samples: int = 10) -> DataFrame:
+def rare_flags(df: DataFrame, min_samples: int = 10, scope: Column | None = None) -> DataFrame:
     """When some (emotion, intensity) pair is rarer than ``min_samples``
     keep rows having at least one non-rare valid pair; when none is rare the
-    step keeps every row.  ``df`` must already be restricted to the rows
-    surviving D2 and D3 (pair counts are taken over them)."""
-    counts = pair_counts(df)
+    step keeps every row.  Pair counts are taken over the rows satisfying
+    ``scope`` (the survivors of D2 and D3); rows outside it get null."""
+    counts = pair_counts(df if scope is None else df.where(scope))
     any_rare = counts.agg(F.count_if(F.col("cnt") < min_samples).alias("n_rare"), F.lit(1).alias("__one"))
     out = df
     for k in range(3):
@@ -108,7 +108,10 @@ def rare_flags(df: DataFrame, min_samples: int = 10) -> DataFrame:
     out = out.withColumn("__one", F.lit(1)).join(F.broadcast(any_rare), "__one", "left")
     keep = (F.coalesce(F.col("n_rare"), F.lit(0)) == 0) | F.col("__ok0") | F.col("__ok1") | F.col("__ok2")
     drop = [c for c in out.columns if c.startswith("__p") or c.startswith("__ok")] + ["__one", "n_rare"]
-    return out.withColumn("keep_rare", F.coalesce(keep, F.lit(False))).drop(*drop)
+    flag = F.coalesce(keep, F.lit(False))
+    if scope is not None:
+        flag = F.when(scope, flag)
+    return out.withColumn("keep_rare", flag).drop(*drop)
 
 
 def filter_for_target(source: DataFrame, target: DataFrame, min_samples: int = 10,
@@ -119,10 +122,8 @@ def filter_for_target(source: DataFrame, target: DataFrame, min_samples: int = 1
     comp = compatible_labels(source, target)
     f = label_flags(source, comp) if remove_incompatible else source.withColumn("keep_label", F.lit(True))
     f = f.withColumn("keep_intensity", intensity_ok(allowed))
-    survivors = f.where(F.col("keep_label") & F.col("keep_intensity"))
-    flagged = rare_flags(survivors, min_samples)
-    dropped = f.where(~(F.col("keep_label") & F.col("keep_intensity"))).withColumn("keep_rare", F.lit(None).cast("boolean"))
-    return flagged.unionByName(dropped), comp
+    # one pass for the pair counts over the survivors, one pass for the flags
+    return rare_flags(f, min_samples, scope=F.col("keep_label") & F.col("keep_intensity")), comp
 
 
 def filtered(flagged: DataFrame) -> DataFrame:

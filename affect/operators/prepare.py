@@ -150,20 +150,22 @@ def stratified_split(df: DataFrame, by: str, id_col: str, frac: float = 0.2, see
     strata (computed on the small per-stratum count table); membership is the
     ``quota`` lowest hash draws of each stratum, found by the skew-safe
     histogram selection of :mod:`affect.operators.sampling` (no per-stratum
-    sort).  Adds ``split`` in {'train','test'}.
+    sort; the stratum counts come from the same histogram pass, so the input
+    is read twice).  Adds ``split`` in {'train','test'}.
     """
-    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
-    allw = Window.partitionBy()
-    quotas = (counts.withColumn("__bign", F.sum("__n").over(allw))
-                    .withColumn("__total_test", F.round(F.col("__bign") * frac).cast("long"))
-                    .withColumn("__exact", F.col("__n") * F.col("__total_test") / F.col("__bign"))
-                    .withColumn("__floor", F.floor("__exact").cast("long"))
-                    .withColumn("__rem", F.col("__exact") - F.col("__floor"))
-                    .withColumn("__left", F.col("__total_test") - F.sum("__floor").over(allw))
-                    .withColumn("__rank", F.row_number().over(allw.orderBy(F.desc("__rem"), F.col(by))))
-                    .withColumn("__quota", F.col("__floor")
-                                + F.when(F.col("__rank") <= F.col("__left"), 1).otherwise(0))
-                    .select(by, "__quota"))
+    def quotas(counts: DataFrame) -> DataFrame:
+        allw = Window.partitionBy()
+        return (counts.withColumn("__bign", F.sum("__n").over(allw))
+                      .withColumn("__total_test", F.round(F.col("__bign") * frac).cast("long"))
+                      .withColumn("__exact", F.col("__n") * F.col("__total_test") / F.col("__bign"))
+                      .withColumn("__floor", F.floor("__exact").cast("long"))
+                      .withColumn("__rem", F.col("__exact") - F.col("__floor"))
+                      .withColumn("__left", F.col("__total_test") - F.sum("__floor").over(allw))
+                      .withColumn("__rank", F.row_number().over(allw.orderBy(F.desc("__rem"), F.col(by))))
+                      .withColumn("__quota", F.col("__floor")
+                                  + F.when(F.col("__rank") <= F.col("__left"), 1).otherwise(0))
+                      .select(by, "__quota"))
+
     out = lowest_by_draw(df, [by], quotas, draw_long(seed, id_col, "split"), tie=id_col, flag="__test")
     return (out.withColumn("split", F.when(F.col("__test"), "test").otherwise("train"))
                .drop("__test", "__rank_draw"))

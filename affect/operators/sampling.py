@@ -36,19 +36,26 @@ def draw_long_sql(seed, id_expr: str, step: str = "") -> str:
     return f"CAST(('0x' || substr({h},1,8)) AS BIGINT)"
 
 
-def lowest_by_draw(df: DataFrame, keys: list[str], quota: DataFrame, draw: Column,
+def lowest_by_draw(df: DataFrame, keys: list[str], quota, draw: Column,
                    tie: str, bits: int = 20, quota_col: str = "__quota",
                    flag: str | None = None) -> DataFrame:
     """Keep, per ``keys`` group, the ``quota`` rows with the smallest
     (``draw``, ``tie``).  ``quota`` is a small DataFrame (keys + quota_col),
     one row per group; groups missing from it keep nothing.
 
+    ``quota`` may also be a function of the per-group counts (keys,
+    ``__n``) returning that table; the counts then come from the same
+    histogram pass, so the input is scanned twice in total (histogram,
+    selection) instead of three times.
+
     With ``flag`` set, every row is returned and the boolean column ``flag``
     marks the selected ones.  ``__rank_draw`` (the 32-bit draw) is added.
     """
     shift = 32 - bits
     d = df.withColumn("__rank_draw", draw).withColumn("__bin", F.shiftright(F.col("__rank_draw"), shift))
     hist = d.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__cnt"))
+    if callable(quota):
+        quota = quota(hist.groupBy(*keys).agg(F.sum("__cnt").alias("__n")))
     w = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
     cum = (hist.join(F.broadcast(quota.select(*keys, quota_col)), on=keys, how="inner")
                .withColumn("__cum", F.sum("__cnt").over(w))
