@@ -78,3 +78,15 @@ def test_rewrite_is_valid_or_original_and_seeded(spark):
                     (F.col("augmented") == F.col("original")).alias("same"), "quality").collect()
     assert all(r.v or r.same for r in chk)
     assert all(0.0 <= r.quality <= 1.0 for r in chk)
+
+
+def test_attach_patterns_bounds(spark):
+    from affect.plans.q_adapt import _attached
+    a = _attached(spark, SF01).select("keywords", "sentence_starters", "intensifiers", "avg_length", "examples").collect()
+    assert a
+    for r in a:
+        assert len(r.keywords) <= 30 and r.keywords == sorted(r.keywords) or len(r.keywords) <= 20
+        assert 0 < len(r.sentence_starters) <= 15
+        assert 0 < len(r.intensifiers) <= 15
+        assert r.avg_length > 0
+        assert len(r.examples) <= 6
