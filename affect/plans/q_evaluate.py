@@ -28,8 +28,11 @@ def _scores(spark, sf):
 
 
 # ---------------------------------------------------------------- DuckDB helpers
-def report_sql(long_cte: str, keys: list[str], classes: list | None, names: dict | None = None) -> str:
-    """DuckDB text of a classification report over (keys, y_true, y_pred)."""
+def report_sql(long_cte: str, keys: list[str], classes: list | None, names: dict | None = None,
+               p: str = "") -> str:
+    """DuckDB text of a classification report over (keys, y_true, y_pred);
+    CTE names are prefixed by ``p`` (the result is ``{p}rep``, with the
+    class-order column ``ord``)."""
     k = ", ".join(keys)
     kc = (k + ", ") if keys else ""
     if classes is None:
@@ -44,21 +47,21 @@ def report_sql(long_cte: str, keys: list[str], classes: list | None, names: dict
     on = " AND ".join([f"g.{x} = l.{x}" for x in keys] + ["1=1"])
     gk = "".join(f"g.{x}, " for x in keys)
     return f"""
-grid AS ({grid}),
-cnt AS (SELECT {gk}g.cls, count_if(l.y_true = g.cls) AS support, count_if(l.y_pred = g.cls) AS predicted,
+{p}grid AS ({grid}),
+{p}cnt AS (SELECT {gk}g.cls, count_if(l.y_true = g.cls) AS support, count_if(l.y_pred = g.cls) AS predicted,
         count_if(l.y_true = g.cls AND l.y_pred = g.cls) AS tp
-        FROM grid g JOIN {long_cte} l ON {on} GROUP BY ALL),
-m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+        FROM {p}grid g JOIN {long_cte} l ON {on} GROUP BY ALL),
+{p}m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
         CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall,
-        CASE WHEN support + predicted > 0 THEN 2 * tp / (support + predicted) ELSE 0.0 END AS f1 FROM cnt),
-agg AS (SELECT {kc}sum(support) AS n, sum(tp) AS tp, avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
-        sum(precision * support) AS wp, sum(recall * support) AS wr, sum(f1 * support) AS wf FROM m GROUP BY ALL),
-rep AS (
- SELECT {kc}1 AS pos, {nm} AS label, precision, recall, f1, support FROM m
- UNION ALL SELECT {kc}2, 'accuracy', NULL, NULL, CASE WHEN n > 0 THEN tp / n ELSE 0.0 END, n FROM agg
- UNION ALL SELECT {kc}3, 'macro avg', mp, mr, mf, n FROM agg
- UNION ALL SELECT {kc}4, 'weighted avg', CASE WHEN n > 0 THEN wp / n ELSE 0.0 END,
-   CASE WHEN n > 0 THEN wr / n ELSE 0.0 END, CASE WHEN n > 0 THEN wf / n ELSE 0.0 END, n FROM agg)
+        CASE WHEN support + predicted > 0 THEN 2 * tp / (support + predicted) ELSE 0.0 END AS f1 FROM {p}cnt),
+{p}agg AS (SELECT {kc}sum(support) AS n, sum(tp) AS tp, avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
+        sum(precision * support) AS wp, sum(recall * support) AS wr, sum(f1 * support) AS wf FROM {p}m GROUP BY ALL),
+{p}rep AS (
+ SELECT {kc}1 AS pos, cls AS ord, {nm} AS label, precision, recall, f1, support FROM {p}m
+ UNION ALL SELECT {kc}2, NULL, 'accuracy', NULL, NULL, CASE WHEN n > 0 THEN tp / n ELSE 0.0 END, n FROM {p}agg
+ UNION ALL SELECT {kc}3, NULL, 'macro avg', mp, mr, mf, n FROM {p}agg
+ UNION ALL SELECT {kc}4, NULL, 'weighted avg', CASE WHEN n > 0 THEN wp / n ELSE 0.0 END,
+   CASE WHEN n > 0 THEN wr / n ELSE 0.0 END, CASE WHEN n > 0 THEN wf / n ELSE 0.0 END, n FROM {p}agg)
 """
 
 

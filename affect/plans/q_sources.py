@@ -123,3 +123,51 @@ def _summary(spark, sf):
 
 
 Q["s11_assemble_summary"] = _summary
+
+
+# ---------------------------------------------------------------- S11 oracle: the same rendering in DuckDB
+def _render_sql(rep: str, keys: list[str], out: str) -> str:
+    k = ", ".join(keys)
+    num = lambda c: f"lpad(printf('%.4f', {c}), 9, ' ')"
+    line = (f"CASE WHEN label = 'accuracy' THEN lpad(label, w, ' ') || ' ' || ' ' || repeat(' ', 9) || ' ' || repeat(' ', 9)"
+            f" || ' ' || {num('f1')} || ' ' || lpad(CAST(support AS VARCHAR), 9, ' ') ELSE lpad(label, w, ' ') || ' ' || ' ' || "
+            f"{num('precision')} || ' ' || {num('recall')} || ' ' || {num('f1')} || ' ' || lpad(CAST(support AS VARCHAR), 9, ' ') END")
+    return f""",
+{out}_w AS (SELECT *, CAST(greatest(max(length(label)) OVER (PARTITION BY {k}), 12) AS INTEGER) AS w FROM {rep}),
+{out}_l AS (SELECT *, {line} AS line FROM {out}_w),
+{out} AS (SELECT {k}, repeat(' ', w) || ' ' || lpad('precision', 10, ' ') || lpad('recall', 10, ' ') || lpad('f1-score', 10, ' ')
+   || lpad('support', 10, ' ') || chr(10) || chr(10) || string_agg(CASE WHEN pos = 1 THEN line END, chr(10) ORDER BY ord)
+   || chr(10) || chr(10) || string_agg(CASE WHEN pos > 1 THEN line END, chr(10) ORDER BY pos) || chr(10) AS report
+  FROM {out}_l GROUP BY {k}, w)"""
+
+
+_RULE = "'" + "=" * 60 + "'"
+_SL = ("sl AS (SELECT CAST(event_id % 3 AS INTEGER) AS run, sentiment_label AS y_true, sentiment_pred AS y_pred "
+       "FROM predictions)")
+_EL = "el AS (" + " UNION ALL ".join(
+    f"SELECT CAST(event_id % 3 AS INTEGER) AS run, '{e}' AS emotion, emotion__{e}_label AS y_true, "
+    f"emotion__{e}_pred AS y_pred FROM predictions" for e in PRED_EMOTIONS) + ")"
+_NL = "chr(10)"
+O["s11_assemble_summary"] = (
+    _P + ", " + _IT + ", " + _SL + ", " + _EL + ", "
+    + report_sql("sl", ["run"], None, None, p="s_") + ", "
+    + report_sql("el", ["run", "emotion"], [0, 1], {0: "absent", 1: "present"}, p="e_") + ", "
+    + report_sql("it", ["run", "emotion"], [0, 1, 2], dict(enumerate(E.INTENSITY_CLASSES)), p="i_")
+    + _render_sql("s_rep", ["run"], "s_txt") + _render_sql("e_rep", ["run", "emotion"], "e_txt")
+    + _render_sql("i_rep", ["run", "emotion"], "i_txt") + f""",
+e_doc AS (SELECT run, string_agg(x, {_NL} ORDER BY x) AS text FROM
+  (SELECT run, '--- ' || upper(emotion) || ' ---' || {_NL} || report AS x FROM e_txt) GROUP BY run),
+i_acc AS (SELECT run, emotion, min(k) AS k, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS acc FROM it GROUP BY ALL),
+i_all AS (SELECT run, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS acc FROM it GROUP BY run),
+i_doc AS (SELECT t.run, {_RULE} || {_NL} || 'INTENSITY CLASSIFICATION REPORT' || {_NL} || {_RULE} || {_NL} || {_NL}
+   || 'Overall Intensity Accuracy: ' || printf('%.4f', any_value(o.acc)) || {_NL} || {_NL} || {_RULE} || {_NL}
+   || 'PER-EMOTION INTENSITY REPORTS' || {_NL} || {_RULE} || {_NL} || {_NL}
+   || string_agg({_NL} || '--- ' || upper(t.emotion) || ' ---' || {_NL} || 'Accuracy: ' || printf('%.4f', a.acc) || {_NL} || {_NL}
+      || t.report || {_NL}, '' ORDER BY a.k) AS text
+  FROM i_txt t JOIN i_acc a USING (run, emotion) JOIN i_all o USING (run) GROUP BY t.run)
+SELECT s.run, {_RULE} || {_NL} || 'FINAL RESULTS SUMMARY' || {_NL} || {_RULE} || {_NL} || {_NL}
+  || '--- SENTIMENT CLASSIFICATION ---' || {_NL} || s.report || {_NL} || {_NL}
+  || '--- EMOTION CLASSIFICATION (OVERALL) ---' || {_NL} || array_to_string(string_split(e.text, {_NL})[1:10], {_NL}) || {_NL} || {_NL}
+  || '--- INTENSITY CLASSIFICATION (OVERALL) ---' || {_NL} || array_to_string(string_split(i.text, {_NL})[1:6], {_NL}) || {_NL}
+  || {_NL} || {_RULE} || {_NL} || 'END OF SUMMARY' || {_NL} || {_RULE} AS summary
+FROM s_txt s JOIN e_doc e USING (run) JOIN i_doc i USING (run)""")
