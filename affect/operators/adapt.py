@@ -173,6 +173,12 @@ def attach_patterns(src: DataFrame, patterns: DataFrame, emotion_int: DataFrame,
         lab, inten = normalize_label(e), to_num(i)
         d = d.withColumn(f"__e{k}", F.when(lab.isNotNull() & inten.isNotNull(), lab)) \
              .withColumn(f"__i{k}", F.when(lab.isNotNull() & inten.isNotNull(), inten.cast("int")))
+    # an empty bundle is treated as (neutral, 2), looked up like any other
+    empty_bundle = F.col("__e0").isNull() & F.col("__e1").isNull() & F.col("__e2").isNull()
+    d = d.withColumn("__empty", empty_bundle) \
+         .withColumn("__e0", F.when(F.col("__empty"), F.lit("neutral")).otherwise(F.col("__e0"))) \
+         .withColumn("__i0", F.when(F.col("__empty"), F.lit(2)).otherwise(F.col("__i0")))
+    for k in range(3):
         d = _lookup(d, patterns.select("emotion", "intensity", "sentiment", "keywords", "sentence_starters", "avg_length"),
                     [(F.col(f"__e{k}"), "emotion"), (F.col(f"__i{k}"), "intensity"), (F.col("__sent"), "sentiment")], f"__pt{k}_")
         d = _lookup(d, intensity_int.select("emotion", "intensity", "intensifiers"),
@@ -187,12 +193,7 @@ def attach_patterns(src: DataFrame, patterns: DataFrame, emotion_int: DataFrame,
         F.coalesce(F.col(f"__ia{k}_intensifiers"), empty).alias("ia"),
         F.coalesce(F.col(f"__eo{k}_intensifiers"), empty).alias("eo"),
         F.coalesce(F.col(f"__ex{k}_texts"), empty).alias("ex")) for k in range(3)])
-    # an empty bundle is treated as (neutral, 2)
     d = d.withColumn("__el", F.filter(el, lambda x: x["e"].isNotNull()))
-    d = d.withColumn("__el", F.when(F.size("__el") == 0, F.array(F.struct(
-        F.lit("neutral").alias("e"), F.lit(None).cast("array<string>").alias("kw"),
-        F.lit(None).cast("array<string>").alias("st"), F.lit(None).cast("double").alias("al"),
-        empty.alias("ia"), empty.alias("eo"), empty.alias("ex")))).otherwise(F.col("__el")))
     els = F.col("__el")
     d = (d.withColumn("__matched", F.filter(els, lambda x: x["al"].isNotNull()))
           .withColumn("__kwu", F.array_sort(F.array_distinct(F.flatten(F.transform(els, lambda x: F.coalesce(x["kw"], empty))))))

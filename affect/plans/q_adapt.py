@@ -102,7 +102,8 @@ def _patterns(spark, sf):
     tgt = _target(spark, sf)
     pats = T.style_patterns(tgt)
     recs = T.style_records(tgt)
-    keys = T.style_groups(recs).select("emotion", "intensity", "sentiment")
+    # examples exist for every label triple present in the target
+    keys = recs.select("emotion", "intensity", "sentiment").distinct()
     ex = (T.examples(tgt, keys, k=2, seed=7).groupBy("emotion", "intensity", "sentiment")
           .agg(F.array_sort(F.collect_list(F.struct("__rank_draw", "text"))).alias("__l"))
           .select("emotion", F.col("intensity").cast("int").alias("intensity"), "sentiment",
@@ -397,3 +398,52 @@ SELECT utt_id, CASE WHEN len(cl) > 0 THEN array_to_string(cl, ' and ') ELSE 'mix
  '- Don''t use emotion labels (sad, angry, happy, etc.)' || chr(10) || '- Natural tone, about 50 words' || chr(10) ||
  '- ' || coalesce(sentiment, 'negative') || ' sentiment' || chr(10) || '- Just the message, no explanations' || chr(10) || chr(10) ||
  'Message:' AS prompt FROM d"""
+
+
+# ---------------------------------------------------------------- D6 oracle
+from affect.plans.pattern_sql import example_ctes, intensifier_ctes, style_ctes  # noqa: E402
+
+_TW = "domain = 'target' AND conv_id % 2 = 0 AND lower(trim(emotion1)) NOT IN ('joy', 'surprise')"
+_DEF_I = "[" + ", ".join(f"'{w}'" for w in D.DEFAULT_INTENSIFIERS) + "]"
+_DEF_S = "[" + ", ".join(f"'{w}'" for w in D.DEFAULT_STARTERS) + "]"
+_SLOT_SEL = " UNION ALL ".join(
+    f"SELECT utt_id, sent, {k + 1} AS slot, CASE WHEN {S.lenient(e)} IS NOT NULL AND {S.to_num(i)} IS NOT NULL "
+    f"THEN {S.lenient(e)} END AS e, CASE WHEN {S.lenient(e)} IS NOT NULL AND {S.to_num(i)} IS NOT NULL "
+    f"THEN CAST(trunc({S.to_num(i)}) AS INTEGER) END AS i FROM fs" for k, (e, i) in enumerate(L.SLOTS))
+_WSR = f"regexp_split_to_array(t, '{_W}+')"
+O["d6_attach_patterns"] = SRC + style_ctes(_TW, "p_") + intensifier_ctes(_TW, False, "eo_") + \
+    intensifier_ctes(_TW, True, "ia_") + example_ctes("p_rec", 2, 7, "ex_") + f""",
+fs AS (SELECT *, coalesce(lower(sentiment), 'negative') AS sent FROM rk WHERE keep_rare),
+sl0 AS ({_SLOT_SEL}),
+emp AS (SELECT utt_id, bool_and(e IS NULL) AS empty FROM sl0 GROUP BY utt_id),
+sl AS (SELECT sl0.utt_id, sl0.sent, sl0.slot, CASE WHEN emp.empty AND sl0.slot = 1 THEN 'neutral' ELSE sl0.e END AS e,
+  CASE WHEN emp.empty AND sl0.slot = 1 THEN 2 ELSE sl0.i END AS i FROM sl0 JOIN emp USING (utt_id)),
+el AS (SELECT sl.utt_id, sl.slot, sl.e, pat.keywords AS kw, pat.starters AS st, pat.avg_length AS al,
+  coalesce(ia.intensifiers, []::VARCHAR[]) AS ia, coalesce(eo.intensifiers, []::VARCHAR[]) AS eo, coalesce(ex.texts, []::VARCHAR[]) AS ex
+  FROM sl LEFT JOIN p_pat pat ON pat.emotion = sl.e AND pat.intensity_key = sl.i AND pat.sentiment = sl.sent
+  LEFT JOIN ia_out ia ON ia.emotion = sl.e AND ia.intensity = sl.i
+  LEFT JOIN eo_out eo ON eo.emotion = sl.e
+  LEFT JOIN ex_out ex ON ex.emotion = sl.e AND ex.intensity = sl.i AND ex.sentiment = sl.sent
+  WHERE sl.e IS NOT NULL),
+els AS (SELECT utt_id, list({{'e': e, 'kw': kw, 'st': st, 'al': al, 'ia': ia, 'eo': eo, 'ex': ex}} ORDER BY slot) AS els
+  FROM el GROUP BY utt_id),
+mg AS (SELECT utt_id, els,
+  list_sort(list_distinct(flatten(list_transform(els, lambda x: coalesce(x.kw, []::VARCHAR[]))))) AS kwu,
+  list_sort(list_distinct(flatten(list_transform(els, lambda x: coalesce(x.st, []::VARCHAR[]))))) AS stu,
+  flatten(list_transform(els, lambda x: x.ex)) AS exs,
+  list_filter(els, lambda x: x.al IS NOT NULL) AS matched,
+  list_sort(list_reduce(els, lambda acc, x: CASE WHEN len(x.ia) > 0 THEN list_distinct(acc || x.ia)
+     WHEN len(x.eo) > 0 THEN list_distinct(acc || x.eo) WHEN len(acc) = 0 THEN {_DEF_I} ELSE acc END, []::VARCHAR[])) AS ints
+  FROM els),
+wd AS (SELECT mg.utt_id, u.w, u.pos FROM mg, LATERAL (SELECT unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos
+   FROM (SELECT flatten(list_transform(mg.exs, lambda t: list_filter(regexp_split_to_array(lower(t), '{_W}+'), lambda w: w <> ''))) AS ws)) u),
+wc AS (SELECT utt_id, w, count(*) AS c, min(pos) AS fp FROM wd GROUP BY ALL),
+cw AS (SELECT utt_id, list(w ORDER BY c DESC, fp) AS ws FROM wc GROUP BY utt_id)
+SELECT mg.utt_id,
+ array_to_string((CASE WHEN len(kwu) = 0 AND len(exs) > 0 THEN coalesce(cw.ws, [])[1:20] ELSE kwu END)[1:30], '|') AS keywords,
+ array_to_string((CASE WHEN len(stu) = 0 THEN {_DEF_S} ELSE stu END)[1:15], '|') AS starters,
+ round(CASE WHEN len(matched) > 0 THEN list_sum(list_transform(matched, lambda x: x.al)) / len(matched)
+   WHEN len(exs) > 0 THEN list_sum(list_transform(exs, lambda t: len(list_filter({_WSR}, lambda w: w <> '')))) / len(exs)
+   ELSE 50.0 END, 6) AS avg_length,
+ array_to_string(ints[1:15], '|') AS intensifiers, CAST(len(exs[1:6]) AS INTEGER) AS n_examples
+FROM mg LEFT JOIN cw USING (utt_id)"""
