@@ -63,10 +63,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or local
 
 
-def materialize(df, eager: bool = True):
-    """Cut the lineage of a small intermediate result (style tables, plans)
-    with a reliable checkpoint into the shared checkpoint folder, so that
-    downstream plans stay small and a lost executor never forces the
-    upstream pipeline to be recomputed."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def materialize(df, name: str = "stage"):
+    """Cut the lineage of a small intermediate result (style tables, plans):
+    write it once as parquet into a fresh folder of the shared checkpoint
+    directory and read it back.  Downstream plans stay small, the upstream
+    pipeline runs exactly once (a reliable ``checkpoint`` would compute it
+    twice unless cached) and a lost executor never forces it to rerun."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
