@@ -447,3 +447,50 @@ SELECT mg.utt_id,
    ELSE 50.0 END, 6) AS avg_length,
  array_to_string(ints[1:15], '|') AS intensifiers, CAST(len(exs[1:6]) AS INTEGER) AS n_examples
 FROM mg LEFT JOIN cw USING (utt_id)"""
+
+
+# ---------------------------------------------------------------- D14 (llm mode) and D18 (identity mode) with oracles
+def _d14_llm(spark, sf):
+    src = _source(spark, sf)
+    comp = view(spark, "completions", sf).select("utt_id", "completion")
+    rows = (src.join(comp, "utt_id", "left").withColumn("keywords", F.lit(None).cast("array<string>"))
+               .withColumn("avg_length", F.lit(None).cast("double")))
+    aug, det = B.augment(rows, mode="llm", seed=42, completion_col="completion")
+    return _r6(aug.select("utt_id", "sentiment", "original", "augmented", "quality", "mode"))
+
+
+Q["d14_augment_llm"] = _d14_llm
+O["d14_augment_llm"] = _GATE.replace(C, cte("utterances", "completions"), 1) + f""", s AS (SELECT * FROM utterances WHERE domain = 'source'),
+j AS (SELECT s.utt_id, coalesce(s.sentiment, 'negative') AS sentiment, coalesce(s.utterance, '') AS original,
+  CASE WHEN {S.word_count('raw')} < 3 THEN coalesce(s.utterance, '')
+   WHEN len(list_filter({_LW}, lambda w: contains(lower(g2.cleaned), w))) > 0 THEN coalesce(s.utterance, '')
+   WHEN lower({S.strip('g2.cleaned')}) = lower({S.strip("coalesce(s.utterance, '')")}) THEN coalesce(s.utterance, '')
+   WHEN g2.cleaned = '' THEN coalesce(s.utterance, '') ELSE g2.cleaned END AS out
+  FROM s LEFT JOIN g2 USING (utt_id)),
+v AS (SELECT *, CASE WHEN {_valid_sql('out')} THEN out ELSE original END AS augmented FROM j)
+SELECT utt_id, sentiment, original, augmented,
+ round(CASE WHEN lower({S.strip('original')}) = lower({S.strip('augmented')}) THEN 0.5
+  ELSE greatest(0.0, least(1.0, 0.5 - least(0.3, abs({S.word_count('augmented')} - 50.0) / 50.0 * 0.3))) END, 6) AS quality,
+ 'llm' AS mode FROM v"""
+
+
+def _d18_identity(spark, sf):
+    src = _source(spark, sf)
+    keyed = B.keyed_rows(src)
+    plan = B.balance_plan(keyed, 1.0)
+    kept = B.downsample(keyed, plan, "utt_id").withColumn("utt_id", F.col("utt_id").cast("string"))
+    exp = B.expansion_rows(keyed, plan, "utt_id").withColumn("utt_id", F.col("aug_id"))
+    aug, _ = B.augment(exp.withColumn("keywords", F.lit(None).cast("array<string>"))
+                          .withColumn("avg_length", F.lit(None).cast("double")), mode="none", seed=42)
+    return _r6(B.balance_and_expand(kept, aug).select(
+        F.col("utt_id").alias("row_id"), "emotion1", "intensity1", "original", "augmented", "quality", "mode"))
+
+
+Q["d18_balance_identity"] = _d18_identity
+O["d18_balance_identity"] = O["d17_expansion_rows"].rsplit("\n", 1)[0] + """,
+ex AS (""" + O["d17_expansion_rows"].rsplit("\n", 1)[1] + """),
+s AS (SELECT * FROM utterances WHERE domain = 'source')
+SELECT CAST(utt_id AS VARCHAR) AS row_id, emotion1, intensity1, NULL AS original, NULL AS augmented, NULL::DOUBLE AS quality,
+  NULL AS mode FROM s
+UNION ALL SELECT ex.aug_id, s.emotion1, s.intensity1, coalesce(s.utterance, ''), coalesce(s.utterance, ''), 0.5, 'none'
+  FROM ex JOIN s USING (utt_id)"""
