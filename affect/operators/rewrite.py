@@ -127,7 +127,8 @@ def _words(t: Column) -> Column:
 
 
 def _choice(arr: Column, u: Column) -> Column:
-    return F.element_at(arr, (F.floor(u * F.size(arr)) + 1).cast("int"))
+    """Seeded ``random.choice``; null for an empty list."""
+    return F.try_element_at(arr, (F.floor(u * F.size(arr)) + 1).cast("int"))
 
 
 def words_of(col) -> Column:

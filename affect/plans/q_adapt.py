@@ -438,15 +438,20 @@ mg AS (SELECT utt_id, els,
 wd AS (SELECT mg.utt_id, u.w, u.pos FROM mg, LATERAL (SELECT unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos
    FROM (SELECT flatten(list_transform(mg.exs, lambda t: list_filter(regexp_split_to_array(lower(t), '{_W}+'), lambda w: w <> ''))) AS ws)) u),
 wc AS (SELECT utt_id, w, count(*) AS c, min(pos) AS fp FROM wd GROUP BY ALL),
-cw AS (SELECT utt_id, list(w ORDER BY c DESC, fp) AS ws FROM wc GROUP BY utt_id)
-SELECT mg.utt_id,
- array_to_string((CASE WHEN len(kwu) = 0 AND len(exs) > 0 THEN coalesce(cw.ws, [])[1:20] ELSE kwu END)[1:30], '|') AS keywords,
- array_to_string((CASE WHEN len(stu) = 0 THEN {_DEF_S} ELSE stu END)[1:15], '|') AS starters,
- round(CASE WHEN len(matched) > 0 THEN list_sum(list_transform(matched, lambda x: x.al)) / len(matched)
+cw AS (SELECT utt_id, list(w ORDER BY c DESC, fp) AS ws FROM wc GROUP BY utt_id),
+att AS (SELECT mg.utt_id,
+ (CASE WHEN len(kwu) = 0 AND len(exs) > 0 THEN coalesce(cw.ws, [])[1:20] ELSE kwu END)[1:30] AS keywords,
+ (CASE WHEN len(stu) = 0 THEN {_DEF_S} ELSE stu END)[1:15] AS starters,
+ CASE WHEN len(matched) > 0 THEN list_sum(list_transform(matched, lambda x: x.al)) / len(matched)
    WHEN len(exs) > 0 THEN list_sum(list_transform(exs, lambda t: len(list_filter({_WSR}, lambda w: w <> '')))) / len(exs)
-   ELSE 50.0 END, 6) AS avg_length,
- array_to_string(ints[1:15], '|') AS intensifiers, CAST(len(exs[1:6]) AS INTEGER) AS n_examples
-FROM mg LEFT JOIN cw USING (utt_id)"""
+   ELSE 50.0 END AS avg_length,
+ ints[1:15] AS intensifiers, exs[1:6] AS examples
+FROM mg LEFT JOIN cw USING (utt_id))
+"""
+_D6_ATT = O["d6_attach_patterns"]
+O["d6_attach_patterns"] = _D6_ATT + """SELECT utt_id, array_to_string(keywords, '|') AS keywords, array_to_string(starters, '|') AS starters,
+ round(avg_length, 6) AS avg_length, array_to_string(intensifiers, '|') AS intensifiers, CAST(len(examples) AS INTEGER) AS n_examples
+FROM att"""
 
 
 # ---------------------------------------------------------------- D14 (llm mode) and D18 (identity mode) with oracles
@@ -494,3 +499,57 @@ SELECT CAST(utt_id AS VARCHAR) AS row_id, emotion1, intensity1, NULL AS original
   NULL AS mode FROM s
 UNION ALL SELECT ex.aug_id, s.emotion1, s.intensity1, coalesce(s.utterance, ''), coalesce(s.utterance, ''), 0.5, 'none'
   FROM ex JOIN s USING (utt_id)"""
+
+
+# ---------------------------------------------------------------- D8 full chain oracle (eda mode over D6 output)
+def _uid(step: str, id_expr: str = "utt_id") -> str:
+    return uniform_sql(42, id_expr, step)
+
+
+_META = "[" + ", ".join(f"'{w}'" for w in RW.META_WORDS) + "]"
+_FI = "[" + ", ".join(f"'{w}'" for w in RW.FALLBACK_INTENSIFIERS) + "]"
+_FS = "[" + ", ".join(f"'{w}'" for w in RW.FALLBACK_STARTERS) + "]"
+_BUNDLE_INTS = "list_filter([" + ", ".join(
+    f"CASE WHEN {S.lenient(e)} IS NOT NULL AND {S.to_num(i)} IS NOT NULL THEN CAST(trunc({S.to_num(i)}) AS DOUBLE) END"
+    for e, i in L.SLOTS) + "], lambda x: x IS NOT NULL)"
+O["d8_rewrite_rules"] = _D6_ATT + f""",
+r0 AS (SELECT fs.utt_id, coalesce(fs.utterance, '') AS t, att.keywords AS kw0, att.starters AS st0, att.intensifiers AS in0,
+  att.avg_length AS al, {_BUNDLE_INTS} AS bi FROM fs JOIN att USING (utt_id)),
+r1 AS (SELECT *, len(kw0) = 0 AND len(st0) = 0 AND len(in0) = 0 AS nothing,
+  CASE WHEN len(bi) > 0 THEN list_sum(bi) / len(bi) ELSE 2.0 END AS mi FROM r0),
+r2 AS (SELECT utt_id, t, al, kw0, CASE WHEN nothing THEN {_FI} ELSE in0 END AS ins, CASE WHEN nothing THEN {_FS} ELSE st0 END AS st,
+  list_filter(kw0, lambda k: NOT list_contains({_META}, lower(k))) AS kw,
+  list_filter(regexp_split_to_array(t, '{_W}+'), lambda x: x <> '') AS w0,
+  coalesce(CASE CAST(round_even(mi, 0) AS INTEGER) WHEN 1 THEN 0.2 WHEN 2 THEN 0.45 WHEN 3 THEN 0.75 END, 0.4) AS p FROM r1),
+a1 AS (SELECT *, coalesce(list_position(list_transform(w0, lambda x, i: list_contains({_LV}, lower(x)) AND i < len(w0)), true), 0) AS hit,
+  ins[CAST(floor({_uid('int_choice')} * len(ins)) AS INTEGER) + 1] AS ic,
+  CAST(floor({_uid('int_pos')} * (len(w0) - 1)) + 1 AS INTEGER) AS rp, len(ins) > 0 AND {_uid('int_p')} < p AS go FROM r2),
+a2 AS (SELECT *, CASE WHEN go AND hit > 0 THEN list_concat(w0[1:hit], [ic], w0[hit + 1:])
+  WHEN go AND len(w0) > 2 THEN list_concat(w0[1:rp], [ic], w0[rp + 1:]) ELSE w0 END AS w1 FROM a1),
+b1 AS (SELECT *, list_sort(list_transform(list_filter(kw, lambda k: NOT contains(lower(array_to_string(w1, ' ')), lower(k))),
+  lambda k: {{'d': {uniform_sql(42, "CAST(utt_id AS VARCHAR) || ':' || k", 'kw_pick')}, 'k': k}})) AS ranked,
+  least(greatest(1, CAST(trunc(len(w1) / 12) AS INTEGER)), 2) AS m FROM a2),
+b2 AS (SELECT *, list_transform(ranked[1:least(len(ranked), m)], lambda s, j: {{'k': s.k,
+  'u': {uniform_sql(42, "CAST(utt_id AS VARCHAR) || ':' || CAST(j - 1 AS VARCHAR)", 'kw_pos')}}}) AS chosen FROM b1),
+b3 AS (SELECT *, CASE WHEN len(kw) > 0 THEN list_reduce(chosen, lambda acc, s: list_concat(
+  acc[1:CAST(floor(s.u * (len(acc) + 1)) AS INTEGER)], [s.k], acc[CAST(floor(s.u * (len(acc) + 1)) AS INTEGER) + 1:]), w1)
+  ELSE w1 END AS w2 FROM b2),
+c1 AS (SELECT *, list_filter(st, lambda x: x NOT IN ('*', '[', ']')) AS stf FROM b3),
+c2 AS (SELECT *, stf[CAST(floor({_uid('start_choice')} * len(stf)) AS INTEGER) + 1] AS stc FROM c1),
+c3 AS (SELECT *, CASE WHEN len(st) > 0 AND {_uid('start_p')} < 0.25 AND len(w2) > 0
+  AND coalesce(regexp_full_match(stc, '[\\p{{L}}\\p{{N}}]+'), false)
+  THEN list_concat([upper(stc[1]) || lower(stc[2:])], w2[2:]) ELSE w2 END AS w3 FROM c2),
+d1 AS (SELECT *, CAST(trunc(coalesce(al, 50.0)) AS INTEGER) AS tl, {_EN}[CAST(floor({_uid('ending')} * 5) AS INTEGER) + 1] AS ending FROM c3),
+d2 AS (SELECT *, CASE WHEN len(w3) < tl * 0.6 THEN array_to_string(w3, ' ') || ' ' || ending
+  WHEN len(w3) > tl * 1.6 THEN array_to_string(w3[1:greatest(CAST(trunc(tl * 1.2) AS INTEGER), 0)], ' ')
+  ELSE array_to_string(w3, ' ') END AS t4 FROM d1),
+e1 AS (SELECT *, substr(t4, 1, 1) AS f, len(list_filter({_FP}, lambda q: contains(lower(t4), q))) > 0 AS fp FROM d2),
+e2 AS (SELECT *, CASE WHEN NOT fp AND {_uid('i_p')} < 0.3 THEN (CASE WHEN f <> '' AND f = upper(f) AND f <> lower(f)
+  THEN 'I ' || lower(f) || substr(t4, 2) ELSE 'I ' || t4 END) ELSE t4 END AS t5 FROM e1),
+f1 AS (SELECT *, {S.strip(f"regexp_replace(regexp_replace(t5, '\\*+', '', 'g'), '{_W}+', ' ', 'g')")} AS out FROM e2),
+g1 AS (SELECT *, CASE WHEN {_valid_sql('out')} THEN out ELSE t END AS augmented FROM f1)
+SELECT utt_id, t AS original, augmented,
+ round(CASE WHEN lower({S.strip('t')}) = lower({S.strip('augmented')}) THEN 0.5
+  ELSE greatest(0.0, least(1.0, 0.5 - least(0.3, abs({S.word_count('augmented')} - coalesce(al, 50.0)) / greatest(1.0, coalesce(al, 50.0)) * 0.3)
+   + least(0.4, len(list_filter(kw0[1:5], lambda k: contains(lower(augmented), lower(k)))) * 0.12))) END, 6) AS quality
+FROM g1"""
