@@ -553,3 +553,27 @@ SELECT utt_id, t AS original, augmented,
   ELSE greatest(0.0, least(1.0, 0.5 - least(0.3, abs({S.word_count('augmented')} - coalesce(al, 50.0)) / greatest(1.0, coalesce(al, 50.0)) * 0.3)
    + least(0.4, len(list_filter(kw0[1:5], lambda k: contains(lower(augmented), lower(k)))) * 0.12))) END, 6) AS quality
 FROM g1"""
+
+
+# ---------------------------------------------------------------- D9 with attached patterns (oracle)
+_BLOCK = "|".join(D.EXAMPLE_BLOCK_WORDS)
+O["d9_build_prompts"] = _D6_ATT + f""",
+cue(emotion, intensity, cue) AS (VALUES {_CUES}),
+q0 AS (SELECT fs.utt_id, fs.utterance, fs.sentiment, att.examples AS exs, att.avg_length, """ + ", ".join(
+    f"(SELECT cue FROM cue WHERE cue.emotion = {S.lenient(e)} AND cue.intensity = {S.trunc_int(i)}) AS c{k}"
+    for k, (e, i) in enumerate(L.SLOTS)) + f""" FROM fs JOIN att USING (utt_id)),
+q1 AS (SELECT *, list_filter([c0, c1, c2], lambda x: x IS NOT NULL) AS cl,
+  list_filter(exs, lambda x: NOT contains(x, '*') AND NOT regexp_matches(lower(x), '{_BLOCK}')) AS cln FROM q0),
+q2 AS (SELECT *, list_transform(cln, lambda x: lower(trim(x))) AS nrm FROM q1),
+q3 AS (SELECT *, list_filter(cln, lambda x, i: list_position(nrm, lower(trim(x))) = i)[1:4] AS chosen,
+  CAST(trunc(coalesce(avg_length, 50.0)) AS INTEGER) AS tl,
+  CASE WHEN len(cl) > 0 THEN array_to_string(cl, ' and ') ELSE 'mixed feelings' END AS cues FROM q2)
+SELECT utt_id, cues, tl AS target_len, CAST(len(chosen) AS INTEGER) AS n_examples,
+ 'Rewrite this message as someone talking to a therapist. Show their emotional state through what they describe, not by naming emotions.' || chr(10) || chr(10) ||
+ 'Original: "' || utterance || '"' || chr(10) || chr(10) || 'Their state: ' || cues || chr(10) || chr(10) ||
+ (CASE WHEN len(chosen) > 0 THEN array_to_string(list_transform(chosen, lambda x: '- ' || x), chr(10)) ELSE '(no clean examples available)' END)
+ || chr(10) || chr(10) || 'Rules:' || chr(10) ||
+ '- Show feelings through situations, physical reactions, thoughts' || chr(10) ||
+ '- Don''t use emotion labels (sad, angry, happy, etc.)' || chr(10) || '- Natural tone, about ' || CAST(tl AS VARCHAR) || ' words' || chr(10) ||
+ '- ' || coalesce(sentiment, 'negative') || ' sentiment' || chr(10) || '- Just the message, no explanations' || chr(10) || chr(10) ||
+ 'Message:' AS prompt FROM q3"""
