@@ -144,7 +144,7 @@ def _d14(spark, sf):
     a = _attached(spark, sf)
     comp = view(spark, "completions", sf).select("utt_id", "completion")
     aug, det = B.augment(a.join(comp, "utt_id", "left"), mode="mixed", seed=42, completion_col="completion")
-    return det
+    return _r6(det)
 
 
 Q["d14_augment_details"] = _d14
@@ -577,3 +577,26 @@ SELECT utt_id, cues, tl AS target_len, CAST(len(chosen) AS INTEGER) AS n_example
  '- Don''t use emotion labels (sad, angry, happy, etc.)' || chr(10) || '- Natural tone, about ' || CAST(tl AS VARCHAR) || ' words' || chr(10) ||
  '- ' || coalesce(sentiment, 'negative') || ' sentiment' || chr(10) || '- Just the message, no explanations' || chr(10) || chr(10) ||
  'Message:' AS prompt FROM q3"""
+
+
+# ---------------------------------------------------------------- D14 mixed mode details (oracle)
+_BSTR = ("list_filter([" + ", ".join(
+    f"CASE WHEN {S.lenient(e)} IS NOT NULL AND {S.to_num(i)} IS NOT NULL THEN {S.lenient(e)} || ':' || CAST({S.to_num(i)} AS VARCHAR) END"
+    for e, i in L.SLOTS) + "], lambda x: x IS NOT NULL)")
+O["d14_augment_details"] = O["d8_rewrite_rules"].split(",\ng1 AS (")[0].replace(U, cte("utterances", "completions"), 1) + f""",
+gc AS (SELECT f1.*, {S.strip("coalesce(c.completion, '')")} AS raw FROM f1 LEFT JOIN completions c USING (utt_id)),
+gc2 AS (SELECT *, {_clean_sql('raw')} AS cleaned FROM gc),
+gc3 AS (SELECT *, CASE WHEN {S.word_count('raw')} < 3 THEN t
+   WHEN len(list_filter({_LW}, lambda w: contains(lower(cleaned), w))) > 0 THEN t
+   WHEN lower({S.strip('cleaned')}) = lower({S.strip('t')}) THEN t WHEN cleaned = '' THEN t ELSE cleaned END AS llm FROM gc2),
+mx AS (SELECT *, CASE WHEN {_uid('mixed')} < 0.65 THEN llm ELSE out END AS o2 FROM gc3),
+g1 AS (SELECT *, {_valid_sql('o2')} AS v, CASE WHEN {_valid_sql('o2')} THEN o2 ELSE t END AS augmented FROM mx),
+bs AS (SELECT utt_id, {_BSTR} AS b FROM fs)
+SELECT g1.utt_id AS sample_idx, CAST({S.word_count('t')} AS INTEGER) AS original_len,
+ CAST({S.word_count('augmented')} AS INTEGER) AS transformed_len,
+ CASE WHEN len(b) = 0 THEN 'neutral:2.0' ELSE array_to_string(b, ',') END AS bundle,
+ round(CASE WHEN lower({S.strip('t')}) = lower({S.strip('augmented')}) THEN 0.5
+  ELSE greatest(0.0, least(1.0, 0.5 - least(0.3, abs({S.word_count('augmented')} - coalesce(al, 50.0)) / greatest(1.0, coalesce(al, 50.0)) * 0.3)
+   + least(0.4, len(list_filter(kw0[1:5], lambda k: contains(lower(augmented), lower(k)))) * 0.12))) END, 6) AS quality,
+ 'mixed' AS mode, {_valid_sql('augmented')} AS is_valid, NOT v AS reverted
+FROM g1 JOIN bs USING (utt_id)"""
