@@ -55,25 +55,49 @@ def correlation_matrix(df: DataFrame, cols=("precision", "recall", METRIC)) -> D
 
 
 # ---------------------------------------------------------------- exact quantiles
-def exact_quantiles(df: DataFrame, by: list[str], x: str, probs: list[float]) -> DataFrame:
-    """(by..., p, q) with numpy/pandas linear interpolation between order
-    statistics.  Works on the per-group histogram of distinct values with a
-    running count (a sort of distinct values per group, spill-capable)."""
-    hist = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    h = (hist.withColumn("__cum", F.sum("__c").over(w))
-             .withColumn("__n", F.sum("__c").over(Window.partitionBy(*by)))
-             .withColumn("__prev", F.col("__cum") - F.col("__c")))
-    h = h.select(*by, x, "__cum", "__prev", "__n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+def exact_quantiles(df: DataFrame, by: list[str], x: str, probs: list[float], bins: int = 1 << 16) -> DataFrame:
+    """(by..., p, q): exact quantiles with numpy/pandas linear interpolation
+    between order statistics, computed without sorting a group.
+
+    1. per group min, max and count (one aggregation);
+    2. a histogram over ``bins`` equal-width value bins per group (partial
+       aggregation before the shuffle) and a running count over the bins
+       (at most ``bins`` rows per group) locate the bins holding the needed
+       order statistics;
+    3. only the rows of those bins are reduced to (value, count) and ranked.
+    Every task handles a bounded slice, whatever the size of a group."""
+    base = df.select(*by, F.col(x).cast("double").alias("__x")).where(F.col("__x").isNotNull())
+    mm = base.groupBy(*by).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.count(F.lit(1)).alias("__n"))
+    width = (F.col("__hi") - F.col("__lo")) / bins
+    binned = base.join(F.broadcast(mm), on=by).withColumn(
+        "__bin", F.when(F.col("__hi") == F.col("__lo"), F.lit(0)).otherwise(
+            F.least(F.floor((F.col("__x") - F.col("__lo")) / width), F.lit(bins - 1))).cast("int"))
+    hist = binned.groupBy(*by, "__bin").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    cum = (hist.join(F.broadcast(mm.select(*by, "__n")), on=by)
+               .withColumn("__cum", F.sum("__c").over(w)).withColumn("__prev", F.col("__cum") - F.col("__c")))
+    # needed order statistics: (p, side lo/hi, rank)
+    need = mm.select(*by, "__n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
     pos = (F.col("__n") - 1) * F.col("p")
-    lo = F.floor(pos)
-    hi = F.least(lo + 1, F.col("__n") - 1)
-    h = h.withColumn("__lo", lo).withColumn("__hi", hi).withColumn("__frac", pos - lo)
-    hit_lo = (F.col("__prev") <= F.col("__lo")) & (F.col("__lo") < F.col("__cum"))
-    hit_hi = (F.col("__prev") <= F.col("__hi")) & (F.col("__hi") < F.col("__cum"))
-    g = h.where(hit_lo | hit_hi).groupBy(*by, "p").agg(
-        F.max(F.when(hit_lo, F.col(x))).alias("__vlo"), F.max(F.when(hit_hi, F.col(x))).alias("__vhi"),
-        F.first("__frac").alias("__frac"))
+    need = need.withColumn("__frac", pos - F.floor(pos)).select(
+        *by, "p", "__frac", F.explode(F.array(
+            F.struct(F.lit("lo").alias("side"), F.floor(pos).cast("long").alias("rank")),
+            F.struct(F.lit("hi").alias("side"), F.least(F.floor(pos) + 1, F.col("__n") - 1).cast("long").alias("rank"))
+        )).alias("s")).select(*by, "p", "__frac", "s.side", "s.rank")
+    cond = [need[k] == cum[k] for k in by] + [cum["__prev"] <= need["rank"], need["rank"] < cum["__cum"]]
+    located = need.join(cum, cond).select(*[need[k] for k in by], "p", "__frac", "side",
+                                          (F.col("rank") - F.col("__prev")).alias("__local"), "__bin")
+    target_bins = located.select(*by, "__bin").distinct()
+    vals = (binned.join(F.broadcast(target_bins), on=by + ["__bin"], how="left_semi")
+                  .groupBy(*by, "__bin", "__x").agg(F.count(F.lit(1)).alias("__vc")))
+    wv = Window.partitionBy(*by, "__bin").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    vals = vals.withColumn("__vcum", F.sum("__vc").over(wv)).withColumn("__vprev", F.col("__vcum") - F.col("__vc"))
+    cond2 = [located[k] == vals[k] for k in by] + [located["__bin"] == vals["__bin"],
+                                                   vals["__vprev"] <= located["__local"], located["__local"] < vals["__vcum"]]
+    picked = located.join(vals, cond2).select(*[located[k] for k in by], "p", "__frac", "side", "__x")
+    g = picked.groupBy(*by, "p").agg(F.max(F.when(F.col("side") == "lo", F.col("__x"))).alias("__vlo"),
+                                     F.max(F.when(F.col("side") == "hi", F.col("__x"))).alias("__vhi"),
+                                     F.first("__frac").alias("__frac"))
     return g.select(*by, "p", (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac")).alias("q"))
 
 

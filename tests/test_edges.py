@@ -208,3 +208,17 @@ def test_quality_bounds(spark):
               "o string, t string, tl double")
     q = [r.q for r in df.select(RW.quality_score("o", "t", "tl").alias("q")).collect()]
     assert q[0] == 0.5 and all(0.0 <= x <= 1.0 for x in q)
+
+
+def test_exact_quantiles_many_values(spark):
+    import random
+    import numpy as np
+    rnd = random.Random(7)
+    data = {g: [round(rnd.lognormvariate(0, 1), 2) for _ in range(3000)] for g in ("a", "b", "c")}
+    data["d"] = [5.0] * 10
+    rows = [(g, v) for g, vs in data.items() for v in vs]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {(r.k, r.p): r.q for r in X.exact_quantiles(df, ["k"], "x", [0.1, 0.25, 0.5, 0.75, 0.99], bins=64).collect()}
+    for g, vs in data.items():
+        for p in (0.1, 0.25, 0.5, 0.75, 0.99):
+            assert abs(got[(g, p)] - float(np.quantile(vs, p))) < 1e-9
