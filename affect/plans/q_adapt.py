@@ -70,10 +70,11 @@ def _flags(spark, sf):
     return D.filter_for_target(_source(spark, sf), _target(spark, sf), min_samples=10)
 
 
-Q["d2_label_filter"] = lambda spark, sf: _flags(spark, sf)[0].select("utt_id", "keep_label")
+Q["d2_label_filter"] = lambda spark, sf: D.label_flags(
+    _source(spark, sf), D.compatible_labels(_source(spark, sf), _target(spark, sf))).select("utt_id", "keep_label")
 O["d2_label_filter"] = SRC + "SELECT utt_id, keep_label FROM fl"
 
-Q["d3_intensity_filter"] = lambda spark, sf: _flags(spark, sf)[0].select("utt_id", "keep_intensity")
+Q["d3_intensity_filter"] = lambda spark, sf: _source(spark, sf).select("utt_id", D.intensity_ok().alias("keep_intensity"))
 O["d3_intensity_filter"] = SRC + "SELECT utt_id, keep_intensity FROM fl"
 
 Q["d4_rare_pair_filter"] = lambda spark, sf: _flags(spark, sf)[0].where(
