@@ -45,22 +45,28 @@ def get_spark(app: str = "affect", master: str | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder used to cut lineage (``DataFrame.checkpoint``).
+    """The shared folder used to cut lineage (written intermediate tables).
 
     A cluster names it in ``spark.checkpoint.dir``; that value is always
     respected.  Only when it is unset (local runs, tests) a fresh scratch
-    folder is created and registered.
-    """
+    folder is created and registered."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc = None
     if conf_dir:
-        spark.sparkContext.setCheckpointDir(conf_dir)
+        if sc is not None:
+            sc.setCheckpointDir(conf_dir)
         return conf_dir
-    current = spark.sparkContext.getCheckpointDir()
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     local = tempfile.mkdtemp(prefix="affect-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(local)
-    return spark.sparkContext.getCheckpointDir() or local
+    if sc is not None:
+        sc.setCheckpointDir(local)
+        return sc.getCheckpointDir() or local
+    return local
 
 
 def materialize(df, name: str = "stage"):
