@@ -601,3 +601,26 @@ SELECT g1.utt_id AS sample_idx, CAST({S.word_count('t')} AS INTEGER) AS original
    + least(0.4, len(list_filter(kw0[1:5], lambda k: contains(lower(augmented), lower(k)))) * 0.12))) END, 6) AS quality,
  'mixed' AS mode, {_valid_sql('augmented')} AS is_valid, NOT v AS reverted
 FROM g1 JOIN bs USING (utt_id)"""
+
+
+# ---------------------------------------------------------------- D18 rewrite mode (oracle)
+_FS_LINE = "fs AS (SELECT *, coalesce(lower(sentiment), 'negative') AS sent FROM rk WHERE keep_rare),"
+_XROWS = """xb AS (SELECT utt_id, list_filter([""" + ", ".join(
+    f"{{'e': {S.lenient(e)}, 'i': {S.to_num(i)}}}" for e, i in L.SLOTS) + """], lambda x: x.e IS NOT NULL AND x.i IS NOT NULL) AS bundle FROM src),
+xk AS (SELECT utt_id, CASE WHEN len(bundle) = 0 THEN 'neutral:2' ELSE array_to_string(list_sort(list_transform(bundle,
+  lambda x: x.e || ':' || CAST(CAST(trunc(x.i) AS INTEGER) AS VARCHAR))), '|') END AS bundle_key FROM xb),
+xc AS (SELECT bundle_key, count(*) AS count FROM xk GROUP BY 1),
+xp0 AS (SELECT bundle_key, count, CAST(trunc(max(count) OVER () * 1.0) AS BIGINT) AS target FROM xc),
+xp1 AS (SELECT *, CASE WHEN count < target THEN least(target - count, 600) ELSE 0 END AS needed FROM xp0),
+xplan AS (SELECT *, least(needed, count) AS pass1, least(needed - least(needed, count), count) AS pass2 FROM xp1),
+xr AS (""" + " UNION ALL ".join(
+    f"""SELECT k.utt_id, {p} AS pass, xplan.pass{p} AS q, row_number() OVER (PARTITION BY k.bundle_key
+  ORDER BY {draw_long_sql(42, 'k.utt_id', f'pass{p}')}, k.utt_id) AS rn FROM xk k JOIN xplan USING (bundle_key) WHERE xplan.pass{p} > 0"""
+    for p in (1, 2)) + """),
+fs AS (SELECT CAST(s.utt_id AS VARCHAR) || '#' || CAST(xr.pass AS VARCHAR) AS utt_id, s.utterance, s.sentiment,
+  s.emotion1, s.intensity1, s.emotion2, s.intensity2, s.emotion3, s.intensity3, coalesce(lower(s.sentiment), 'negative') AS sent
+  FROM xr JOIN src s ON s.utt_id = xr.utt_id WHERE xr.rn <= xr.q),"""
+assert _FS_LINE in O["d8_rewrite_rules"]
+O["d18_balance_and_expand"] = O["d8_rewrite_rules"].replace(_FS_LINE, _XROWS, 1).split("\nSELECT utt_id, t AS original")[0] + """
+SELECT CAST(utt_id AS VARCHAR) AS row_id, emotion1, intensity1, NULL AS augmented, NULL AS mode FROM src
+UNION ALL SELECT g1.utt_id, fs.emotion1, fs.intensity1, g1.augmented, 'eda' FROM g1 JOIN fs USING (utt_id)"""
