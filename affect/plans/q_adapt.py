@@ -456,7 +456,7 @@ FROM att"""
 
 
 # ---------------------------------------------------------------- D14 (llm mode) and D18 (identity mode) with oracles
-def _d14_llm(spark, sf):
+def _d14_completion(spark, sf):
     src = _source(spark, sf)
     comp = view(spark, "completions", sf).select("utt_id", "completion")
     rows = (src.join(comp, "utt_id", "left").withColumn("keywords", F.lit(None).cast("array<string>"))
@@ -465,8 +465,8 @@ def _d14_llm(spark, sf):
     return _r6(aug.select("utt_id", "sentiment", "original", "augmented", "quality", "mode"))
 
 
-Q["d14_augment_llm"] = _d14_llm
-O["d14_augment_llm"] = _GATE.replace(C, cte("utterances", "completions"), 1) + f""", s AS (SELECT * FROM utterances WHERE domain = 'source'),
+Q["d14_augment_completion"] = _d14_completion
+O["d14_augment_completion"] = _GATE.replace(C, cte("utterances", "completions"), 1) + f""", s AS (SELECT * FROM utterances WHERE domain = 'source'),
 j AS (SELECT s.utt_id, coalesce(s.sentiment, 'negative') AS sentiment, coalesce(s.utterance, '') AS original,
   CASE WHEN {S.word_count('raw')} < 3 THEN coalesce(s.utterance, '')
    WHEN len(list_filter({_LW}, lambda w: contains(lower(g2.cleaned), w))) > 0 THEN coalesce(s.utterance, '')
