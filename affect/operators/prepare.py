@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affect.functions.clean import (TRUE_WORDS, finite, py_int, py_strip,
-                                    repair_text, sentiment_code, to_num)
+                                    repair_text, sentiment_code)
 from affect.operators.sampling import draw_long, lowest_by_draw
-from affect.operators.labels import label_arrays, parse_one_hot
+from affect.operators.labels import parse_one_hot
 
 TEXT_KEYS_LOADER = ["utterance", "text", "message", "content", "augmented"]
 FALSE_WORDS = ["0", "0.0", "false", "f", "no", "n", ""]

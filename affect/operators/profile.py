@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affect.functions.clean import finite, normalize_label, py_strip, to_num
+from affect.functions.clean import finite, py_strip, to_num
 from affect.functions.frames import stack_rows
 from affect.operators.labels import SLOTS, with_emotions
 

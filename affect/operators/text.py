@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from affect.functions.clean import WS_CLASS, normalize_label, to_num, word_count
+from affect.functions.clean import WS_CLASS, to_num, word_count
 from affect.operators.labels import SLOTS, explode_slots, sentiment_label
 from affect.operators.sampling import draw_long, lowest_by_draw
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from affect.functions.clean import py_strip
 from affect.operators import adapt as D
 from affect.operators import balance as B
 from affect.operators import labels as L
