@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from affect.functions.clean import WS_CLASS, normalize_label, to_num, word_count
 from affect.operators.labels import SLOTS, explode_slots, vocabulary
+from affect.session import materialize
 
 DEFAULT_INTENSIFIERS = ["very", "really", "so", "quite", "extremely"]
 DEFAULT_STARTERS = ["i", "it", "that", "this", "my", "the"]
@@ -119,7 +120,8 @@ def filter_for_target(source: DataFrame, target: DataFrame, min_samples: int = 1
     """D2-D4 in sequence; returns (flagged source, compatibility table).
     The flagged frame carries keep_label / keep_intensity / keep_rare and the
     filtered corpus is ``where(keep_label & keep_intensity & keep_rare)``."""
-    comp = compatible_labels(source, target)
+    # the label table is tiny and used twice (flags, report): written once
+    comp = materialize(compatible_labels(source, target), "compatible_labels")
     f = label_flags(source, comp) if remove_incompatible else source.withColumn("keep_label", F.lit(True))
     f = f.withColumn("keep_intensity", intensity_ok(allowed))
     # one pass for the pair counts over the survivors, one pass for the flags
