@@ -191,7 +191,7 @@ def classification_report(long: DataFrame, keys: list[str], classes: list | None
     name = F.col("cls").cast("string")
     if names:
         mapping = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
-        name = F.coalesce(F.element_at(mapping, F.col("cls")), name)
+        name = F.coalesce(F.try_element_at(mapping, F.col("cls")), name)
     numeric = dict(cells.dtypes).get("y_true", "string") != "string"
     order = F.lpad(F.col("cls").cast("string"), 20, "0") if numeric else F.col("cls").cast("string")
     rows = m.select(*keys, F.lit(1).alias("pos"), order.alias("__ord"), name.alias("label"),

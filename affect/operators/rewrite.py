@@ -139,8 +139,10 @@ def words_of(col) -> Column:
 def intensity_prob(mean_intensity) -> Column:
     """Insertion probability by the rounded mean bundle intensity."""
     r = F.bround(_c(mean_intensity), 0).cast("int")
-    return F.coalesce(F.element_at(F.create_map(*[x for k, v in INTENSITY_PROB.items()
-                                                  for x in (F.lit(k), F.lit(v))]), r), F.lit(0.4))
+    prob = F.lit(0.4)
+    for k, v in sorted(INTENSITY_PROB.items(), reverse=True):
+        prob = F.when(r == k, F.lit(v)).otherwise(prob)
+    return prob
 
 
 def step_insert_intensifier(df, words: str, intensifiers: str, prob, row_id, seed: int, out: str):
