@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,13 +24,13 @@ def get_spark(app: str = "affect", master: str | None = None,
               extra: dict | None = None) -> SparkSession:
     """Return (or create) a session with the project defaults.
 
-    On a cluster ``master`` is left to spark-submit; locally it defaults to
-    ``local[*]``.  The checkpoint directory is only set when the cluster did
-    not name one (see :func:`checkpoint_dir`).
+    The master is left to spark-submit unless the caller names one.  The
+    checkpoint directory is only set when the cluster did not name one (see
+    :func:`checkpoint_dir`).
     """
     builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or "local[*]")
+    if master:
+        builder = builder.master(master)
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions is not None:
@@ -40,7 +39,6 @@ def get_spark(app: str = "affect", master: str | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
@@ -48,8 +46,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage (written intermediate tables).
 
     A cluster names it in ``spark.checkpoint.dir``; that value is always
-    respected.  Only when it is unset (local runs, tests) a fresh scratch
-    folder is created and registered."""
+    respected.  Where it is unset, a local session (one machine: tests, bench)
+    gets a fresh scratch folder; on a cluster there is no folder to guess that
+    every executor sees, so that is an error."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
@@ -62,7 +61,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
-    local = tempfile.mkdtemp(prefix="affect-ckpt-", dir="/tmp")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    local = tempfile.mkdtemp(prefix="affect-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(local)
         return sc.getCheckpointDir() or local
