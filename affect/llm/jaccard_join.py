@@ -194,12 +194,13 @@ def _block_links(percent: int):
             has[of[a:b], column[a:b] - begin] = 1
             overlap += has @ has.T
         linked = 100 * overlap >= percent * (n[:, None] + n[None, :] - overlap)
+        np.fill_diagonal(linked, True)
         label = np.arange(len(sets))
         while True:
             least = np.where(linked, label[None, :], len(sets)).min(1)
             if (least == label).all():
                 break
-            label = np.minimum(label, least)[least]
+            label = least[least]
         off = np.flatnonzero(label != np.arange(len(sets)))
         return pd.DataFrame({"a": node[off], "b": node[label[off]]})
     return run
