@@ -45,9 +45,10 @@ from affect.llm.hashing import batches, mix
 
 SHINGLE = 5
 PERCENT = 80
-#: Bytes of text whose shingles one hash range gets, and shingles gathered before they are sent.
-RANGE_BYTES = 24 << 20
-SEND = 3_000_000
+#: Bytes of text whose shingles one hash range gets; shingles gathered before they are sent; rows that are split into words together.
+RANGE_BYTES = 12 << 20
+SEND = 1_000_000
+ROWS = 1000
 #: Classes of one prefix shingle that are paired by a join; blocks of half as many beyond.
 BLOCK = 256
 FRAGMENTS = 4
@@ -87,7 +88,7 @@ def _send(k: int, parts: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("data", pa.binary())])
         gathered, size = [], 0
-        for batch in rows:
+        for batch in (big.slice(i, ROWS) for big in rows for i in range(0, big.num_rows, ROWS)):
             texts = [t.translate(LOWER) for t in utf8(batch.column(1))]
             null = np.array(batch.column(0).is_null())
             ids = np.array(batch.column(0).fill_null(0), np.int64)
