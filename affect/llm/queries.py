@@ -9,7 +9,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affect.llm import decontaminate, jaccard_join, packing, quality, secrets
+from affect.llm import decontaminate, jaccard_join, packing, quality, secrets, substring_dedup
 from affect.llm.common import table
 
 Q: dict = {}
@@ -76,6 +76,28 @@ FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON least_of.x
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+Q["op4_substring_dedup"] = op4_substring_dedup
+O["op4_substring_dedup"] = r"""
+WITH doc_words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, list_aggregate(w[i : i + 19], 'string_agg', ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM doc_words WHERE len(w) >= 20)),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM ranked WHERE r > 1),
+gone_of AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(w[p], ' ' ORDER BY p) AS t
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM doc_words) x ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM doc_words LEFT JOIN gone_of USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = quality.learn(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
