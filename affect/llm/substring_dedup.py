@@ -173,8 +173,7 @@ def _runs_around(window: int, parts: int):
             at, doc, start, hashes = at[keep], doc[keep], start[keep], hashes[keep]
             if len(at):
                 block = np.full(len(some), key[0], np.int32)
-                low = hashes & np.uint64((1 << 40) - 1)
-                out += _by_part(parts, part_of(hashes, parts), doc, start, [low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8)], [ids[some], block, tags[some]])
+                out += _by_part(parts, part_of(hashes, parts), doc, start, [hashes], [ids[some], block, tags[some]])
         return pd.DataFrame(out, columns=["part", "data"])
     return run
 
@@ -182,9 +181,8 @@ def _runs_around(window: int, parts: int):
 def _repeats(blocks: int):
     """The runs of one hash range: all but the first of each kind go back to their documents."""
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ids, block, tags, counts, steps, low, high = _concat(list(rows["data"]), 7)
+        ids, block, tags, counts, steps, h = _concat(list(rows["data"]), 6)
         places, doc = _places(counts, steps), np.repeat(np.arange(len(ids)), counts)
-        h = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
         order = np.lexsort((places, ids[doc], h))
         starts, lengths = runs(h[order])
         of_first = np.repeat(order[starts], lengths)
