@@ -9,7 +9,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affect.llm import decontaminate, jaccard_join, packing, quality, secrets, substring_dedup
+from affect.llm import chat, decontaminate, jaccard_join, packing, quality, secrets, sketch, substring_dedup, url_filter, warc
 from affect.llm.common import table
 
 Q: dict = {}
@@ -53,6 +53,31 @@ FROM doc_words LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
 """
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.perspectives(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return found.withColumn("mask", F.array_join(F.transform("mask", lambda s: F.concat_ws(":", s["start"], s["end"])), ","))
+
+
+Q["op2_chat"] = op2_chat
+O["op2_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(CAST(floor(turn / 512) AS BIGINT), -1) AS segment, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn NULLS LAST, role, text) AS i FROM turns),
+speakers AS (SELECT DISTINCT conv_id, segment, role AS speaker FROM turns WHERE role <> 'system'),
+parts AS (
+  SELECT conv_id, segment, speaker, i, role = speaker AS own,
+         '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head, text || '<|im_end|>' AS body
+  FROM numbered JOIN speakers USING (conv_id, segment)),
+placed AS (
+  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, segment, speaker ORDER BY i) - length(body) - 1 AS begin FROM parts)
+SELECT conv_id, segment, speaker, CAST(count(*) AS BIGINT) AS n_messages, CAST(count(*) FILTER (WHERE own) AS BIGINT) AS n_assistant,
+       string_agg(head || body || chr(10), '' ORDER BY i) AS rendered,
+       string_agg(CAST(begin AS BIGINT) || ':' || CAST(begin + length(body) AS BIGINT), ',' ORDER BY i) FILTER (WHERE own) AS mask
+FROM placed GROUP BY conv_id, segment, speaker
+"""
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), k=3, percent=90)
 
@@ -108,6 +133,51 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q["op5_quality"] = op5_quality
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketch.edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch.fingerprint("sketch").alias("fingerprint"),
+                        sketch.fingerprint("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+Q["op6_fingerprints"] = op6_fingerprints
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages", "page_id", "url", "html")))
+    return found.withColumn("headers", F.array_join(F.transform("headers", lambda h: F.concat_ws("=", h["name"], h["value"])), ";"))
+
+
+Q["op7_warc"] = op7_warc
+O["op7_warc"] = r"""
+WITH base AS (
+  SELECT coalesce(page_id, 0) AS p, url, md5(coalesce(html, '')) AS digest, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, 'day ' || (coalesce(page_id, 0) % 7) AS day FROM pages),
+records AS (
+  SELECT p * 4 AS record_id, url, 'revisit' AS type, p * 1000 AS ts, tag AS etag, NULL AS changed, [('date', 'first'), ('etag', tag)] AS headers, NULL AS digest FROM base
+  UNION ALL SELECT p * 4 + 1, url, 'response', p * 1000 + 10, tag, day, [('content-type', 'text/html'), ('date', 'second'), ('etag', tag), ('last-modified', day)], digest FROM base
+  UNION ALL SELECT p * 4 + 2, url || '#again', 'revisit', p * 1000 + 20, CASE WHEN p % 5 = 0 THEN '"other"' ELSE tag END, NULL,
+                   [('date', 'third'), ('etag', CASE WHEN p % 5 = 0 THEN '"other"' ELSE tag END), ('vary', 'accept')], NULL FROM base
+  UNION ALL SELECT p * 4 + 3, regexp_replace(url, '^http:', 'https:') || CASE WHEN contains(url, '#') THEN '' WHEN contains(url, '?') THEN '&utm_id=1' ELSE '?utm_id=1' END, 'revisit', p * 1000 + 30, NULL, day, [('expires', 'never')], NULL FROM base),
+bare AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM records),
+named AS (SELECT *, regexp_extract(b, '^[^/?]*') AS name FROM bare),
+rest AS (SELECT *, regexp_replace(substr(b, length(name) + 1), '([?&])utm_[^&]*', '\1', 'g') AS r FROM named),
+keyed AS (
+  SELECT *, translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_replace(regexp_replace(
+    regexp_replace(regexp_replace(regexp_replace(r, '&&+', '&', 'g'), '[?]&', '?', 'g'), '[?&]$', ''), '/[?]', '?', 'g'), '/$', '') AS key FROM rest),
+matched AS (
+  SELECT v.record_id, v.key, v.ts, v.etag, v.changed, v.headers, arg_max(f, (f.ts, f.record_id)) AS f
+  FROM (SELECT * FROM keyed WHERE type = 'revisit') v LEFT JOIN (SELECT * FROM keyed WHERE type = 'response') f ON f.key = v.key AND f.ts < v.ts
+  GROUP BY v.record_id, v.key, v.ts, v.etag, v.changed, v.headers),
+judged AS (
+  SELECT *, CASE WHEN f.record_id IS NULL THEN 'no_earlier_response' WHEN etag IS NOT NULL AND f.etag IS NOT NULL THEN CASE WHEN etag = f.etag AND NOT starts_with(etag, 'W/') THEN 'resolved' ELSE 'validator_mismatch' END
+                 WHEN changed IS NOT NULL AND f.changed IS NOT NULL THEN CASE WHEN changed = f.changed THEN 'resolved' ELSE 'validator_mismatch' END ELSE 'no_validator' END AS status FROM matched),
+merged AS (
+  SELECT *, list_sort(list_concat(headers, list_filter(f.headers, lambda h: NOT list_contains(list_transform(headers, lambda g: g[1]), h[1])))) AS h FROM judged)
+SELECT record_id, key AS url, ts, f.record_id AS response_id, status, CASE WHEN status = 'resolved' THEN f.digest END AS digest,
+       CASE WHEN status = 'resolved' THEN list_aggregate(list_transform(h, lambda g: g[1] || '=' || g[2]), 'string_agg', ';') END AS headers
+FROM merged
+"""
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = secrets.scan(docs, secrets.learn(docs)).select("doc_id", "secrets")
@@ -126,6 +196,31 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q["op8_secrets"] = op8_secrets
 
 
+#: The rules of the query (fixed values): host, path, verdict.
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(str(r) for r in RULES) + " AS rules(host, path, verdict)")
+    found = url_filter.verdicts(table(spark, sf_dir, "pages", "page_id", "url"), rules)
+    return found.select("page.page_id", "host", "path", "rule", "verdict")
+
+
+Q["op9_url_filter"] = op9_url_filter
+O["op9_url_filter"] = r"""
+WITH after AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS a FROM pages),
+parsed AS (
+  SELECT page_id, translate(regexp_extract(a, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(regexp_replace(a, '^[^/?#]*', ''), '^[^?#]*') AS path FROM after),
+rules(rhost, rpath, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+numbered AS (SELECT row_number() OVER () AS n, * FROM parsed),
+fits AS (
+  SELECT n, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+  FROM numbered JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM numbered LEFT JOIN fits USING (n)
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file()))
 
