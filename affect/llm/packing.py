@@ -144,50 +144,41 @@ def cut(ids: bytes, tokens: int) -> list[dict]:
 
 def best_two_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     """The lengths of the pieces of every sequence, in their order there."""
-    counts = np.bincount(lengths, minlength=size + 1)[:size + 1].tolist()
+    counts = np.bincount(lengths, minlength=size + 1)[:size + 1]
     numbers = np.arange(size + 1)
 
     def below() -> np.ndarray:  # for every gap the longest unpacked length that fits, or 0
-        return np.maximum.accumulate(np.where(np.array(counts) > 0, numbers, 0))
+        return np.maximum.accumulate(np.where(counts > 0, numbers, 0))
 
     fits = below()
-    longest = fits.tolist()
     left = len(lengths)
-
-    def take(length: int) -> bool:
-        counts[length] -= 1
-        return counts[length] == 0
-
     out = []
     while left:
         row, gap, stale = [], size, False
-        while gap and (length := longest[gap]):
+        while gap and (length := int(fits[gap])):
             row.append(length)
             gap -= length
             left -= 1
-            if take(length):
+            counts[length] -= 1
+            if not counts[length]:
                 fits = below()
-                longest = fits.tolist()
-        if gap and left > 1 and row:
+        if gap and left > 1:
             small = row[-1]
             wide = gap + small
-            one = np.flatnonzero(np.array(counts[:wide]))
+            one = np.flatnonzero(counts[:wide])
             two = fits[wide - one]
-            alone = (one == two) & (np.array(counts)[one] < 2)
-            two = np.where(alone, fits[np.maximum(one - 1, 0)], two)
+            two = np.where((one == two) & (counts[one] < 2), fits[np.maximum(one - 1, 0)], two)
             both = np.where(two > 0, one + two, 0)
             if len(both) and both.max() > small:
                 at = int(both.argmax())
-                row.pop()
-                stale = counts[small] == 0
-                counts[small] += 1
-                for length in sorted((int(one[at]), int(two[at])), reverse=True):
-                    row.append(length)
-                    stale = take(length) or stale
+                pair = sorted((int(one[at]), int(two[at])), reverse=True)
+                row[-1:] = pair
                 left -= 1
+                for length, change in ((small, 1), (pair[0], -1), (pair[1], -1)):
+                    stale = stale or (counts[length] == 0) != (counts[length] + change == 0)
+                    counts[length] += change
         if stale:
             fits = below()
-            longest = fits.tolist()
         out.append(row)
     return out
 
