@@ -21,6 +21,7 @@ start, kind and end; offsets are code points.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affect.llm.common import arrow_column, fresh, strings
+from affect.llm.common import arrow_column, fresh, strings, written
 
 SAMPLE = 1000
 #: Runs of credential characters this long or longer are candidates.
@@ -209,9 +210,23 @@ def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Grammar:
 
 
 def _smallest(values: DataFrame, sample: int) -> DataFrame:
-    """The values of the ``sample`` smallest hashes of each kind.  Rank limits are applied by every task before the shuffle."""
+    """The distinct values of the ``sample`` smallest hashes of each kind.
+
+    Hashes are even, so a kind's count tells below which hash about four times
+    as many stand; only those are ranked, however many values there are."""
+    found = written(values.distinct(), "credentials")
+    counts = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
+    share = {k: min(1.0, 4 * sample / n) for k, n in counts.items()}
+    while True:
+        low = [(F.col("kind") == k) & (F.col("h") <= int(-(1 << 63) + share[k] * ((1 << 64) - 1025))) for k in counts]
+        few = found.where(functools.reduce(lambda x, y: x | y, low, F.lit(False)))
+        got = {r["kind"]: r["count"] for r in few.groupBy("kind").count().collect()}
+        again = [k for k in counts if share[k] < 1 and got.get(k, 0) < sample]
+        if not again:
+            break
+        share.update({k: min(1.0, 4 * share[k]) for k in again})
     rank = F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))
-    return values.distinct().withColumn("rank", rank).where(F.col("rank") <= sample).select("kind", "value")
+    return few.withColumn("rank", rank).where(F.col("rank") <= sample).select("kind", "value")
 
 
 def spans(text: str, grammar: Grammar, scores: dict[str, float], margin: float = MARGIN) -> list[tuple[int, int, int]]:
