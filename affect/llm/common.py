@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,12 +60,20 @@ def once_a_process(key: str, make):
     return _kept[key]
 
 
-def utf8(texts: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of each text; null counts as empty."""
+#: Texts that are taken out of an Arrow array together.
+SLICE = 500
+
+
+def utf8(texts: pa.Array) -> Iterator[bytes]:
+    """UTF-8 bytes of each text, a slice at a time; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
-    return [t or b"" for t in texts.cast(kind).to_pylist()]
+    for i in range(0, len(texts), SLICE):
+        for t in texts.slice(i, SLICE).cast(kind).to_pylist():
+            yield t or b""
 
 
-def strings(texts: pa.Array) -> list[str]:
-    """Each text; null counts as empty."""
-    return [t or "" for t in texts.to_pylist()]
+def strings(texts: pa.Array) -> Iterator[str]:
+    """Each text, a slice at a time; null counts as empty."""
+    for i in range(0, len(texts), SLICE):
+        for t in texts.slice(i, SLICE).to_pylist():
+            yield t or ""

@@ -20,7 +20,7 @@ WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Texts of a batch are laid out together up to about this many bytes; one longer text is a batch of its own.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 

@@ -46,7 +46,7 @@ from affect.llm.hashing import batches, mix
 SHINGLE = 5
 PERCENT = 80
 #: Bytes of text whose shingles one hash range gets; shingles gathered before they are sent; rows that are split into words together.
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 8 << 20
 SEND = 1_000_000
 ROWS = 1000
 #: Classes of one prefix shingle that are paired by a join; blocks of half as many beyond.

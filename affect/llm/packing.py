@@ -32,14 +32,14 @@ TOKENS = 4096
 END = 1
 GROUP = 1 << 16
 #: Tokens of frequent words are kept by each worker, up to so many words.
-CACHE = 600_000
+CACHE = 450_000
 #: A vocabulary file larger than this is not broadcast.
 VOCABULARY_BYTES = 64 << 20
 PIECES = "array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>"
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Texts tokenized together, in bytes.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 LETTER = np.zeros(256, bool)
 LETTER[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 

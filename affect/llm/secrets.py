@@ -263,7 +263,7 @@ def redact(docs: DataFrame, grammar: Grammar, text: str = "text", margin: float
 
     def run(texts: pa.Array) -> pa.Array:
         out = []
-        for t in texts.to_pylist():
+        for null, t in zip(texts.is_null().to_pylist(), strings(texts)):
             if t:
                 kept, at = [], 0
                 for a, _, b in spans(t, shared.value, scores, margin):
@@ -271,7 +271,7 @@ def redact(docs: DataFrame, grammar: Grammar, text: str = "text", margin: float
                         kept += [t[at:a], "[SECRET]"]
                     at = max(at, b)
                 t = "".join([*kept, t[at:]])
-            out.append(t)
+            out.append(None if null else t)
         return pa.array(out, pa.string())
 
     return docs.withColumn(text, arrow_column(run, "string", text))

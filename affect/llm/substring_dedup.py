@@ -43,7 +43,7 @@ from affect.llm.hashing import batches
 
 WINDOW = 20
 #: Bytes of text whose hashes one hash range, and whose texts one block of documents gets.
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 8 << 20
 SEND = 1_000_000
 ROWS = 1000
 NULL = np.iinfo(np.int64).max
@@ -98,7 +98,7 @@ def _probes(k: int, least: int, parts: int):
             return pa.Table.from_pylist(out, SENT).to_batches()
 
         for batch in (big.slice(i, ROWS) for big in rows for i in range(0, big.num_rows, ROWS)):
-            texts = utf8(batch.column(2))
+            texts = list(utf8(batch.column(2)))
             ids, blocks, tags = np.array(batch.column(0).fill_null(int(NULL)), np.int64), np.array(batch.column(1), np.int32), _tags(texts)
             for begin, words in batches(texts):
                 end = begin + len(words.offsets) - 1
