@@ -48,16 +48,15 @@ def arrow_column(function, returns: str, column: str | Column) -> Column:
     return F.arrow_udf(run, returns).asNondeterministic()(F.col(column) if isinstance(column, str) else column)
 
 
-_kept: dict[str, object] = {}
+_kept: dict[str, tuple[str, object]] = {}
 
 
-def once_a_process(key: str, make):
-    """What ``make()`` returned the first time in this worker process; the last eight keys are kept."""
-    if key not in _kept:
-        while len(_kept) >= 8:
-            _kept.pop(next(iter(_kept)))
-        _kept[key] = make()
-    return _kept[key]
+def once_a_process(slot: str, key: str, make):
+    """What ``make()`` returned for ``key`` in this worker process; each slot keeps its last key only."""
+    if slot not in _kept or _kept[slot][0] != key:
+        _kept.pop(slot, None)
+        _kept[slot] = (key, make())
+    return _kept[slot][1]
 
 
 #: Texts that are taken out of an Arrow array together.

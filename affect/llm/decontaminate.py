@@ -114,7 +114,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     key = uuid.uuid4().hex
 
     def run(texts: pa.Array) -> pa.Array:
-        automata = once_a_process(key, lambda: [build(windows_of(block.value, window)) for block in blocks])
+        automata = once_a_process("automata", key, lambda: [build(windows_of(block.value, window)) for block in blocks])
         out = []
         for t in utf8(texts):
             n, ranges, ids = scan(t, automata[0])

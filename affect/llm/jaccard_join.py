@@ -13,7 +13,7 @@ then hash.  Three steps, none of which sends a shingle as a row of its own:
    rarest).  Classes that share one are paired if their sizes allow a link.
 3. *Overlaps.*  The global order is cut at pivots into fragments; for each pair
    and fragment the partial overlap is counted on its own, and the sum per pair
-   decides.  A prefix shingle with more than ``BLOCK`` classes is not expanded
+   decides.  A prefix shingle with more than ``PAIRED`` classes is not expanded
    into pairs: its classes are cut into blocks, and a task for each two blocks
    adds up the partial overlap counts of all their pairs, fragment by fragment
    of its shingles, and returns a spanning forest of the links only.
@@ -49,8 +49,8 @@ PERCENT = 80
 RANGE_BYTES = 8 << 20
 SEND = 1_000_000
 ROWS = 1000
-#: Classes of one prefix shingle that are paired by a join; blocks of half as many beyond.
-BLOCK = 256
+#: Classes of one prefix shingle that are paired by a join; beyond, classes of a block whose overlaps are counted together.
+PAIRED, BLOCK = 256, 512
 FRAGMENTS = 4
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LOW40 = np.uint64((1 << 40) - 1)
@@ -219,7 +219,7 @@ def shared_shingles(docs: DataFrame, k: int, percent: int, doc_id: str, text: st
     return written(found, "shingles")
 
 
-def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``: size of
     its set and the smallest id reachable over links (Jaccard similarity of
     ``percent`` % or more), its own included."""
@@ -233,7 +233,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     several = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     buckets = prefix.join(several, "h")
 
-    few = buckets.where(F.col("c") <= block)
+    few = buckets.where(F.col("c") <= paired)
     a, b = few.select("h", F.col("node").alias("a"), F.col("n").alias("na")), few.select("h", F.col("node").alias("b"), F.col("n").alias("nb"))
     pairs = (a.join(b, "h").where("(na < nb or (na = nb and a < b)) and nb * {0} <= na * 100".format(percent))
              .select("a", "b", "na", "nb").distinct())
@@ -248,9 +248,9 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     links = (partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
              .where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b"))
 
-    parts = F.ceil(F.col("c") / (block // 2)).cast("int")
+    parts = F.ceil(F.col("c") / block).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    many = (buckets.where(F.col("c") > block).select("h", "node", parts.alias("parts"), mine.alias("mine"))
+    many = (buckets.where(F.col("c") > paired).select("h", "node", parts.alias("parts"), mine.alias("mine"))
             .select("h", "node", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
             .select("h", "node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
             .join(reps.select("node", "n", "places"), "node"))

@@ -213,7 +213,7 @@ def pieces(docs: DataFrame, vocabulary_file: str, tokens: int = TOKENS, end: int
     key = uuid.uuid4().hex
 
     def run(texts: pa.Array) -> pa.Array:
-        encode = once_a_process(key, lambda: Tokens(shared.value))
+        encode = once_a_process("tokenizer", key, lambda: Tokens(shared.value))
         out, part, size = [], [], 0
         for t in utf8(texts):
             part.append(t)
