@@ -78,9 +78,10 @@ def merge_parts(parts: DataFrame, keys: list[str], sketches: str, size: int = SI
     return hashes.withColumn("rank", rank).where(F.col("rank") <= size).groupBy(*keys).agg(F.sort_array(F.collect_list("h")).alias(sketches))
 
 
-def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", bucket_rows: int = BUCKET) -> DataFrame:
-    """``docs`` with ``next_*`` of ``columns``: their values in the row that
-    follows by descending id, and in the first row for the last one.
+def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", made: dict[str, Column] | None = None, bucket_rows: int = BUCKET) -> DataFrame:
+    """``docs`` with ``next_*`` of ``columns`` and of the columns ``made`` from
+    them: their values in the row that follows by descending id, and in the
+    first row for the last one.
 
     Ids are cut into buckets; each is ordered by a task of its own, after the
     first row of the next bucket below has been copied into it.  Only edges of
@@ -100,7 +101,8 @@ def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", bucke
     copies = copies.withColumn("_bucket", F.col("_to")).select(*rows.columns, F.lit(1).alias("_copy"))
     order = Window.partitionBy("_bucket").orderBy("_copy", F.col(doc_id).desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in columns])
     all_rows = rows.withColumn("_copy", F.lit(0)).unionByName(copies)
-    for c in columns:
+    all_rows = all_rows.withColumns(made or {})
+    for c in [*columns, *(made or {})]:
         all_rows = all_rows.withColumn(f"next_{c}", F.lead(c).over(order))
     return all_rows.where(F.col("_copy") == 0).drop("_copy", "_bucket")
 
@@ -110,7 +112,7 @@ def edited_fingerprints(docs: DataFrame, size: int = SIZE, k: int = SHINGLE, doc
     the code points replaced by the beginning of the next text by descending
     id), with the likeness to the edited and to the next text."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("sketch", sketch("text", size, k)), ["text", "sketch"])
+    rows = with_next(rows, ["text"], made={"sketch": sketch("text", size, k)})
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("next_text", F.lit(1), third))
     rows = rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
