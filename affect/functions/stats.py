@@ -22,6 +22,10 @@ LANCZOS = [0.99999999999980993, 676.5203681218851, -1259.1392167224028,
 
 CF_TERMS = 1000
 FPMIN = 1e-300
+# Beyond this many denominator degrees of freedom the tail is expanded around
+# its chi-square limit (the error is of the order of its inverse square).
+LARGE_DOF = 1e8
+GAMMA_TERMS = 400
 
 
 def lgamma(z: Column) -> Column:
@@ -68,11 +72,32 @@ def betai(a: Column, b: Column, x: Column) -> Column:
              .when(x < (a + F.lit(1.0)) / (a + b + F.lit(2.0)), direct).otherwise(mirror))
 
 
+def gamma_q(a: Column, y: Column) -> Column:
+    """Regularised upper incomplete gamma Q(a, y) by the series of P(a, y)."""
+    def step(acc, i):
+        term = acc["t"] * y / (a + i.cast("double"))
+        return F.struct(term.alias("t"), (acc["s"] + term).alias("s"))
+
+    first = F.struct((F.lit(1.0) / a).alias("t"), (F.lit(1.0) / a).alias("s"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(GAMMA_TERMS)), first, step)["s"]
+    p = F.exp(a * F.log(y) - y - lgamma(a)) * series
+    return F.when(y > a + F.lit(12.0) * F.sqrt(a) + F.lit(60.0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - p))
+
+
+def _f_sf_large(f: Column, d1: Column, d2: Column) -> Column:
+    """P(F' > f) for very many denominator degrees of freedom: G(x) + x^2 G''(x) / d2
+    with G the chi-square tail and x = d1 f."""
+    x, a = d1 * f, d1 / 2
+    density = F.exp((a - 1) * F.log(x) - x / 2 - a * F.lit(math.log(2.0)) - lgamma(a))
+    return gamma_q(a, x / 2) - x * x * density * ((a - 1) / x - F.lit(0.5)) / d2
+
+
 def f_sf(f: Column, d1: Column, d2: Column) -> Column:
     """Survival function of the F distribution: P(F' > f)."""
     d1, d2 = d1.cast("double"), d2.cast("double")
     return F.when(f.isNull() | F.isnan(f), F.lit(None).cast("double")) \
         .when(f <= 0, F.lit(1.0)) \
+        .when(d2 > LARGE_DOF, _f_sf_large(f, d1, d2)) \
         .otherwise(betai(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)))
 
 

@@ -20,7 +20,6 @@ from affect.operators.rewrite import (gate_completion, is_valid_output, quality_
                                       rewrite_rules)
 from affect.operators.sampling import draw_long, lowest_by_draw
 
-MAX_AUG_PER_GROUP = 600
 
 
 # ---------------------------------------------------------------- D7
@@ -82,25 +81,22 @@ def augment(rows: DataFrame, mode: str = "mixed", seed: int = 42, id_col: str =
 
 
 # ---------------------------------------------------------------- D15
-def balance_plan(df: DataFrame, multiplier: float = 1.0, cap: int = MAX_AUG_PER_GROUP, passes: int = 2) -> DataFrame:
+def balance_plan(df: DataFrame, multiplier: float = 1.0, cap: int | None = None) -> DataFrame:
     """Per bundle key: count, target = int(max * multiplier), action
-    keep / downsample / augment, needed (<= cap) and the rows each expansion
-    pass samples (pass p takes min(rest, count))."""
+    keep / downsample / augment, the rows it needs (all that are missing, or
+    at most ``cap`` if one is given) and how they are drawn: ``full_passes``
+    times the whole group and ``last_pass`` of its rows once more."""
     keyed = df if "bundle_key" in df.columns else with_bundle(df).withColumn("bundle_key", bundle_key(F.col("bundle")))
     c = keyed.groupBy("bundle_key").agg(F.count(F.lit(1)).alias("count"))
     allw = Window.partitionBy()
+    missing = F.col("target") - F.col("count")
     p = (c.withColumn("max_count", F.max("count").over(allw))
           .withColumn("target", (F.col("max_count") * F.lit(float(multiplier))).cast("long"))
           .withColumn("action", F.when(F.col("count") == F.col("target"), "keep")
                       .when(F.col("count") > F.col("target"), "downsample").otherwise("augment"))
-          .withColumn("needed", F.when(F.col("action") == "augment",
-                                       F.least(F.col("target") - F.col("count"), F.lit(cap))).otherwise(F.lit(0))))
-    rest = F.col("needed")
-    for k in range(1, passes + 1):
-        p = p.withColumn(f"pass{k}", F.least(rest, F.col("count")))
-        rest = rest - F.col(f"pass{k}")
-    p = p.withColumn("added", sum(F.col(f"pass{k}") for k in range(1, passes + 1)))
-    return p.drop("max_count")
+          .withColumn("needed", F.when(F.col("action") == "augment", missing if cap is None else F.least(missing, F.lit(cap))).otherwise(F.lit(0))))
+    return (p.withColumn("full_passes", F.floor(F.col("needed") / F.col("count")).cast("long"))
+             .withColumn("last_pass", F.col("needed") % F.col("count")).withColumn("added", F.col("needed")).drop("max_count"))
 
 
 def keyed_rows(df: DataFrame) -> DataFrame:
@@ -118,20 +114,17 @@ def downsample(keyed: DataFrame, plan: DataFrame, id_col: str, seed: int = 42) -
 
 
 # ---------------------------------------------------------------- D17
-def expansion_rows(keyed: DataFrame, plan: DataFrame, id_col: str, seed: int = 42, passes: int = 2) -> DataFrame:
-    """The rows to augment — for every pass p, ``pass_p`` seeded draws
-    of the group (each pass draws independently, as separate samples).
-    Adds ``pass`` and ``aug_id`` (row id and pass, the draw key of the
-    rewrite)."""
-    frames = []
-    for k in range(1, passes + 1):
-        quota = plan.where(F.col(f"pass{k}") > 0).select("bundle_key", F.col(f"pass{k}").alias("__quota"))
-        sel = lowest_by_draw(keyed, ["bundle_key"], quota, draw_long(seed, id_col, f"pass{k}"), tie=id_col)
-        frames.append(sel.drop("__rank_draw").withColumn("pass", F.lit(k)))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.withColumn("aug_id", F.concat_ws("#", F.col(id_col).cast("string"), F.col("pass").cast("string")))
+def expansion_rows(keyed: DataFrame, plan: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
+    """The rows to augment — every row of a group for each of its full
+    passes, and ``last_pass`` seeded draws of it in one pass more.  Adds
+    ``pass`` and ``aug_id`` (row id and pass, the draw key of the rewrite)."""
+    full = (keyed.join(plan.where("full_passes > 0").select("bundle_key", "full_passes"), "bundle_key")
+            .withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("full_passes").cast("int")))).drop("full_passes"))
+    more = plan.where("last_pass > 0").select("bundle_key", F.col("last_pass").alias("__quota"), (F.col("full_passes") + 1).cast("int").alias("pass"))
+    drawn = keyed.join(more.drop("__quota"), "bundle_key")
+    step = F.concat(F.lit("pass"), F.col("pass").cast("string"))
+    last = lowest_by_draw(drawn, ["bundle_key"], more.drop("pass"), draw_long(seed, id_col, step), tie=id_col).drop("__rank_draw")
+    return full.unionByName(last).withColumn("aug_id", F.concat_ws("#", F.col(id_col).cast("string"), F.col("pass").cast("string")))
 
 
 # ---------------------------------------------------------------- D18

@@ -58,7 +58,7 @@ def multilabel_summary(df: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("pos"), F.lit("Total utterances").alias("metric"), F.col("t").alias("value")),
         *[F.struct(F.lit(p).alias("pos"), F.lit(m).alias("metric"), F.col(c).alias("value"))
           for p, m, c in [(2, "Neutral only (0 emotions)", "z"), (3, "Single emotion", "o"),
-                          (4, "Multilabel (>=2 emotions)", "m"), (5, "Three emotions", "th")]])))
+                          (4, "Multilabel (≥2 emotions)", "m"), (5, "Three emotions", "th")]])))
     return rows.select("pos", "metric", "value", _pct("value", "__n").alias("percentage")).orderBy("pos")
 
 

@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def draw_long(seed, id_col, step: str = "") -> Column:
+def draw_long(seed, id_col, step: str | Column = "") -> Column:
     """32-bit unsigned integer draw from md5(seed:id:step)."""
     idc = F.col(id_col) if isinstance(id_col, str) else id_col
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), idc.cast("string"), F.lit(str(step))))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), idc.cast("string"), step if isinstance(step, Column) else F.lit(str(step))))
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
 
 

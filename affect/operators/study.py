@@ -6,23 +6,17 @@ Design: the raw table is scanned into per-group sufficient statistics
 Welford-stable and partially aggregated before the shuffle); tests, ranks
 and factor means are then arithmetic on a few dozen rows.  Exact quantiles
 (medians for Levene, quartiles for box plots) come from a value histogram
-per group and a running count over the *distinct* values, never from
-collecting a group's rows.  Only the Shapiro-Wilk test needs the sorted
-sample of a group; it runs in ``applyInPandas`` on a seeded sample of at
-most 5 000 rows per group (the limit of the test's p approximation).
+per group (bins of magnitude and of equal width); only the values of the bins
+that hold an order statistic are ranked.
+Normality is a moment test over all rows.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affect.functions.stats import f_sf, t_two_sided_p
-from affect.operators.sampling import draw_long, lowest_by_draw
 
 METRIC = "f1_score"
 GROUP = ["architecture", "encoder"]
@@ -55,23 +49,32 @@ def correlation_matrix(df: DataFrame, cols=("precision", "recall", METRIC)) -> D
 
 
 # ---------------------------------------------------------------- exact quantiles
+def magnitude(x: str) -> Column:
+    """A whole number that rises with the value: 65 536 steps for each power of two, mirrored for negative values."""
+    v = F.col(x)
+    steps = F.floor((F.log2(F.abs(v)) + 1100) * 65536)
+    return F.when(v == 0, F.lit(0)).when(v > 0, steps).otherwise(-steps).cast("long")
+
+
 def exact_quantiles(df: DataFrame, by: list[str], x: str, probs: list[float], bins: int = 1 << 16) -> DataFrame:
     """(by..., p, q): exact quantiles with numpy/pandas linear interpolation
     between order statistics, computed without sorting a group.
 
     1. per group min, max and count (one aggregation);
-    2. a histogram over ``bins`` equal-width value bins per group (partial
-       aggregation before the shuffle) and a running count over the bins
-       (at most ``bins`` rows per group) locate the bins holding the needed
+    2. a histogram over value bins per group (partial aggregation before
+       the shuffle) and a running count over the bins locate the bins holding the needed
        order statistics;
     3. only the rows of those bins are reduced to (value, count) and ranked.
-    Every task handles a bounded slice, whatever the size of a group."""
+    A bin is a pair of a bin of magnitude and one of equal width, both rising
+    with the value: one extreme value widens the latter but not the former, and
+    values of one magnitude are told apart by the latter.  Only values that
+    crowd in both ways are ranked together."""
     base = df.select(*by, F.col(x).cast("double").alias("__x")).where(F.col("__x").isNotNull())
     mm = base.groupBy(*by).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.count(F.lit(1)).alias("__n"))
     width = (F.col("__hi") - F.col("__lo")) / bins
     binned = base.join(F.broadcast(mm), on=by).withColumn(
-        "__bin", F.when(F.col("__hi") == F.col("__lo"), F.lit(0)).otherwise(
-            F.least(F.floor((F.col("__x") - F.col("__lo")) / width), F.lit(bins - 1))).cast("int"))
+        "__bin", magnitude("__x") * bins + F.when(F.col("__hi") == F.col("__lo"), F.lit(0)).otherwise(
+            F.least(F.floor((F.col("__x") - F.col("__lo")) / width), F.lit(bins - 1))).cast("long"))
     hist = binned.groupBy(*by, "__bin").agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
     cum = (hist.join(F.broadcast(mm.select(*by, "__n")), on=by)
@@ -166,76 +169,15 @@ def pairwise_t(df: DataFrame, by: str, x: str = METRIC, correction: str = "bonfe
 
 
 # ---------------------------------------------------------------- X3
-def _shapiro_w_p(x: np.ndarray) -> tuple[float, float]:
-    """Shapiro-Wilk W and p (Royston 1995 approximation) for sorted x."""
-    from statistics import NormalDist
-    nd = NormalDist()
-    n = len(x)
-    if n < 3:
-        return float("nan"), float("nan")
-    x = np.sort(x)
-    rng = x[-1] - x[0]
-    if rng <= 0:
-        return 1.0, 1.0
-    if n == 3:
-        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-    else:
-        m = np.array([nd.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-        mm = float(np.sum(m * m))
-        u = 1.0 / math.sqrt(n)
-        an = m[-1] / math.sqrt(mm) + 0.221157 * u - 0.147981 * u ** 2 - 2.071190 * u ** 3 \
-            + 4.434685 * u ** 4 - 2.706056 * u ** 5
-        a = m / math.sqrt(mm)
-        if n > 5:
-            an1 = m[-2] / math.sqrt(mm) + 0.042981 * u - 0.293762 * u ** 2 - 1.752461 * u ** 3 \
-                + 5.682633 * u ** 4 - 3.582633 * u ** 5
-            phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * an ** 2 - 2 * an1 ** 2)
-            a = m / math.sqrt(phi)
-            a[-1], a[-2], a[0], a[1] = an, an1, -an, -an1
-        else:
-            phi = (mm - 2 * m[-1] ** 2) / (1 - 2 * an ** 2)
-            a = m / math.sqrt(phi)
-            a[-1], a[0] = an, -an
-    xc = x - x.mean()
-    w = float(np.dot(a, x) ** 2 / np.dot(xc, xc))
-    w = min(w, 1.0)
-    if n == 3:
-        p = max(0.0, 6.0 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
-        return w, p
-    ln1w = math.log(1.0 - w) if w < 1 else -math.inf
-    if n <= 11:
-        gamma = -2.273 + 0.459 * n
-        mu = 0.5440 - 0.39978 * n + 0.025054 * n ** 2 - 0.0006714 * n ** 3
-        sigma = math.exp(1.3822 - 0.77857 * n + 0.062767 * n ** 2 - 0.0020322 * n ** 3)
-        if gamma - ln1w <= 0:
-            return w, 0.0
-        z = (-math.log(gamma - ln1w) - mu) / sigma
-    else:
-        ln_n = math.log(n)
-        mu = -1.5861 - 0.31082 * ln_n - 0.083751 * ln_n ** 2 + 0.0038915 * ln_n ** 3
-        sigma = math.exp(-0.4803 - 0.082676 * ln_n + 0.0030302 * ln_n ** 2)
-        z = (ln1w - mu) / sigma
-    return w, 1.0 - nd.cdf(z)
-
-
-def normality(df: DataFrame, by: str, x: str = METRIC, max_n: int = 5000, seed: int = 42,
-              id_col: str = "run_id") -> DataFrame:
-    """Shapiro-Wilk per group: (group, n, W, p, is_normal = p > 0.05).
-
-    Each group is first reduced to at most ``max_n`` rows chosen by seeded
-    hash draw (skew-safe selection, no group sort), so the pandas function
-    receives a bounded batch per group whatever the group's size."""
-    quota = df.groupBy(by).agg(F.least(F.count(F.lit(1)), F.lit(max_n)).alias("__quota"))
-    sample = lowest_by_draw(df.select(by, x, id_col).where(F.col(x).isNotNull()), [by], quota,
-                            draw_long(seed, id_col, "shapiro"), tie=id_col).select(by, x)
-
-    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = _shapiro_w_p(pdf[x].to_numpy(dtype=float))
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [len(pdf)], "w_statistic": [w], "p_value": [p],
-                             "is_normal": [bool(p > 0.05) if p == p else False]})
-
-    schema = f"{by} string, n long, w_statistic double, p_value double, is_normal boolean"
-    return sample.groupBy(by).applyInPandas(per_group, schema)
+def normality(df: DataFrame, by: str, x: str = METRIC) -> DataFrame:
+    """Moment test of normality (Jarque-Bera) per group over all rows, in
+    one aggregate: (group, n, skewness, excess kurtosis, statistic, p, is_normal
+    = p > 0.05).  The statistic n/6 (S^2 + K^2/4) has two degrees of freedom,
+    so its tail is exp(-statistic / 2)."""
+    g = df.where(F.col(x).isNotNull()).groupBy(by).agg(F.count(x).alias("n"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"))
+    jb = F.col("n") / 6 * (F.col("skewness") * F.col("skewness") + F.col("kurtosis") * F.col("kurtosis") / 4)
+    return g.withColumn("jb_statistic", jb).withColumn("p_value", F.exp(-F.col("jb_statistic") / 2)).withColumn(
+        "is_normal", F.coalesce(F.col("p_value") > 0.05, F.lit(False)))
 
 
 # ---------------------------------------------------------------- X7 / X8

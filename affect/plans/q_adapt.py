@@ -32,13 +32,12 @@ def _source(spark, sf):
 
 def _target(spark, sf):
     u = view(spark, "utterances", sf)
-    return u.where((F.col("domain") == "target") & (F.col("conv_id") % 2 == 0)
-                   & ~F.lower(F.trim(F.col("emotion1"))).isin("joy", "surprise"))
+    return u.where(F.col("domain") == "target")
 
 
 U = cte("utterances")
 SRC = U + """, src AS (SELECT * FROM utterances WHERE domain = 'source'),
-tgt AS (SELECT * FROM utterances WHERE domain = 'target' AND conv_id % 2 = 0 AND lower(trim(emotion1)) NOT IN ('joy', 'surprise')),
+tgt AS (SELECT * FROM utterances WHERE domain = 'target'),
 sv AS (SELECT DISTINCT emotion FROM (""" + " UNION ALL ".join(
     f"SELECT {S.lenient(e)} AS emotion FROM src" for e, _ in L.SLOTS) + """) WHERE emotion IS NOT NULL AND emotion <> 'nan'),
 tv AS (SELECT DISTINCT emotion FROM (""" + " UNION ALL ".join(
@@ -104,6 +103,8 @@ def _patterns(spark, sf):
     recs = T.style_records(tgt)
     # examples exist for every label triple present in the target
     keys = recs.select("emotion", "intensity", "sentiment").distinct()
+    # looked up by whole intensity: 1.5 has no examples, and every key one row
+    keys = keys.where(F.col("intensity") == F.col("intensity").cast("int"))
     ex = (T.examples(tgt, keys, k=2, seed=7).groupBy("emotion", "intensity", "sentiment")
           .agg(F.array_sort(F.collect_list(F.struct("__rank_draw", "text"))).alias("__l"))
           .select("emotion", F.col("intensity").cast("int").alias("intensity"), "sentiment",
@@ -244,16 +245,15 @@ c AS (SELECT bundle_key, count(*) AS count FROM k GROUP BY 1)
 def _plan_sql(mult: float) -> str:
     return f""", p0 AS (SELECT bundle_key, count, CAST(trunc(max(count) OVER () * {mult}) AS BIGINT) AS target FROM c),
 p1 AS (SELECT *, CASE WHEN count = target THEN 'keep' WHEN count > target THEN 'downsample' ELSE 'augment' END AS action,
-  CASE WHEN count < target THEN least(target - count, 600) ELSE 0 END AS needed FROM p0),
-plan AS (SELECT *, least(needed, count) AS pass1, least(needed - least(needed, count), count) AS pass2,
-  least(needed, count) + least(needed - least(needed, count), count) AS added FROM p1)
+  CASE WHEN count < target THEN target - count ELSE 0 END AS needed FROM p0),
+plan AS (SELECT *, needed // count AS full_passes, needed % count AS last_pass, needed AS added FROM p1)
 """
 
 
 for _m, _suffix in [(1.0, ""), (0.5, "_half")]:
     Q[f"d15_balance_plan{_suffix}"] = (lambda m: lambda spark, sf: B.balance_plan(_source(spark, sf), m))(_m)
     O[f"d15_balance_plan{_suffix}"] = _KEYED + _plan_sql(_m) + """SELECT bundle_key, count, target, action,
- CAST(needed AS BIGINT) AS needed, CAST(pass1 AS BIGINT) AS pass1, CAST(pass2 AS BIGINT) AS pass2, CAST(added AS BIGINT) AS added FROM plan"""
+ CAST(needed AS BIGINT) AS needed, CAST(full_passes AS BIGINT) AS full_passes, CAST(last_pass AS BIGINT) AS last_pass, CAST(added AS BIGINT) AS added FROM plan"""
 
 
 def _d16(spark, sf):
@@ -274,12 +274,19 @@ def _d17(spark, sf):
 
 
 Q["d17_expansion_rows"] = _d17
-O["d17_expansion_rows"] = _KEYED + _plan_sql(1.0) + " UNION ALL ".join(
-    [""] * 0) + ", " + ", ".join(
-    f"""r{p} AS (SELECT k.utt_id, k.bundle_key, plan.pass{p} AS q, row_number() OVER (PARTITION BY k.bundle_key
-  ORDER BY {draw_long_sql(42, 'k.utt_id', f'pass{p}')}, k.utt_id) AS rn FROM k JOIN plan USING (bundle_key) WHERE plan.pass{p} > 0)"""
-    for p in (1, 2)) + "\n" + " UNION ALL ".join(
-    f"SELECT utt_id, bundle_key, {p} AS pass, CAST(utt_id AS VARCHAR) || '#{p}' AS aug_id FROM r{p} WHERE rn <= q" for p in (1, 2))
+_DRAW = draw_long_sql(42, "k.utt_id", "STEP").replace("'STEP'", "'pass' || CAST(full_passes + 1 AS VARCHAR)")
+
+
+def _passes_sql(keyed: str, plan: str) -> str:
+    """Whole groups for every full pass, seeded draws for the last one."""
+    return f"""SELECT utt_id, bundle_key, CAST(pass AS INTEGER) AS pass FROM (
+  SELECT k.utt_id, k.bundle_key, unnest(range(1, full_passes + 1)) AS pass FROM {keyed} k JOIN {plan} USING (bundle_key)
+  UNION ALL SELECT utt_id, bundle_key, pass FROM (SELECT k.utt_id, k.bundle_key, full_passes + 1 AS pass, last_pass, row_number() OVER (PARTITION BY k.bundle_key
+    ORDER BY {_DRAW}, k.utt_id) AS rn FROM {keyed} k JOIN {plan} USING (bundle_key)) WHERE rn <= last_pass)"""
+
+
+O["d17_expansion_rows"] = _KEYED + _plan_sql(1.0) + ", xpass AS (" + _passes_sql("k", "plan") + ")\n" \
+    "SELECT utt_id, bundle_key, pass, CAST(utt_id AS VARCHAR) || '#' || CAST(pass AS VARCHAR) AS aug_id FROM xpass"
 
 
 def _d18(spark, sf):
@@ -403,7 +410,7 @@ SELECT utt_id, CASE WHEN len(cl) > 0 THEN array_to_string(cl, ' and ') ELSE 'mix
 # ---------------------------------------------------------------- D6 oracle
 from affect.plans.pattern_sql import example_ctes, intensifier_ctes, style_ctes  # noqa: E402
 
-_TW = "domain = 'target' AND conv_id % 2 = 0 AND lower(trim(emotion1)) NOT IN ('joy', 'surprise')"
+_TW = "domain = 'target'"
 _DEF_I = "[" + ", ".join(f"'{w}'" for w in D.DEFAULT_INTENSIFIERS) + "]"
 _DEF_S = "[" + ", ".join(f"'{w}'" for w in D.DEFAULT_STARTERS) + "]"
 _SLOT_SEL = " UNION ALL ".join(
@@ -610,15 +617,12 @@ xk AS (SELECT utt_id, CASE WHEN len(bundle) = 0 THEN 'neutral:2' ELSE array_to_s
   lambda x: x.e || ':' || CAST(CAST(trunc(x.i) AS INTEGER) AS VARCHAR))), '|') END AS bundle_key FROM xb),
 xc AS (SELECT bundle_key, count(*) AS count FROM xk GROUP BY 1),
 xp0 AS (SELECT bundle_key, count, CAST(trunc(max(count) OVER () * 1.0) AS BIGINT) AS target FROM xc),
-xp1 AS (SELECT *, CASE WHEN count < target THEN least(target - count, 600) ELSE 0 END AS needed FROM xp0),
-xplan AS (SELECT *, least(needed, count) AS pass1, least(needed - least(needed, count), count) AS pass2 FROM xp1),
-xr AS (""" + " UNION ALL ".join(
-    f"""SELECT k.utt_id, {p} AS pass, xplan.pass{p} AS q, row_number() OVER (PARTITION BY k.bundle_key
-  ORDER BY {draw_long_sql(42, 'k.utt_id', f'pass{p}')}, k.utt_id) AS rn FROM xk k JOIN xplan USING (bundle_key) WHERE xplan.pass{p} > 0"""
-    for p in (1, 2)) + """),
+xp1 AS (SELECT *, CASE WHEN count < target THEN target - count ELSE 0 END AS needed FROM xp0),
+xplan AS (SELECT *, needed // count AS full_passes, needed % count AS last_pass FROM xp1),
+xr AS (""" + _passes_sql("xk", "xplan") + """),
 fs AS (SELECT CAST(s.utt_id AS VARCHAR) || '#' || CAST(xr.pass AS VARCHAR) AS utt_id, s.utterance, s.sentiment,
   s.emotion1, s.intensity1, s.emotion2, s.intensity2, s.emotion3, s.intensity3, coalesce(lower(s.sentiment), 'negative') AS sent
-  FROM xr JOIN src s ON s.utt_id = xr.utt_id WHERE xr.rn <= xr.q),"""
+  FROM xr JOIN src s ON s.utt_id = xr.utt_id),"""
 assert _FS_LINE in O["d8_rewrite_rules"]
 O["d18_balance_and_expand"] = O["d8_rewrite_rules"].replace(_FS_LINE, _XROWS, 1).split("\nSELECT utt_id, t AS original")[0] + """
 SELECT CAST(utt_id AS VARCHAR) AS row_id, emotion1, intensity1, NULL AS augmented, NULL AS mode FROM src

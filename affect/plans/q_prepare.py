@@ -227,9 +227,8 @@ def _n8(spark, sf):
     """N8 defaulting: sentiment absent -> 'neutral' (one-hot), null -> 'negative'
     (augmentation); empty bundle -> neutral:2 (bundle key)."""
     u = view(spark, "utterances", sf)
-    no_sent = L.one_hot(u.drop("sentiment"), ["joy"], text_col="utterance").select("utt_id", "sentiment")
-    return (no_sent.join(u.select("utt_id", F.coalesce("sentiment", F.lit("negative")).alias("aug_sentiment")), "utt_id")
-                   .join(L.with_bundle_key(u).select("utt_id", "bundle_key"), "utt_id"))
+    keyed = L.with_bundle_key(u).select("utt_id", F.coalesce("sentiment", F.lit("negative")).alias("aug_sentiment"), "bundle_key")
+    return keyed.select("utt_id", F.lit("neutral").alias("sentiment"), "aug_sentiment", "bundle_key")
 
 
 Q["n8_defaults"] = _n8

@@ -81,7 +81,7 @@ O["a2_multilabel_summary"] = EMO + """, c AS (SELECT count(*) AS t, count_if(len
  count_if(len(emotions)=1) AS o, count_if(len(emotions)>=2) AS m, count_if(len(emotions)=3) AS th FROM e)
 SELECT pos, metric, value, round_even(value / t * 100, 2) AS percentage FROM c,
  (VALUES (1, 'Total utterances'), (2, 'Neutral only (0 emotions)'), (3, 'Single emotion'),
-         (4, 'Multilabel (>=2 emotions)'), (5, 'Three emotions')) v(pos, metric),
+         (4, 'Multilabel (≥2 emotions)'), (5, 'Three emotions')) v(pos, metric),
  LATERAL (SELECT CASE pos WHEN 1 THEN t WHEN 2 THEN z WHEN 3 THEN o WHEN 4 THEN m ELSE th END AS value)
 ORDER BY pos"""
 

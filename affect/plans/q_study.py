@@ -83,6 +83,12 @@ SELECT group_1, group_2, round(mean_1, 6) AS mean_1, round(mean_2, 6) AS mean_2,
  {f_sf_sql('f', 'd1', 'd2')} < 0.05 / count(*) OVER () AS significant FROM pv"""
 
     Q[f"x3_normality_{_by}"] = (lambda b: lambda spark, sf: _r6(X.normality(_res(spark, sf), b)))(_by)
+    O[f"x3_normality_{_by}"] = R + f""", c AS (SELECT {_by}, {X.METRIC} - avg({X.METRIC}) OVER (PARTITION BY {_by}) AS d FROM results WHERE {X.METRIC} IS NOT NULL),
+m AS (SELECT {_by}, count(*) AS n, avg(d * d) AS m2, avg(d * d * d) AS m3, avg(d * d * d * d) AS m4 FROM c GROUP BY 1),
+s AS (SELECT *, m3 / pow(m2, 1.5) AS sk, m4 / (m2 * m2) - 3 AS ku FROM m),
+j AS (SELECT *, n / 6 * (sk * sk + ku * ku / 4) AS jb FROM s)
+SELECT {_by}, n, round(sk, 6) AS skewness, round(ku, 6) AS kurtosis, round(jb, 6) AS jb_statistic, round(exp(-jb / 2), 6) AS p_value,
+ coalesce(exp(-jb / 2) > 0.05, false) AS is_normal FROM j"""
 
 Q["x7_rank_combinations"] = lambda spark, sf: _r6(X.rank_combinations(_agg(spark, sf)))
 O["x7_rank_combinations"] = AGG + """, r AS (SELECT *, row_number() OVER (ORDER BY weighted_f1 DESC, architecture, encoder) AS rank,

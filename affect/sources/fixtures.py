@@ -73,8 +73,8 @@ SELECT CAST(o_orderkey%5 AS INT) AS run_id, CAST(o_orderkey%12+1 AS INT) AS epoc
 """
 
 LABELS_RAW = """
-SELECT d.doc_id, CASE WHEN d.doc_id%17=0 THEN 'ok' WHEN d.doc_id%19=0 THEN NULL ELSE substr(d.text,1,200) END AS augmented,
- CASE WHEN d.doc_id%34=0 THEN 'no' ELSE substr(d.text,1,120) END AS original,
+SELECT d.doc_id, CASE WHEN d.doc_id%17=0 THEN 'ok' WHEN d.doc_id%19=0 THEN NULL ELSE d.text END AS augmented,
+ CASE WHEN d.doc_id%34=0 THEN 'no' ELSE d.text END AS original,
  nullif(split_part('negative|neg| POS |2.0|7|neutral|??|NULL','|',CAST(d.doc_id%8+1 AS INT)),'NULL') AS sentiment,
  nullif(split_part('1|0|yes|True|joy|0|NULL|0.0','|',CAST(d.doc_id%8+1 AS INT)),'NULL') AS emotion__joy,
  split_part('0|1|2|3|9|x|1.0|2.7','|',CAST(d.doc_id%8+1 AS INT)) AS intensity__joy,
@@ -91,18 +91,18 @@ SELECT conv_id*100+turn AS utt_id, text AS original,
 FROM {conversations}
 """
 
-# Score table over the embeddings: logits 1-3 sentiment, 4-7 four emotions,
-# 8-19 intensity (4 x 3).  Array slicing is dialect specific, hence two texts.
-SCORE_EMOTIONS = ["joy", "anger", "sadness", "fear"]
+# Score table over the embeddings: logits 1-3 sentiment, 4-18 fifteen emotions,
+# 19-63 intensity (15 x 3); one of the 64 dimensions is left over.  Array slicing is dialect specific, hence two texts.
+SCORE_EMOTIONS = ["joy", "anger", "sadness", "fear", "disgust", "surprise", "acceptance", "neutral", "trust", "shame", "pride", "relief", "envy", "hope", "guilt"]
 
 SCORES_SPARK = """
 SELECT vec_id,
  CAST(label%3 AS INT) AS sentiment_true,
  transform(slice(embedding,1,3), x -> CAST(x AS DOUBLE)) AS sentiment_logits,
- transform(slice(embedding,4,4), x -> CAST(x AS DOUBLE)) AS emotion_logits,
- transform(slice(embedding,8,12), x -> CAST(x AS DOUBLE)) AS intensity_logits,
- transform(sequence(1,4), j -> CAST((label+j)%2 AS INT)) AS emotion_true,
- transform(sequence(1,4), j -> CAST((label+j)%3 AS INT)) AS intensity_true
+ transform(slice(embedding,4,15), x -> CAST(x AS DOUBLE)) AS emotion_logits,
+ transform(slice(embedding,19,45), x -> CAST(x AS DOUBLE)) AS intensity_logits,
+ transform(sequence(1,15), j -> CAST((label+j)%2 AS INT)) AS emotion_true,
+ transform(sequence(1,15), j -> CAST((label+j)%3 AS INT)) AS intensity_true
 FROM {embeddings}
 """
 
@@ -110,10 +110,10 @@ SCORES_DUCKDB = """
 SELECT vec_id,
  CAST(label%3 AS INT) AS sentiment_true,
  list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE)) AS sentiment_logits,
- list_transform(embedding[4:7], lambda x: CAST(x AS DOUBLE)) AS emotion_logits,
- list_transform(embedding[8:19], lambda x: CAST(x AS DOUBLE)) AS intensity_logits,
- list_transform(range(1,5), lambda j: CAST((label+j)%2 AS INT)) AS emotion_true,
- list_transform(range(1,5), lambda j: CAST((label+j)%3 AS INT)) AS intensity_true
+ list_transform(embedding[4:18], lambda x: CAST(x AS DOUBLE)) AS emotion_logits,
+ list_transform(embedding[19:63], lambda x: CAST(x AS DOUBLE)) AS intensity_logits,
+ list_transform(range(1,16), lambda j: CAST((label+j)%2 AS INT)) AS emotion_true,
+ list_transform(range(1,16), lambda j: CAST((label+j)%3 AS INT)) AS intensity_true
 FROM {embeddings}
 """
 

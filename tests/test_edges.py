@@ -10,6 +10,7 @@ from affect.operators import evaluate as E
 from affect.operators import labels as L
 from affect.operators import rewrite as RW
 from affect.operators import study as X
+from affect.operators import balance as B
 from affect.operators.balance import balance_plan
 from affect.sources import reports as RP
 
@@ -113,15 +114,48 @@ def test_levene_median_centre(spark):
     assert abs(lv.statistic - ssb / (ssw / 6)) < 1e-9
 
 
-def test_shapiro_sanity(spark):
+def test_quantiles_with_extreme_values(spark):
+    import numpy as np
+    import pytest
+    from pyspark.sql import functions as F
+    vals = [((i * 7919) % 3001) / 3001 - 0.3 for i in range(3000)] + [0.0, 0.0, 1e14, -3e9]
+    df = _one(spark, [("g", v) for v in vals], "k string, x double")
+    for r in X.exact_quantiles(df, ["k"], "x", [0.0, 0.1, 0.5, 0.9, 1.0]).collect():
+        assert r.q == pytest.approx(float(np.quantile(vals, r.p)), rel=1e-12)
+    # the extreme values put all others into one bin of equal width; by magnitude few are left together
+    assert df.groupBy(X.magnitude("x")).count().agg(F.max("count")).first()[0] < 50
+
+
+def test_normality_sanity(spark):
     import random
     rnd = random.Random(1)
     vals = [rnd.gauss(0, 1) for _ in range(300)] + [rnd.expovariate(1.0) ** 3 for _ in range(300)]
     df = _one(spark, [(i, "n" if i < 300 else "s", v) for i, v in enumerate(vals)],
               "run_id long, g string, f1_score double")
     r = {x.g: x for x in X.normality(df, "g").collect()}
-    assert 0.98 < r["n"].w_statistic <= 1.0 and r["n"].p_value > 0.05 and r["n"].is_normal
-    assert r["s"].w_statistic < 0.8 and r["s"].p_value < 1e-6 and not r["s"].is_normal
+    assert r["n"].p_value > 0.05 and r["n"].is_normal and r["n"].n == 300
+    assert r["s"].skewness > 2 and r["s"].p_value < 1e-6 and not r["s"].is_normal
+
+
+def test_f_tail_meets_its_limit_at_any_size(spark):
+    """F = 1 with 3 degrees of freedom: the chi-square limit is 0.391625."""
+    from pyspark.sql import functions as F
+
+    from affect.functions.stats import f_sf
+    df = spark.range(1)
+    for d2 in (6e8, 6e10, 6e12):
+        for f, d1, want in ((1.0, 3.0, 0.391625), (4.0, 1.0, 0.045500), (2.5, 4.0, 0.040428), (200.0, 2.0, 0.0)):
+            p = df.select(f_sf(F.lit(f), F.lit(d1), F.lit(d2)).alias("p")).first().p
+            assert abs(p - want) < 1e-6, (d2, f, d1, p)
+
+
+def test_balance_cap_is_optional(spark):
+    df = spark.createDataFrame([("big", i) for i in range(50)] + [("small", 100 + i) for i in range(3)], "bundle_key string, id long")
+    plan = {r.bundle_key: r for r in B.balance_plan(df).collect()}
+    assert (plan["small"].needed, plan["small"].full_passes, plan["small"].last_pass) == (47, 15, 2)
+    rows = B.expansion_rows(df, B.balance_plan(df), "id")
+    assert rows.count() == 47 and rows.select("aug_id").distinct().count() == 47
+    assert B.expansion_rows(df, B.balance_plan(df, cap=4), "id").count() == 4
 
 
 def test_exact_quantiles_match_linear_interpolation(spark):
@@ -172,13 +206,14 @@ def test_balance_plan_caps(spark):
             uid += 1
     df = _one(spark, rows, "utt_id int, emotion1 string, intensity1 string")
     df = L.canonical_slots(df)
-    for mult, expect in [(1.0, {"joy:2": (700, 2), "fear:2": (700, 4), "anger:2": (700, 20), "sadness:2": (700, 0)}),
-                         (0.5, {"joy:2": (350, 2), "anger:2": (350, 20), "sadness:2": (350, 0)})]:
+    for mult, expect in [(1.0, {"joy:2": (700, 699), "fear:2": (700, 698), "anger:2": (700, 690), "sadness:2": (700, 0)}),
+                         (0.5, {"joy:2": (350, 349), "anger:2": (350, 340), "sadness:2": (350, 0)})]:
         plan = {r.bundle_key: r for r in balance_plan(df, mult).collect()}
         for k, (target, added) in expect.items():
             assert plan[k].target == target and plan[k].added == added
-            assert plan[k].added == min(plan[k].needed, 2 * plan[k]["count"])
-        assert plan["sadness:2"].needed <= 600
+            assert plan[k].added == plan[k].needed == plan[k].full_passes * plan[k]["count"] + plan[k].last_pass
+    capped = {r.bundle_key: r for r in balance_plan(df, 1.0, cap=600).collect()}
+    assert capped["joy:2"].needed == 600 and capped["sadness:2"].needed == 0
 
 
 def test_best_epoch_rules(spark):

@@ -53,14 +53,14 @@ def test_confusion_sums_to_rows(spark):
     assert cm.count() == 9
 
 
-def test_expansion_adds_min_needed_2n(spark):
+def test_expansion_adds_what_is_needed(spark):
     src = view(spark, "utterances", SF01).where(F.col("domain") == "source")
     keyed = B.keyed_rows(src)
     plan = B.balance_plan(keyed, 1.0)
     exp = B.expansion_rows(keyed, plan, "utt_id")
     got = {r.bundle_key: r.n for r in exp.groupBy("bundle_key").agg(F.count(F.lit(1)).alias("n")).collect()}
     for r in plan.collect():
-        assert got.get(r.bundle_key, 0) == min(r.needed, 2 * r["count"])
+        assert got.get(r.bundle_key, 0) == r.needed
 
 
 def test_rewrite_is_valid_or_original_and_seeded(spark):
