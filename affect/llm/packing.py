@@ -32,58 +32,60 @@ TOKENS = 4096
 END = 1
 GROUP = 1 << 16
 #: Tokens of frequent words are kept by each worker, up to so many words.
-CACHE = 300_000
+CACHE = 400_000
 #: A vocabulary file larger than this is not broadcast.
 VOCABULARY_BYTES = 64 << 20
 PIECES = "array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>"
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Texts tokenized together, in bytes.
-BATCH_BYTES = 1 << 20
-LETTER = np.zeros(256, bool)
-LETTER[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+BATCH_BYTES = 2 << 20
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[33:127] = SIGN
+KINDS[48:58] = DIGIT
+KINDS[97:123] = KINDS[65:91] = LETTER
+KINDS[39] = OTHER  # the tokenizer keeps an apostrophe together with some endings
+KINDS[[10, 32]] = SPACE
 
 
 class Tokens:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer composes and lower-cases characters, then splits at white
-    space and between letters and other characters, and only then merges; the
-    last token of each such part is marked as a word's end.  So a text's tokens
-    are those of its words (what stands between spaces and line feeds) in order.
-    A-Z may be lower-cased before, and a full stop or comma that ends a word
-    behind a Latin letter or digit is a part of its own.  The distinct words of a
-    batch of texts are found by their hashes and looked up in what the process
-    knows; new ones of letters only are encoded many at once and told apart by
-    the word ends.  Texts with special tokens are left to the tokenizer whole,
-    and so are those with combining marks (h with a macron composes, H does not)."""
+    space, between letters and other signs and around digits, and only then
+    merges; the last token of each such part is marked as a word's end.  So a
+    text's tokens are those of its parts in order.  Parts are what stands
+    between spaces and line feeds, cut further where ASCII or Latin letters,
+    digits and ASCII signs meet if the part has nothing else; A-Z may be
+    lower-cased before.  The distinct parts of a batch of texts are found by
+    their hashes and looked up in what the process knows; new ones of letters
+    only are encoded many at once and told apart by the word ends.  Texts with
+    special tokens are left to the tokenizer whole, and so are those with
+    combining marks (h with a macron composes, H does not)."""
 
     def __init__(self, vocabulary: str):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.whole = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] + [b"\xcc"]
+        self.whole = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] + [b"\xcc", b"\xcd"]
         words = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
-        self.marks = {ord(m): self.encode([m])[0] for m in ".,"}
-        assert all(len(m) == 4 for m in self.marks.values())
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, new: list[bytes]) -> None:
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
         letters, rest = [], []
         for w in new:
             word = w.decode()
             (letters if word.isalpha() else rest).append(word)
         for i in range(0, len(letters), 500):
             some = letters[i:i + 500]
-            flat = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            flat = np.frombuffer(self.encode([" ".join(some)])[0], "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[flat]) + 1)).tolist()
             if len(cuts) == len(some):
                 flat = flat.tobytes()
@@ -92,41 +94,43 @@ class Tokens:
                 rest += some
         self.known.update(zip((w.encode() for w in rest), self.encode(rest)))
 
+    @staticmethod
+    def parts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the parts of lower-cased text that starts and ends with spaces."""
+        kind = KINDS[raw]
+        latin = np.flatnonzero((raw >= 0xC3) & (raw <= 0xCA))  # the first of two bytes of a Latin letter
+        latin = latin[~((raw[latin] == 0xC3) & ((raw[latin + 1] == 0x97) | (raw[latin + 1] == 0xB7)))]  # but the signs of times and division
+        kind[latin] = kind[latin + 1] = LETTER
+        change = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        before, after = kind[change - 1], kind[change]
+        starts, ends, inside = change[before == SPACE], change[after == SPACE], change[(before != SPACE) & (after != SPACE)]
+        if len(inside):
+            plain = np.add.reduceat(kind == OTHER, starts) == 0
+            inside = inside[plain[np.searchsorted(starts, inside, side="right") - 1]]
+            starts, ends = np.sort(np.concatenate([starts, inside])), np.sort(np.concatenate([ends, inside]))
+        return starts, ends
+
     def of_batch(self, texts: list[bytes]) -> list[bytes]:
-        """Token ids of texts in which every word stands for itself."""
-        data = b" ".join(texts).translate(LOWER)
-        raw = np.frombuffer(b"  " + data + b" ", np.uint8)
-        word = (raw != 32) & (raw != 10)
-        edges = np.flatnonzero(word[1:] != word[:-1]) + 1
-        starts, ends = edges[0::2], edges[1::2].copy()
-        last, before, lead = raw[ends - 1], raw[ends - 2], raw[ends - 3]
-        latin = (before < 0x80) & LETTER[before] | (before >= 0x80) & (before < 0xC0) & (lead >= 0xC3) & (lead <= 0xCA) & ~((lead == 0xC3) & ((before == 0x97) | (before == 0xB7)))
-        mark = np.where((ends - starts > 1) & latin & ((last == 46) | (last == 44)), last, 0)
-        ends -= mark > 0
+        """Token ids of texts in which every part stands for itself."""
+        buffer = b" " + b" ".join(texts).translate(LOWER) + b" "
+        raw = np.frombuffer(buffer, np.uint8)
+        starts, ends = self.parts(raw)
         _, first, inverse = np.unique(ranges_hash(raw.astype(np.uint64), starts, ends, BYTE_BASE), return_index=True, return_inverse=True)
-        buffer = raw.tobytes()
         distinct = [buffer[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         ids = list(map(self.known.get, distinct))
-        new = [w for w, x in zip(distinct, ids) if x is None]
-        if new:
+        if new := [w for w, x in zip(distinct, ids) if x is None]:
+            if len(self.known) + len(new) > CACHE:
+                self.known, new = {}, distinct
             self.learn(new)
-            ids = list(map(self.known.get, distinct)) if len(self.known) > len(new) else None
-            if ids is None or None in ids:  # what was known has been dropped
-                self.known, missing = {}, distinct
-                self.learn(missing)
-                ids = list(map(self.known.__getitem__, distinct))
+            ids = list(map(self.known.__getitem__, distinct))
         flat = np.frombuffer(b"".join(ids), "<u4")
         each = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begin = np.cumsum(each) - each
-        n, marked = each[inverse], mark > 0
-        to = np.cumsum(n + marked) - n - marked
-        out = np.empty(int(n.sum() + marked.sum()), "<u4")
-        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(to, n) + within] = flat[np.repeat(begin[inverse], n) + within]
-        for byte, one in self.marks.items():
-            out[(to + n)[mark == byte]] = np.frombuffer(one, "<u4")[0]
-        text_ends = np.cumsum([len(t) + 1 for t in texts]) + 2
-        cuts = np.append(to, len(out))[np.searchsorted(starts, text_ends)].tolist()
+        begin, n = np.cumsum(each) - each, each[inverse]
+        to = np.cumsum(n) - n
+        total = int(n.sum())
+        out = flat[np.repeat(begin[inverse] - to, n) + np.arange(total)]
+        text_ends = np.cumsum([len(t) + 1 for t in texts]) + 1
+        cuts = np.append(to, total)[np.searchsorted(starts, text_ends)].tolist()
         return [out[a:b].tobytes() for a, b in zip([0, *cuts], cuts)]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
