@@ -32,7 +32,7 @@ TOKENS = 4096
 END = 1
 GROUP = 1 << 16
 #: Tokens of frequent words are kept by each worker, up to so many words.
-CACHE = 400_000
+CACHE = 300_000
 #: A vocabulary file larger than this is not broadcast.
 VOCABULARY_BYTES = 64 << 20
 PIECES = "array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>"
