@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import uuid
 from collections.abc import Iterator
 
@@ -37,13 +39,46 @@ def fresh(name: str, df: DataFrame) -> str:
     return name
 
 
+def give_back() -> None:
+    """What this worker process has freed goes back to the system.
+
+    Arrow's pool and the C library keep freed memory for later use; workers
+    outlive their tasks, so it would count against the executor from one stage to the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(function):
+    """``function`` of a group of rows (for ``applyInPandas``), followed by ``give_back()``."""
+    def of_rows(rows):
+        out = function(rows)
+        give_back()
+        return out
+
+    def of_key(key, rows):
+        out = function(key, rows)
+        give_back()
+        return out
+
+    def of_two(key, left, right):
+        out = function(key, left, right)
+        give_back()
+        return out
+
+    return [of_rows, of_key, of_two][len(inspect.signature(function).parameters) - 1]
+
+
 def arrow_column(function, returns: str, column: str | Column) -> Column:
     """A column that ``function`` makes from the Arrow arrays of ``column``.
 
     It counts as non-deterministic so that the optimizer never copies it into
     a filter, which would run it twice for each row."""
     def run(values: pa.Array) -> pa.Array:
-        return function(values)
+        out = function(values)
+        give_back()
+        return out
 
     return F.arrow_udf(run, returns).asNondeterministic()(F.col(column) if isinstance(column, str) else column)
 

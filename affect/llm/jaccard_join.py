@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affect.llm.blobs import pack, part_of, runs, unpack
-from affect.llm.common import utf8, written
+from affect.llm.common import give_back, giving_back, utf8, written
 from affect.llm.components import components
 from affect.llm.hashing import batches, mix
 
@@ -102,8 +102,11 @@ def _send(k: int, parts: int):
                 if size >= SEND:
                     yield from pa.Table.from_pylist(list(flush(gathered)), schema).to_batches()
                     gathered, size = [], 0
+                    give_back()
         if gathered:
             yield from pa.Table.from_pylist(list(flush(gathered)), schema).to_batches()
+        gathered = []
+        give_back()
     return run
 
 
@@ -214,8 +217,8 @@ def shared_shingles(docs: DataFrame, k: int, percent: int, doc_id: str, text: st
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // RANGE_BYTES))
     sent = rows.mapInArrow(_send(k, parts), "part int, data binary")
-    back = sent.groupBy("part").applyInPandas(_frequencies(parts), "block int, data binary")
-    found = back.groupBy("block").applyInPandas(_documents(percent), "doc_id long, copies long, n long, need long, places array<long>, alone string")
+    back = sent.groupBy("part").applyInPandas(giving_back(_frequencies(parts)), "block int, data binary")
+    found = back.groupBy("block").applyInPandas(giving_back(_documents(percent)), "doc_id long, copies long, n long, need long, places array<long>, alone string")
     return written(found, "shingles")
 
 
@@ -254,7 +257,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
             .select("h", "node", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
             .select("h", "node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
             .join(reps.select("node", "n", "places"), "node"))
-    links = links.union(many.groupBy("h", "i", "j").applyInPandas(_block_links(percent), "a long, b long"))
+    links = links.union(many.groupBy("h", "i", "j").applyInPandas(giving_back(_block_links(percent)), "a long, b long"))
     roots = components(links)
     named = roots.join(reps.select("node", "class", "rid"), "node")
     least = named.groupBy("root").agg(F.min("rid").alias("component_id"))

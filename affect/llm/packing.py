@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affect.llm.common import arrow_column, once_a_process, utf8, written
+from affect.llm.common import arrow_column, giving_back, once_a_process, utf8, written
 from affect.llm.hashing import BYTE_BASE, ranges_hash
 
 TOKENS = 4096
@@ -240,4 +240,4 @@ def pack(cut_pieces: DataFrame, tokens: int = TOKENS, group: int = GROUP) -> Dat
     dealt = rows.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     kind = dict(rows.dtypes)["doc_id"]
     return dealt.groupBy("group").applyInPandas(
-        _pack(tokens), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+        giving_back(_pack(tokens)), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

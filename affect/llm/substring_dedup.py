@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affect.llm.blobs import pack, part_of, runs, unpack
-from affect.llm.common import utf8, written
+from affect.llm.common import give_back, giving_back, utf8, written
 from affect.llm.hashing import batches
 
 WINDOW = 20
@@ -112,8 +112,11 @@ def _probes(k: int, least: int, parts: int):
                 if size >= SEND:
                     yield from flush()
                     gathered, size = [], 0
+                    give_back()
         if gathered:
             yield from flush()
+        gathered = []
+        give_back()
     return run
 
 
@@ -229,8 +232,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     rows = rows.select("doc_id", block.alias("block"), "text")
     k = window // 2
     sent = rows.mapInArrow(_probes(k, window, parts), "part int, data binary")
-    hits = written(sent.groupBy("part").applyInPandas(_anchors(k, parts), "block int, data binary"), "anchors")
-    around = rows.groupBy("block").cogroup(hits.groupBy("block")).applyInPandas(_runs_around(window, parts), "part int, data binary")
-    repeats = written(around.groupBy("part").applyInPandas(_repeats(parts), "block int, data binary"), "repeats")
+    hits = written(sent.groupBy("part").applyInPandas(giving_back(_anchors(k, parts)), "block int, data binary"), "anchors")
+    around = rows.groupBy("block").cogroup(hits.groupBy("block")).applyInPandas(giving_back(_runs_around(window, parts)), "part int, data binary")
+    repeats = written(around.groupBy("part").applyInPandas(giving_back(_repeats(parts)), "block int, data binary"), "repeats")
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start: int, end: int>>, kept string"
-    return rows.groupBy("block").cogroup(repeats.groupBy("block")).applyInPandas(_cut(window), schema)
+    return rows.groupBy("block").cogroup(repeats.groupBy("block")).applyInPandas(giving_back(_cut(window)), schema)
