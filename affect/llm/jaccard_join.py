@@ -10,7 +10,8 @@ then hash.  Three steps, none of which sends a shingle as a row of its own:
    documents with the same set become one class with one representative.
 2. *Candidates.*  Two sets of that Jaccard similarity share a shingle among the
    first ``n - ceil(percent * n / 100) + 1`` of either in the global order (the
-   rarest).  Classes that share one are paired if their sizes allow a link.
+   rarest).  Classes that share one are paired if their sizes allow a link;
+   of shingles that stand for the same classes only one is used.
 3. *Overlaps.*  The global order is cut at pivots into fragments; for each pair
    and fragment the partial overlap is counted on its own, and the sum per pair
    decides.  A prefix shingle with more than ``PAIRED`` classes is not expanded
@@ -233,7 +234,9 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     reps = written(reps, "classes")
     prefix = reps.select("node", "n", F.explode(F.slice("places", 1, F.greatest(F.lit(0), (F.size("places") - F.col("need") + 1).cast("int")))).alias("h"))
     prefix = written(prefix, "prefixes")
-    several = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # shingles of the same classes give the same pairs: of those one is enough (128 bits of hashes tell)
+    several = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    several = several.where("c > 1").groupBy("c", "x", "y").agg(F.min("h").alias("h")).select("h", "c")
     buckets = prefix.join(several, "h")
 
     few = buckets.where(F.col("c") <= paired)
