@@ -245,8 +245,9 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
              .select("a", "b", "na", "nb").distinct())
     quarter = [F.element_at("places", F.greatest(F.lit(1), F.ceil(F.size("places") * i / FRAGMENTS).cast("int"))) for i in range(1, FRAGMENTS)]
     pivots = reps.agg(*[F.percentile_approx(q, 0.5) for q in quarter]).first()
-    cuts = [-1, *sorted(p or 0 for p in pivots), 1 << 62]
-    fragments = [F.expr(f"filter(places, x -> x > {lo} and x <= {hi})") for lo, hi in zip(cuts, cuts[1:])]
+    cuts = [-1, *sorted(p or 0 for p in pivots)]
+    # the last fragment has no upper bound: places of frequent shingles reach almost 1 << 63
+    fragments = [F.expr(f"filter(places, x -> x > {lo} and x <= {hi})") for lo, hi in zip(cuts, cuts[1:])] + [F.expr(f"filter(places, x -> x > {cuts[-1]})")]
     pieces = reps.select("node", F.posexplode(F.array(*fragments)).alias("f", "piece")).where(F.size("piece") > 0)
     left = pieces.select(F.col("node").alias("a"), "f", F.col("piece").alias("pa"))
     right = pieces.select(F.col("node").alias("b"), "f", F.col("piece").alias("pb"))

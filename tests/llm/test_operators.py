@@ -108,6 +108,30 @@ def test_jaccard(docs, rows, none, k, percent, paired, block):
     assert jaccard_join.jaccard_components(none, k=k, percent=percent).count() == 0
 
 
+@pytest.mark.parametrize("paired", [256, 1])  # pairs by the join; all in blocks
+def test_jaccard_of_very_frequent_shingles(spark, paired):
+    """A text of 16 400 copies and its edited copies, and near pairs of which most is that text."""
+    base = [f"s{i}" for i in range(24)]
+    texts = {0: base, 20_000: [*base[:-1], "edit"], 20_001: ["other", *base[1:]], 20_002: [*base[:12], "middle", *base[13:]]}
+    for p in range(3):
+        own = [f"p{p}_{i}" for i in range(10)]
+        texts |= {30_000 + 2 * p: [*own, *base], 30_001 + 2 * p: [*own, *base[:-1], "end"]}
+    sets = {d: {tuple(w[i:i + 3]) for i in range(len(w) - 2)} for d, w in texts.items()}
+    want = {d: d for d in texts}
+    for _ in texts:
+        for a in texts:
+            for b in texts:
+                o = len(sets[a] & sets[b])
+                if 100 * o >= 80 * (len(sets[a]) + len(sets[b]) - o):
+                    want[a] = want[b] = min(want[a], want[b])
+    assert want[20_000] == 0 and want[30_001] == 30_000
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    copies = spark.range(1, 16_401).selectExpr("id as doc_id", f"'{' '.join(base)}' as text")
+    found = jaccard_join.jaccard_components(frame.union(copies), k=3, percent=80, paired=paired)
+    got = {r.doc_id: r.component_id for r in found.collect()}
+    assert {d: got[d] for d in texts} == want and all(got[d] == 0 for d in range(1, 16_401))
+
+
 def test_substring_dedup(docs, rows, none):
     first, gone = {}, {}
     for d, t in rows:
