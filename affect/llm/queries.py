@@ -54,7 +54,7 @@ FROM doc_words LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chat.perspectives(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    found = chat.dialogues(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
     return found.withColumn("mask", F.array_join(F.transform("mask", lambda s: F.concat_ws(":", s["start"], s["end"])), ","))
 
 

@@ -351,6 +351,34 @@ def test_chat(spark):
     assert chat.perspectives(frame.where("false")).count() == 0
 
 
+def test_chat_renders_whole_dialogues(spark):
+    """Dialogues over a segment, against a plain version: silent speakers, turns of one number or none, system turns carried."""
+    r = random.Random(5)
+    turns = [(1, 0, "system", "be kind"), (1, 0, "ann", "hi"), (1, 1, "bob", None), (1, 7, "system", "now\nshort"), (1, 9, "system", "be kind")]
+    turns += [(1, 10 + i // 3, r.choice(["ann", None]), f"t{r.randrange(9)}<|") for i in range(40)] + [(1, None, "eve", f"n{i}") for i in range(3)]
+    turns += [(2, 0, "system", "x")] * 9 + [(3, 1000 * i, "ann", str(i)) for i in range(4)] + [(3, 5, "system", "s"), (None, 1, "ann", "lost")]
+    frame = spark.createDataFrame([(*t, 0) for t in turns], "conv_id long, turn long, role string, text string, number int").repartition(3)
+    want = {}
+    for conv in (1, 2, 3):
+        mine = sorted((t is None, t or 0, role or "unknown", (text or "").replace("<|", "< |")) for c, t, role, text in turns if c == conv)
+        said = [(m[2], m[3]) for m in mine]
+        for speaker in {role for role, _ in said} - {"system"}:
+            for s in range(-(-len(said) // 8)):
+                carried = list(dict.fromkeys(x for x in said[:8 * s] if x[0] == "system"))
+                text, mask = "", []
+                for role, body in carried + said[8 * s:8 * s + 8]:
+                    text += "<|im_start|>" + ("assistant" if role == speaker else "system" if role == "system" else f"user name={role}") + "\n"
+                    if role == speaker:
+                        mask.append((len(text), len(text) + len(body) + 10))
+                    text += body + "<|im_end|>\n"
+                want[conv, s, speaker] = (len(carried) + len(said[8 * s:8 * s + 8]), len(mask), text, mask)
+    assert len({s for c, s, _ in want if c == 1}) == 6 and (1, 5, "bob") in want
+    found = chat.dialogues(frame, segment=8).collect()
+    assert len(found) == len(want)
+    assert {(x.conv_id, x.segment, x.speaker): (x.n_messages, x.n_assistant, x.rendered, [tuple(m) for m in x["mask"]]) for x in found} == want
+    assert chat.dialogues(frame.where("false")).count() == 0
+
+
 def test_pipeline_stages(spark, rows):
     import corpus_pipeline as p
     sf = "/root/testdata/sf0.001"
