@@ -12,7 +12,9 @@ character.  Candidates above a threshold become spans of kind ``format``,
 unless a base span has them already; base spans always stay.
 
 Fitting takes a bounded sample (``SAMPLE`` distinct values a kind, those of the
-smallest hashes over all texts); scanning reads every whole text.
+smallest hashes over all texts).  Values are learned whole; of a kind's sample
+``LEARNED`` characters are taken at most, whole values by rising hash, and one
+that is longer than what is left is passed over.  Scanning reads every whole text.
 
 Cases: null and empty texts have no spans; without labelled values no automaton
 is inferred and only base spans are found; spans of one text are ordered by
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from affect.llm.common import arrow_column, fresh, strings, written
 
 SAMPLE = 1000
+#: Characters of a kind's values that an automaton is inferred from, at most (a state of the prefix tree each).
+LEARNED = 500_000
 #: Runs of credential characters this long or longer are candidates.
 CANDIDATE = 12
 #: A candidate is reported if its log likelihood ratio per character is over this.
@@ -189,9 +193,9 @@ class Grammar:
         return (best - plain) / (len(value) + 1)
 
 
-def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Grammar:
+def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE, learned: int = LEARNED) -> Grammar:
     """The grammar of the credentials in all texts: one pass that extracts the
-    values, of which at most ``sample`` a kind come to the driver."""
+    values, of which at most ``sample`` and ``learned`` characters a kind come to the driver."""
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for t in strings(texts):
@@ -202,9 +206,19 @@ def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Grammar:
         return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())])))
 
     values = (docs.select(F.explode(arrow_column(run, "array<struct<kind: string, value: string>>", text)).alias("v"))
-              .select("v.kind", F.substring("v.value", 1, 200).alias("value")).withColumn("h", F.xxhash64("value")))
+              .select("v.kind", "v.value").withColumn("h", F.xxhash64("value")))
+    chosen = _smallest(values, sample)
+    left: dict[str, int] = {}
+    over = []
+    for r in sorted(chosen.select("h", "kind", F.length("value").alias("n")).collect()):
+        if r["n"] <= left.setdefault(r["kind"], learned):
+            left[r["kind"]] -= r["n"]
+        else:
+            over.append(f"{r['kind']}:{r['h']}")
+    if over:
+        chosen = chosen.where(~F.concat_ws(":", "kind", "h").isin(over))
     found: dict[str, list[str]] = {}
-    for r in sorted(_smallest(values, sample).collect()):
+    for r in sorted(chosen.select("kind", "value").collect()):
         found.setdefault(r["kind"], []).append(r["value"])
     return Grammar({k: found.get(k, []) for k in KINDS[:3]}, {k: found.get(k, []) for k in ORDINARY})
 
@@ -226,7 +240,7 @@ def _smallest(values: DataFrame, sample: int) -> DataFrame:
             break
         share.update({k: min(1.0, 4 * share[k]) for k in again})
     rank = F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))
-    return few.withColumn("rank", rank).where(F.col("rank") <= sample).select("kind", "value")
+    return few.withColumn("rank", rank).where(F.col("rank") <= sample).select("kind", "value", "h")
 
 
 def spans(text: str, grammar: Grammar, scores: dict[str, float], margin: float = MARGIN) -> list[tuple[int, int, int]]:

@@ -265,6 +265,19 @@ def test_grammar_tells_formats_apart():
     assert not any(g.score(w) > secrets.MARGIN for w in words[200:] + numbers[200:])
 
 
+def test_grammar_learns_whole_values(spark, monkeypatch):
+    r = random.Random(9)
+    head = "".join(r.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKMNPQRSTUVWXYZ23456789") for _ in range(220))
+    keys, runs = [f"{head}{i:02d}{'z' * i}" for i in range(30)], [f"{'Ab' * 150}{i:02d}" for i in range(20)]
+    frame = spark.createDataFrame([(i, f"token={k} and {runs[i % 20]}") for i, k in enumerate(keys)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(secrets, "Grammar", lambda credentials, plain: (credentials, plain))
+    credentials, plain = secrets.learn(frame)
+    assert credentials["assign"] == sorted(keys) and plain["mixed"] == sorted(runs)
+    credentials, plain = secrets.learn(frame, learned=1000)  # whole values only, as many as fit
+    assert len(credentials["assign"]) == 4 and set(credentials["assign"]) < set(keys)
+    assert len(plain["mixed"]) == 3 and set(plain["mixed"]) < set(runs)
+
+
 def test_url_filter(spark):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
              ("a.com", "/de/x/", "allow"), ("a.com", "/de/x/y", "block"), ("A.com", "/de/x/y", "allow"), (None, "/", "block"), ("a.com", None, "block"), ("com", "", "allow")]
