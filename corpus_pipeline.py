@@ -56,7 +56,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicates_stage), ("decontamination", decontamination_stage),
           ("secrets", secrets_stage), ("packing", packing_stage)]
 
-#: Learned models and components over hashes have no SQL; tests/llm compares each stage with a plain version.
+#: Learned models and components over hashes have no SQL; tests/llm compares the ids and texts that the first four stages keep with plain versions
+#: (of the learned models, with the same model), and packing's operator with the tokenizer's own pieces.
 ORACLE_SQL = None
 
 

@@ -415,6 +415,83 @@ def test_pipeline_stages(spark, rows):
         assert stage(spark, empty, sf).count() == 0, name
 
 
+def plain_spans(text, grammar):
+    """Base and format spans, by plain loops over the text."""
+    out = []
+    for m in re.finditer("(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A):
+        out += [(m.start(), m.end(), "assign")] if len(m[1]) >= 6 else []
+    out += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]{16,}", text)]
+    out += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]{24,}", text)]
+    taken = {i for a, b, _ in out for i in range(a, b)}
+    inside = [c.isascii() and (c.isalnum() or c in "+/_.=-") for c in text] + [False]
+    a = None
+    for i, c in enumerate(inside):
+        if c:
+            a = i if a is None else a
+        elif a is not None:
+            if i - a >= 12 and not taken & set(range(a, i)) and not text[a - 1:a].isalnum() and not text[i:i + 1].isalnum() and grammar.score(text[a:i]) > 0.5:
+                out.append((a, i, "format"))
+            a = None
+    return sorted(out, key=lambda s: (s[0], ["assign", "access", "hex", "format"].index(s[2]), s[1]))
+
+
+def plain_redacted(text, grammar):
+    marks, last = list(text), 0
+    for a, b, _ in plain_spans(text, grammar):
+        for i in range(a, b):
+            marks[i] = "[SECRET]" if i == a and a >= last else "" if i >= last or not marks[i].startswith("[") else marks[i]
+        last = max(last, b)
+    return "".join(marks)
+
+
+def test_secrets_of_all_rows(spark, rows):
+    r = random.Random(4)
+    keys = ["".join(r.choices("0123456789abcdef", k=20)) for _ in range(310)]
+    texts = [t for _, t in rows] + [f"token = '{k}' river stone; see abcdefghijklmnop" for k in keys[:300]] + [f"the {k} and, é{k}" for k in keys[300:]]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    grammar = secrets.Grammar({"assign": keys[:200]}, {"digits": ["".join(r.choices("0123456789", k=20)) for _ in range(200)]})
+    want = {i: plain_spans(t or "", grammar) for i, t in enumerate(texts)}
+    assert {s[2] for x in want.values() for s in x} == {"assign", "access", "hex", "format"}
+    assert {x.doc_id: [(s.start, s.end, s.kind) for s in x.secrets] for x in secrets.scan(frame, grammar).collect()} == want
+    assert {x.doc_id: x.text for x in secrets.redact(frame, grammar).collect()} == {i: None if t is None else plain_redacted(t, grammar) for i, t in enumerate(texts)}
+
+
+def test_pipeline_stages_keep_what_plain_versions_keep(spark, rows):
+    """Ids and texts of the first four stages, each on the same documents of different ids."""
+    import corpus_pipeline as p
+    sf = "/root/testdata/sf0.001"
+    base = [(x.doc_id, x.text) for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [x.text for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if x.text and x.item_id is not None]
+    texts = dict(base) | {10**6 + i: t for i, t in rows if i is not None} | {2 * 10**6: f"before {items[0]} after"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+
+    model = quality.learn(frame, spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"))
+    kept = {d: t for d, t in texts.items() if model.score(quality.indicators((t or "").encode())) >= quality.THRESHOLD}
+    want = [kept]
+    def low(t):
+        return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    def shingles(t):
+        w = WORD.findall(low(t))
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets, least = {d: shingles(t) for d, t in texts.items()}, {d: d for d in texts}
+    pairs = [(a, b) for a in texts for b in texts if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while any(least[a] != least[b] for a, b in pairs):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    want.append({d: t for d, t in texts.items() if least[d] == d})
+    def normal(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    bad = {tuple(w[i:i + 10]) for w in map(normal, items) if w for i in range(max(1, len(w) - 9))}
+    sizes = {len(w) for w in bad}
+    want.append({d: t for d, t in texts.items() if not any(tuple(w[i:i + n]) in bad for w in [normal(t)] for n in sizes for i in range(len(w) - n + 1))})
+    grammar = secrets.learn(frame)
+    want.append({d: None if t is None else plain_redacted(t, grammar) for d, t in texts.items()})
+    assert all(x != texts for x in want[1:])
+    for (name, stage), x in zip(p.STAGES, want):
+        got = [(y.doc_id, y.text) for y in stage(spark, frame, sf).collect()]
+        assert sorted(got) == sorted(x.items(), key=lambda y: y[0]), name
+
+
 @pytest.mark.parametrize("name", ["op1_decontaminate", "op2_chat", "op3_jaccard_join", "op4_substring_dedup", "op7_warc", "op9_url_filter"])
 def test_oracles(spark, name):
     import duckdb
