@@ -9,7 +9,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affect.llm import chat, decontaminate, jaccard_join, packing, quality, secrets, sketch, substring_dedup, url_filter, warc
+from affect.llm import chat, collocations, decontaminate, jaccard_join, packing, quality, secrets, sketch, substring_dedup, url_filter, warc
 from affect.llm.common import table
 
 Q: dict = {}
@@ -228,6 +228,41 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q["op10_packing"] = op10_packing
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents", "lang", "text"))
+
+
+Q["op11_collocations"] = op11_collocations
+O["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+counted AS (
+  SELECT lang, k, phrase, count(*) AS f FROM (
+    SELECT lang, k, list_aggregate(w[i : i + k - 1], 'string_agg', ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3), (4)) AS lengths(k) WHERE len(w) >= k))
+  GROUP BY lang, k, phrase HAVING count(*) >= 30),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k > 1),
+cuts AS (
+  SELECT lang, phrase, a, j, array_to_string(w[1 : j], ' ') AS x, array_to_string(w[j + 1 : k], ' ') AS y
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, j, p.f AS l, q.f AS r, (2000000::HUGEINT * c.a) // (p.f::HUGEINT + q.f) AS score
+  FROM cuts c JOIN counted p ON p.lang = c.lang AND p.phrase = x JOIN counted q ON q.lang = c.lang AND q.phrase = y),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_phrases AS (
+  SELECT lang, a, array_to_string(w[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM candidates, (VALUES (2), (3)) AS lengths(m) WHERE m < k)),
+covered AS (SELECT lang, phrase, max(a) AS longer FROM inner_phrases GROUP BY lang, phrase),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN covered USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
