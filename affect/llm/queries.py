@@ -9,7 +9,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affect.llm import chat, collocations, decontaminate, jaccard_join, packing, quality, secrets, sketch, substring_dedup, url_filter, warc
+from affect.llm import chat, collocations, decontaminate, jaccard_join, packing, quality, ranked_search, secrets, sketch, substring_dedup, url_filter, warc
 from affect.llm.common import table
 
 Q: dict = {}
@@ -263,6 +263,30 @@ FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+Q["op12_ranked_search"] = op12_ranked_search
+O["op12_ranked_search"] = r"""
+WITH doc_terms AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents WHERE text IS NOT NULL),
+counted AS (SELECT * FROM doc_terms WHERE len(t) > 0),
+totals AS (SELECT count(*) AS total_n, CAST(sum(len(t)) AS BIGINT) AS total_l FROM counted),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL),
+tfs AS (SELECT d, doc_id, len(t) AS n, term, count(*) AS tf FROM (SELECT d, doc_id, t, unnest(t) AS term FROM counted) WHERE term IN (SELECT term FROM items) GROUP BY d, doc_id, len(t), term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * total_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, totals GROUP BY term, total_n),
+impacts AS (
+  SELECT d, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * total_n) // total_l))) AS impact FROM tfs JOIN weights USING (term), totals),
+scores AS (SELECT item_id, d, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM items JOIN impacts USING (term) GROUP BY item_id, d, doc_id HAVING sum(impact) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) <= 10
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
