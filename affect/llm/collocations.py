@@ -48,9 +48,9 @@ LEAST = 30
 SHARE = 80
 TOP = 2000
 #: Bytes of text for each range of hashes.
-RANGE_BYTES = 10 << 20
+RANGE_BYTES = 4 << 20
 #: Bytes of text whose windows are made together, windows that a task holds before it sends them, distinct windows that a range holds.
-SLICE_BYTES, SENT, HELD = 1 << 20, 2_000_000, 4_000_000
+SLICE_BYTES, SENT, HELD = 1 << 20, 600_000, 1_500_000
 #: What a byte is (1: between words, 2: between pieces), and its small letter.
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -123,9 +123,11 @@ def _distinct(hashes: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class _Held:
-    """Windows of one language with counts, their texts cut out; equal ones become one when asked."""
+    """Windows of one language with counts, their texts cut out; equal ones become one when asked.
+    Of the hashes of prefixes only those of ``lengths`` (from 0, the longest last) are kept."""
 
-    def __init__(self):
+    def __init__(self, lengths: tuple[int, ...]):
+        self.lengths = lengths
         self.parts: list[tuple] = []  # prefixes, check, counts, texts, ends of the texts
         self.size = 0
 
@@ -134,7 +136,7 @@ class _Held:
         first, number = _distinct(w.prefixes[-1], w.check)
         total = np.bincount(number, weights=counts, minlength=len(first)).astype(np.int64)
         text = _cut(w.raw, w.starts[first], w.ends[-1][first])
-        self.parts.append(([p[first] for p in w.prefixes], w.check[first], total, text, np.cumsum(w.ends[-1][first] - w.starts[first] + 1), w.n[first]))
+        self.parts.append(([w.prefixes[j][first] for j in self.lengths], w.check[first], total, text, np.cumsum(w.ends[-1][first] - w.starts[first] + 1), w.n[first]))
         self.size += len(first)
 
     def merged(self) -> tuple:
@@ -166,7 +168,7 @@ def _gather(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int =
 
 def _send(lang: str, held: _Held, parts: int) -> Iterator[tuple[int, str, bytes]]:
     prefixes, _, counts, text, ends, _ = held.merged()
-    pair = prefixes[min(1, len(prefixes) - 1)]
+    pair = prefixes[0]
     order = np.argsort(pair, kind="stable")  # ranges are by the pair's hash, and equal pairs stand together
     starts = np.concatenate([[0], ends[:-1]])
     ranges = part_of(pair[order], parts)
@@ -216,8 +218,9 @@ def windows(docs: DataFrame, text: str, lang: str, longest: int, least: int) ->
                 if bucket != now:
                     yield from _padded(held, longest, least if whole else 0)
                     now, held, whole = bucket, {}, True
+                    give_back()
                 raw, counts = unpack(blob)
-                held.setdefault(name, _Held()).add(Windows(raw, name, longest, lines=True), counts)
+                held.setdefault(name, _Held(tuple(range(longest)))).add(Windows(raw, name, longest, lines=True), counts)
                 if sum(h.size for h in held.values()) > HELD:
                     for h in held.values():
                         h.merged()
@@ -237,7 +240,7 @@ def _add(held: dict[str, _Held], name: str, texts: list[bytes], longest: int) ->
     raw = canonical(texts)
     if not len(raw):
         return 0
-    h = held.setdefault(name, _Held())
+    h = held.setdefault(name, _Held((min(1, longest - 1), longest - 1)))  # ranges go by the pair
     before = h.size
     h.add(Windows(raw, name, longest), None)
     return h.size - before
