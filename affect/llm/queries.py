@@ -9,7 +9,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affect.llm import chat, collocations, decontaminate, jaccard_join, packing, quality, ranked_search, secrets, sketch, substring_dedup, url_filter, warc
+from affect.llm import chat, collocations, decontaminate, jaccard_join, packing, quality, ranked_search, secrets, sketch, substring_dedup, toxicity, url_filter, warc
 from affect.llm.common import table
 
 Q: dict = {}
@@ -287,6 +287,16 @@ FROM scores QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC,
 """
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    scored = toxicity.score(docs, model).select("doc_id", "score")
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+Q["op13_toxicity"] = op13_toxicity
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
