@@ -2,10 +2,10 @@
 
 Base patterns (fixed values) mark labelled credentials.  From their values a
 probabilistic automaton is inferred for each kind: a prefix tree with counts,
-whose states are merged (red-blue order) wherever their transition and end
+on states and on edges, whose states are merged (red-blue order) wherever their edge and end
 frequencies agree within Hoeffding's bound, recursively.  Further automata are
 inferred from ordinary runs of the same characters: small letters only,
-capitals only, digits only, and mixed.  Every candidate of a
+capitals only, digits only, and mixed (without those that fit a credential automaton).  Every candidate of a
 text (a whole run of credential characters) is scored by the logarithm of its
 likelihood ratio: best credential automaton against the best ordinary one, per
 character.  Candidates above a threshold become spans of kind ``format``,
@@ -72,7 +72,7 @@ def candidates(text: str, known: list[tuple[int, int, int, str]]) -> list[tuple[
         a, b = m.span()
         while k < len(known) and known[k][2] <= a:
             k += 1
-        if any(s[0] < b and s[2] > a for s in known[k:k + 4]):
+        if k < len(known) and known[k][0] < b:
             continue
         if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()):
             continue
@@ -81,10 +81,15 @@ def candidates(text: str, known: list[tuple[int, int, int, str]]) -> list[tuple[
 
 
 class State:
-    __slots__ = ("count", "end", "next")
+    """How often strings came here and ended here; for each character how often they went on with it (``taken``) and where to.
+    ``count == end + sum(taken)`` always holds, also after merges."""
+
+    __slots__ = ("count", "end", "next", "taken")
 
     def __init__(self):
-        self.count, self.end, self.next = 0, 0, {}
+        self.count, self.end = 0, 0
+        self.next: dict[str, State] = {}
+        self.taken: dict[str, int] = {}
 
 
 def prefix_tree(values: list[str]) -> State:
@@ -93,6 +98,7 @@ def prefix_tree(values: list[str]) -> State:
         s = root
         s.count += 1
         for c in v:
+            s.taken[c] = s.taken.get(c, 0) + 1
             s = s.next.setdefault(c, State())
             s.count += 1
         s.end += 1
@@ -104,23 +110,22 @@ def _differ(a: int, n: int, b: int, m: int, alpha: float) -> bool:
 
 
 def compatible(p: State, q: State, alpha: float) -> bool:
-    """Whether the frequencies at ``p`` and ``q``, and at what follows them, agree."""
+    """Whether the shares of ends and of each character at ``p`` and ``q``, and at what follows them, agree."""
     todo = [(p, q)]
     while todo:
         p, q = todo.pop()
         if _differ(p.end, p.count, q.end, q.count, alpha):
             return False
-        for c in p.next.keys() | q.next.keys():
-            x, y = p.next.get(c), q.next.get(c)
-            if _differ(x.count if x else 0, p.count, y.count if y else 0, q.count, alpha):
+        for c in p.taken.keys() | q.taken.keys():
+            if _differ(p.taken.get(c, 0), p.count, q.taken.get(c, 0), q.count, alpha):
                 return False
-            if x and y and x is not y:
-                todo.append((x, y))
+            if c in p.next and c in q.next and p.next[c] is not q.next[c]:
+                todo.append((p.next[c], q.next[c]))
     return True
 
 
 def _fold(p: State, q: State) -> None:
-    """The tree under ``q`` is added to ``p`` and what follows it."""
+    """The tree under ``q`` is added to ``p`` and what follows it: counts of states, of ends and of edges."""
     todo = [(p, q)]
     while todo:
         p, q = todo.pop()
@@ -128,17 +133,18 @@ def _fold(p: State, q: State) -> None:
         p.end += q.end
         for c, y in q.next.items():
             if c in p.next:
+                p.taken[c] += q.taken[c]
                 todo.append((p.next[c], y))
             else:
-                p.next[c] = y
+                p.taken[c], p.next[c] = q.taken[c], y
 
 
 def infer(values: list[str], alpha: float = ALPHA) -> list[tuple[float, dict[str, tuple[float, int]]]]:
     """States of the automaton, the first one first: log probability of ending, and for each character log probability and next state."""
     root = prefix_tree(sorted(values))
-    red = [root]
+    red, number = [root], {id(root): 0}
     while True:
-        blue = next(((r, c) for r in red for c in sorted(r.next) if not any(r.next[c] is x for x in red)), None)
+        blue = next(((r, c) for r in red for c in sorted(r.next) if id(r.next[c]) not in number), None)
         if blue is None:
             break
         parent, c = blue
@@ -149,22 +155,15 @@ def infer(values: list[str], alpha: float = ALPHA) -> list[tuple[float, dict[str
                 _fold(r, child)
                 break
         else:
+            number[id(child)] = len(red)
             red.append(child)
-    number = {id(s): i for i, s in enumerate(red)}
     out = []
     for s in red:
         total = s.count + 1.0  # one count is left for what was never seen
-        out.append((math.log((s.end + 1e-3) / total), {c: (math.log(t.count and _share(s, c) / total), number[id(t)]) for c, t in s.next.items()}))
+        out.append((math.log((s.end + 1e-3) / total), {c: (math.log(s.taken[c] / total), number[id(t)]) for c, t in s.next.items()}))
     return out
 
 
-def _share(s: State, c: str) -> float:
-    """How many of the visits to ``s`` go on with ``c``: all of a merged state's visitors together must leave or end."""
-    weights = s.next
-    known = sum(t.count for t in weights.values())
-    return (s.count - s.end) * weights[c].count / known if known else 0.0
-
-
 def log_likelihood(automaton: list, value: str) -> float:
     """Of the value and its end; a character that the state has never seen costs a fixed share and starts anew."""
     state, total = 0, 0.0
@@ -177,19 +176,29 @@ def log_likelihood(automaton: list, value: str) -> float:
     return total + max(automaton[state][0], -9.0)
 
 
+def _even(value: str) -> float:
+    """Log likelihood where all characters and the end are as likely."""
+    return -math.log(66) * (len(value) + 1)
+
+
 class Grammar:
-    """Automata of the kinds and of ordinary runs."""
+    """Automata of the kinds and of ordinary runs.
+
+    Bare credentials are among the mixed runs too: those that a kind's automaton takes
+    for its own, against even chances of all characters, are not learned as ordinary."""
 
-    def __init__(self, credentials: dict[str, list[str]], plain: dict[str, list[str]]):
+    def __init__(self, credentials: dict[str, list[str]], plain: dict[str, list[str]], margin: float = MARGIN):
         self.kinds = {k: infer(v) for k, v in credentials.items() if v}
-        self.plain = {k: infer(v) for k, v in plain.items() if v}
+        fits = {v for v in plain.get("mixed", []) if any(log_likelihood(a, v) - _even(v) > margin * (len(v) + 1) for a in self.kinds.values())}
+        kept = {k: [x for x in v if k != "mixed" or x not in fits] for k, v in plain.items()}
+        self.plain = {k: infer(v) for k, v in kept.items() if v}
 
     def score(self, value: str) -> float:
         """Log likelihood ratio per character; without automata minus infinity."""
         if not self.kinds:
             return -math.inf
         best = max(log_likelihood(a, value) for a in self.kinds.values())
-        plain = max([log_likelihood(a, value) for a in self.plain.values()] + [-math.log(66) * (len(value) + 1)])
+        plain = max([log_likelihood(a, value) for a in self.plain.values()] + [_even(value)])
         return (best - plain) / (len(value) + 1)
 
 
