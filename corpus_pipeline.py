@@ -6,8 +6,9 @@ one's ``docs``.  All but the last return the columns of ``documents``.
 
 1. quality: documents that the classifier rejects go (score under ``quality.THRESHOLD``).
 2. near_duplicates: of each group of near copies (five-word shingles, Jaccard
-   similarity of 0.8 or more) the document of the smallest id stays; documents
-   without an id, and without words, stay.
+   similarity of 0.8 or more; repeated rows and rows that share an id are rows of their
+   own) one row stays, that of the smallest id (one without an id only if no other has
+   one; of several texts of that id the one of the smallest hash).  Rows without words stay.
 3. decontamination: documents that contain a window of a benchmark item go.
 4. secrets: spans that look like credentials are replaced in the text, and ``n_chars`` follows.
 5. packing: what is left becomes sequences of tokens; a row for each piece.
@@ -18,7 +19,7 @@ extra columns of ``docs`` are kept up to the last stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affect.llm import decontaminate, jaccard_join, packing, quality, secrets
@@ -33,9 +34,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.jaccard_components(docs)
-    copies = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    key, alike = fresh("row_key", docs), fresh("wordless", docs)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text", F.col("text").isNull()))  # a row's id and text
+    found = jaccard_join.jaccard_components(keyed.select(key, "text"), doc_id=key).distinct()
+    ids = keyed.select(F.col(key).alias("key"), F.col("doc_id").alias("id")).distinct()
+    members = found.select(F.col("doc_id").alias("key"), "component_id", (F.col("n_shingles") == 0).alias(alike)).join(ids, "key")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "key"))
+    kept = members.groupBy("component_id", alike).agg(first["key"].alias(key)).drop("component_id")
+    # rows of one key follow each other after the join's shuffle: of those with words the first stays
+    copy = fresh("copy", docs)
+    rows = keyed.join(kept, key).withColumn(copy, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    return rows.where(F.col(alike) | (F.col(copy) == 1)).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
