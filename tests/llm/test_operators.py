@@ -492,6 +492,22 @@ def test_pipeline_stages_keep_what_plain_versions_keep(spark, rows):
         assert sorted(got) == sorted(x.items(), key=lambda y: y[0]), name
 
 
+def test_near_duplicates_decide_by_row(spark):
+    """Rows that share an id but not a text are rows of their own; of repeated rows one stays; ids that are null come last."""
+    import corpus_pipeline as p
+    r = random.Random(8)
+    def text():
+        return " ".join(f"w{r.randrange(10_000)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    near = " ".join([*a.split()[:-2], "an", "edit"])
+    rows = [(7, a), (7, b), (0, near), (3, c), (3, c), (3, c), (None, b), (None, d), (9, d), (None, d), (4, ""), (4, ""), (5, None), (None, None), (None, text()), (7, "one"), (8, "one")]
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, row_key int, wordless string").repartition(4)
+    got = p.near_duplicates_stage(spark, frame, "")
+    assert got.columns == frame.columns
+    want = [(7, b), (0, near), (3, c), (9, d), (4, ""), (4, ""), (5, None), (None, None), rows[-3], (7, "one")]
+    assert Counter((x.doc_id, x.text) for x in got.collect()) == Counter(want)
+
+
 @pytest.mark.parametrize("name", ["op1_decontaminate", "op2_chat", "op3_jaccard_join", "op4_substring_dedup", "op7_warc", "op9_url_filter"])
 def test_oracles(spark, name):
     import duckdb
