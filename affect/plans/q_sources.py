@@ -41,7 +41,7 @@ def _drop_malformed(spark, sf):
     path = IO.write_table(padded, IO.scratch_path(spark, "labels_csv"), "csv")
     schema = T.StructType([T.StructField(" doc_id ", T.LongType()), T.StructField(" sentiment", T.StringType()),
                            T.StructField("intensity__joy ", T.IntegerType())])
-    return IO.read_corpus(spark, path, "csv", drop_malformed=True, schema=schema, canonical=False)
+    return IO.read_corpus(spark, path, "csv", drop_malformed=True, schema=schema, canonical=False, multi_line=False)
 
 
 Q["s2_drop_malformed"] = _drop_malformed
@@ -52,10 +52,8 @@ FROM labels_raw WHERE regexp_full_match(intensity__joy, '-?[0-9]+')"""
 # ---------------------------------------------------------------- S4 / S6
 def _history_roundtrip(spark, sf):
     ep = E.epoch_loss(view(spark, "history", sf)).drop("batches")
-    docs = IO.history_documents(ep)
-    path = IO.write_report(docs, IO.scratch_path(spark, "history_json"))
-    h = IO.read_history(spark, path)
-    return h.select("run_id", "split", "epoch", F.round("loss", 6).alias("loss"))
+    path = IO.write_documents(IO.history_documents(ep), IO.scratch_path(spark, "history_json"))
+    return IO.read_history(spark, path).select("run_id", "split", "epoch", F.round("loss", 6).alias("loss"))
 
 
 Q["s4_s6_history_roundtrip"] = _history_roundtrip
@@ -63,6 +61,31 @@ O["s4_s6_history_roundtrip"] = cte("history") + """SELECT run_id, split, CAST(ro
  round(avg_loss, 6) AS loss FROM (SELECT run_id, split, epoch, avg(loss) AS avg_loss FROM history GROUP BY ALL)"""
 
 
+def _history_folder(spark, sf):
+    """Documents of many runs (a run for every 400 batch ids) in one folder: even runs indented, a folder each and without
+    an id of their own; odd runs one line each; some cut in half, some another kind of document."""
+    ep = E.epoch_loss(view(spark, "history", sf).withColumn("run_id", F.floor(F.col("batch_id") / 400).cast("int"))).drop("batches")
+    docs = IO.history_documents(ep)
+    root = IO.scratch_path(spark, "histories")
+    fine = docs.where("run_id % 7 not in (3, 5)")
+    IO.write_documents(fine.where("run_id % 2 = 0"), f"{root}/indented", folder_by="run_id", indent=True)
+    IO.write_documents(fine.where("run_id % 2 = 1"), f"{root}/lines")
+    for part, kept, body in (("cut", "run_id % 7 = 3", F.to_json(F.struct("train", "val"), {"pretty": "true"})),
+                             ("other", "run_id % 7 = 5", F.to_json(F.struct(F.lit(3).alias("epoch"), F.struct(F.col("val")[0]["loss"].alias("loss")).alias("val_metrics"))))):
+        text = F.expr("substr(value, 1, length(value) div 2)") if part == "cut" else F.col("value")
+        docs.where(kept).select("run_id", body.alias("value")).select("run_id", text.alias("value")).write.partitionBy("run_id").text(f"{root}/{part}")
+    return root
+
+
+Q["s4_history_documents"] = lambda spark, sf: IO.read_history(spark, _history_folder(spark, sf)).select("run_id", "split", "epoch", F.round("loss", 6).alias("loss"))
+_HD = cte("history") + """, ep AS (SELECT CAST(batch_id // 400 AS INTEGER) AS run_id, split, epoch, avg(loss) AS l FROM history GROUP BY ALL)
+"""
+O["s4_history_documents"] = _HD + """SELECT run_id, split, CAST(row_number() OVER (PARTITION BY run_id, split ORDER BY epoch) AS INTEGER) AS epoch, round(l, 6) AS loss
+FROM ep WHERE run_id % 7 NOT IN (3, 5)"""
+Q["s4_broken_documents"] = lambda spark, sf: IO.broken_history(spark, _history_folder(spark, sf)).select("run_id", "reason")
+O["s4_broken_documents"] = _HD + """SELECT DISTINCT run_id, CASE WHEN run_id % 7 = 3 THEN 'not json' ELSE 'no train or val' END AS reason FROM ep WHERE run_id % 7 IN (3, 5)"""
+
+
 # ---------------------------------------------------------------- S10 / M18 / S7 / S11
 def _pred_runs(spark, sf):
     return view(spark, "predictions", sf).withColumn("run", (F.col("event_id") % 3).cast("int"))

@@ -1,16 +1,17 @@
 """Scans and sinks (survey S1-S7, S9).
 
 CSV corpora are read with an all-string schema (no inference pass over the
-data; typing happens afterwards through ``try_cast`` helpers), multi-line
-quoted fields and optional malformed-row dropping.  Sinks write one
+data; typing happens afterwards through ``try_cast`` helpers), quoted fields over
+several lines (or, where a file has none, split into ranges) and optional malformed-row dropping.  Sinks write one
 directory per table; report-style sinks write small one-row frames.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,24 +23,25 @@ TEXT_KEYS_STYLE = ["utterance", "text", "message", "content"]
 TEXT_KEYS_ONE_HOT = ["utterance", "text", "augmented", "message"]
 
 
-def _csv_header(spark: SparkSession, path: str) -> list[str]:
+def _csv_header(spark: SparkSession, path: str, multi_line: bool) -> list[str]:
     """Column names from the header line only (one small read)."""
-    first = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
-    return first
+    return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path).columns
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "csv", drop_malformed: bool = False,
-                schema: T.StructType | None = None, canonical: bool = True) -> DataFrame:
+                schema: T.StructType | None = None, canonical: bool = True, multi_line: bool = True) -> DataFrame:
     """Read a corpus.  CSV: header, multi-line quoted fields, every
     column a string unless ``schema`` is given; ``drop_malformed`` skips rows
-    that do not fit the schema; header names are stripped.  Parquet/JSON are
+    that do not fit the schema; header names are stripped.  ``multi_line=False``
+    promises that no field holds a line end, as in tables of codes and labels: a large
+    file is then read by many tasks instead of one.  Parquet/JSON are
     read as they are.  With ``canonical`` the slot columns are mapped onto
     ``emotion1..3`` / ``intensity1..3``."""
     if fmt == "csv":
-        r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        r = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
                   .option("mode", "DROPMALFORMED" if drop_malformed else "PERMISSIVE"))
         if schema is None:
-            cols = _csv_header(spark, path)
+            cols = _csv_header(spark, path, multi_line)
             schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
         df = r.schema(schema).csv(path)
     elif fmt == "json":
@@ -70,6 +72,17 @@ def write_report(df: DataFrame, path: str) -> str:
     return path
 
 
+def write_documents(df: DataFrame, path: str, folder_by: str | None = None, indent: bool = False) -> str:
+    """One JSON document a row, by as many tasks as the frame has.  With ``indent`` each
+    document is spread over lines; with ``folder_by`` each value of that column gets a
+    folder of its own (``<column>=<value>``) and is left out of the document."""
+    body = F.struct(*[F.col(c) for c in df.columns if c != folder_by])
+    text = F.to_json(body, {"pretty": "true"} if indent else {})
+    w = df.select(*([folder_by] if folder_by else []), text.alias("value")).write.mode("overwrite")
+    (w.partitionBy(folder_by) if folder_by else w).text(path)
+    return path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory (never a
     machine-local temp folder on a cluster)."""
@@ -100,15 +113,46 @@ def history_documents(epochs: DataFrame, keys=("run_id",)) -> DataFrame:
                     F.transform("__v", lambda x: x["m"]).alias("val"))
 
 
+def scan_documents(spark: SparkSession, path: str, schema: T.StructType, needs: list[str]) -> DataFrame:
+    """Every JSON document of the files under ``path`` (folders included): ``path``, ``document``
+    (null if broken), ``reason`` and ``text`` of broken ones.
+
+    A document begins at a ``{`` in the first column, so indented documents (one
+    or several a file) and one-line ones are read by the same scan, which
+    splits large files between documents.  A document that does not parse, or
+    has none of the fields ``needs``, is a row with a reason, never lost."""
+    bad = "__broken"
+    raw = (spark.read.option("lineSep", "\n{").option("recursiveFileLookup", True).text(path)
+           .select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^[\\s\\x{FEFF}]+|\\s+$", "").alias("text")))
+    raw = raw.where(F.col("text") != "").withColumn("text", F.when(F.substring("text", 1, 1).isin("{", "["), F.col("text")).otherwise(F.concat(F.lit("{"), "text")))
+    parsed = raw.withColumn("document", F.from_json("text", T.StructType([*schema.fields, T.StructField(bad, T.StringType())]),
+                                                    {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}))
+    some = functools.reduce(lambda x, y: x | y, [F.col(f"document.{c}").isNotNull() for c in needs])
+    reason = F.when(F.col("document").isNull() | F.col(f"document.{bad}").isNotNull(), "not json").when(~some, "no " + " or ".join(needs))
+    return parsed.select("path", F.when(reason.isNull(), F.col("document").dropFields(bad)).alias("document"), reason.alias("reason"),
+                         F.when(reason.isNotNull(), F.col("text")).alias("text"))
+
+
+def _run_of(path: str) -> Column:
+    """The number that the name of the file's folder ends with."""
+    return F.regexp_extract(path, "(\\d+)[^/0-9]*/[^/]*$", 1).try_cast("int")
+
+
 def read_history(spark: SparkSession, path: str, schema: T.StructType = HISTORY_SCHEMA) -> DataFrame:
-    """Training-history JSON -> long (run_id, split, epoch, metric...)
-    with epochs numbered 1..n in document order."""
-    h = spark.read.schema(schema).json(path)
-    parts = []
-    for split in ("train", "val"):
-        parts.append(h.select("run_id", F.lit(split).alias("split"), F.posexplode(split).alias("pos", "m"))
-                      .select("run_id", "split", (F.col("pos") + 1).alias("epoch"), "m.*"))
-    return parts[0].unionByName(parts[1])
+    """Training-history documents -> long (run_id, split, epoch, metric...)
+    with epochs numbered 1..n in document order.  A document without a run id of its
+    own has that of its folder's name; broken ones are left to :func:`broken_history`."""
+    docs = scan_documents(spark, path, schema, ["train", "val"]).where("reason is null")
+    docs = docs.select(F.coalesce("document.run_id", _run_of("path")).alias("run_id"), "document.train", "document.val")
+    sides = F.array(*[F.struct(F.lit(s).alias("split"), F.col(s).alias("epochs")) for s in ("train", "val")])
+    return (docs.select("run_id", F.inline(sides)).select("run_id", "split", F.posexplode("epochs").alias("pos", "m"))
+            .select("run_id", "split", (F.col("pos") + 1).alias("epoch"), "m.*"))
+
+
+def broken_history(spark: SparkSession, path: str, schema: T.StructType = HISTORY_SCHEMA) -> DataFrame:
+    """The documents under ``path`` that :func:`read_history` cannot use: run (by folder), path, reason, text."""
+    broken = scan_documents(spark, path, schema, ["train", "val"]).where("reason is not null")
+    return broken.select(_run_of("path").alias("run_id"), "path", "reason", "text")
 
 
 # ---------------------------------------------------------------- S7
