@@ -139,3 +139,78 @@ def f_sf_sql(f: str, d1: str, d2: str) -> str:
     """Needs ``f``, ``d1``, ``d2`` as columns; introduces half-dof columns."""
     return (f"(CASE WHEN {f} IS NULL OR isnan({f}) THEN NULL WHEN {f} <= 0 THEN 1.0 ELSE "
             f"{betai_sql(f'({d2} / 2.0)', f'({d1} / 2.0)', f'({d2} / ({d2} + {d1} * {f}))')} END)")
+
+
+# ---------------------------------------------------------------- normal distribution
+# The published rational approximations of the normal quantile (Wichura 1988, AS 241),
+# highest power first: numerator and denominator near the middle, towards the tails, far out.
+PPF_MIDDLE = ([2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125,
+               1971.5909503065514427, 133.14166789178437745, 3.387132872796366608],
+              [5226.495278852545925, 28729.085735721942674, 39307.89580009271061, 21213.794301586595867, 5394.1960214247511077,
+               687.1870074920579083, 42.313330701600911252, 1.0])
+PPF_TAIL = ([7.7454501427834140764e-4, 0.0227238449892691845833, 0.24178072517745061177, 1.27045825245236838258, 3.64784832476320460504,
+             5.7694972214606914055, 4.6303378461565452959, 1.42343711074968357734],
+            [1.05075007164441684324e-9, 5.475938084995344946e-4, 0.0151986665636164571966, 0.14810397642748007459, 0.68976733498510000455,
+             1.6763848301838038494, 2.05319162663775882187, 1.0])
+PPF_FAR = ([2.01033439929228813265e-7, 2.71155556874348757815e-5, 0.0012426609473880784386, 0.026532189526576123093, 0.29656057182850489123,
+            1.7848265399172913358, 5.4637849111641143699, 6.6579046435011037772],
+           [2.04426310338993978564e-15, 1.4215117583164458887e-7, 1.8463183175100546818e-5, 7.868691311456132591e-4, 0.0148753612908506148525,
+            0.13692988092273580531, 0.59983220655588793769, 1.0])
+ERF_TERMS = 300
+
+
+def poly(x: Column, coefficients: list[float]) -> Column:
+    """Value of the polynomial, coefficients of the highest power first."""
+    out = F.lit(float(coefficients[0]))
+    for c in coefficients[1:]:
+        out = out * x + F.lit(float(c))
+    return out
+
+
+def poly_sql(x: str, coefficients: list[float]) -> str:
+    out = f"{float(coefficients[0])!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {float(c)!r}::DOUBLE)"
+    return out
+
+
+def norm_ppf(p: Column) -> Column:
+    """Quantile of the standard normal distribution, to about 16 digits."""
+    q = p - 0.5
+    s = F.lit(0.180625) - q * q
+    r = F.sqrt(-F.log(F.least(p, F.lit(1.0) - p)))
+    tail = F.when(r <= 5, poly(r - 1.6, PPF_TAIL[0]) / poly(r - 1.6, PPF_TAIL[1])).otherwise(poly(r - 5, PPF_FAR[0]) / poly(r - 5, PPF_FAR[1]))
+    return F.when(F.abs(q) <= 0.425, q * poly(s, PPF_MIDDLE[0]) / poly(s, PPF_MIDDLE[1])).otherwise(F.signum(q) * tail)
+
+
+def norm_ppf_sql(p: str) -> str:
+    """DuckDB text of the same; ``p`` should be a plain column name."""
+    q, s, r = f"({p} - 0.5)", f"(0.180625 - ({p} - 0.5) * ({p} - 0.5))", f"sqrt(-ln(least({p}, 1.0 - {p})))"
+    near, far = f"({r} - 1.6)", f"({r} - 5)"
+    return (f"(CASE WHEN abs({q}) <= 0.425 THEN {q} * {poly_sql(s, PPF_MIDDLE[0])} / {poly_sql(s, PPF_MIDDLE[1])} "
+            f"WHEN {r} <= 5 THEN sign({q}) * {poly_sql(near, PPF_TAIL[0])} / {poly_sql(near, PPF_TAIL[1])} "
+            f"ELSE sign({q}) * {poly_sql(far, PPF_FAR[0])} / {poly_sql(far, PPF_FAR[1])} END)")
+
+
+def norm_sf(z: Column) -> Column:
+    """P(Z > z), by the series of the error function that has no cancellation."""
+    x = F.least(F.abs(z), F.lit(20.0))
+    first = F.struct(x.alias("t"), x.alias("s"))
+
+    def step(acc, i):
+        term = acc["t"] * x * x / (2 * i + 1).cast("double")
+        return F.struct(term.alias("t"), (acc["s"] + term).alias("s"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(ERF_TERMS)), first, step)["s"]
+    half = series * F.exp(-x * x / 2) / math.sqrt(2 * math.pi)  # P(0 < Z < x)
+    return F.when(z >= 0, F.greatest(F.lit(0.0), F.lit(0.5) - half)).otherwise(F.least(F.lit(1.0), F.lit(0.5) + half))
+
+
+def norm_sf_sql(z: str) -> str:
+    """DuckDB text of the same; ``z`` should be a plain column name."""
+    x = f"least(abs({z}), 20.0::DOUBLE)"
+    term = f"(acc.t * {x} * {x} / (2 * i + 1))"
+    series = (f"list_reduce(list_transform(range(1, {ERF_TERMS + 1}), lambda k: CAST(k AS DOUBLE)), lambda acc, i: "
+              f"{{'t': {term}, 's': acc.s + {term}}}, {{'t': CAST({x} AS DOUBLE), 's': CAST({x} AS DOUBLE)}}).s")
+    half = f"({series} * exp(-{x} * {x} / 2) / {math.sqrt(2 * math.pi)!r}::DOUBLE)"
+    return f"(CASE WHEN {z} >= 0 THEN greatest(0.0, 0.5 - {half}) ELSE least(1.0, 0.5 + {half}) END)"

@@ -262,10 +262,9 @@ def profile(df: DataFrame, numeric: list[str] | None = None) -> DataFrame:
     linear interpolation, max) per numeric column.
 
     Moments come from one aggregation pass.  Quartiles are exact: the numeric
-    columns are unpivoted to (column, value) and ranked over each column's
-    histogram of distinct values (a spill-capable sort per column), so no
-    aggregation buffer ever holds a column's values."""
-    from affect.operators.study import exact_quantiles
+    columns are unpivoted to (column, value) and selected by refined histograms
+    (:func:`exact_quantiles`), all columns in the same rounds."""
+    from affect.operators.order import exact_quantiles
     numeric = numeric if numeric is not None else [
         f.name for f in df.schema.fields
         if f.dataType.typeName() in ("integer", "long", "double", "float", "short", "decimal")]

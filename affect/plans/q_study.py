@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from affect.functions.stats import f_sf_sql
+from affect.functions.stats import f_sf_sql, norm_ppf_sql, norm_sf_sql, poly_sql
 from affect.operators import study as X
 from affect.sources.fixtures import cte, view
 
@@ -83,12 +83,17 @@ SELECT group_1, group_2, round(mean_1, 6) AS mean_1, round(mean_2, 6) AS mean_2,
  {f_sf_sql('f', 'd1', 'd2')} < 0.05 / count(*) OVER () AS significant FROM pv"""
 
     Q[f"x3_normality_{_by}"] = (lambda b: lambda spark, sf: _r6(X.normality(_res(spark, sf), b)))(_by)
-    O[f"x3_normality_{_by}"] = R + f""", c AS (SELECT {_by}, {X.METRIC} - avg({X.METRIC}) OVER (PARTITION BY {_by}) AS d FROM results WHERE {X.METRIC} IS NOT NULL),
-m AS (SELECT {_by}, count(*) AS n, avg(d * d) AS m2, avg(d * d * d) AS m3, avg(d * d * d * d) AS m4 FROM c GROUP BY 1),
-s AS (SELECT *, m3 / pow(m2, 1.5) AS sk, m4 / (m2 * m2) - 3 AS ku FROM m),
-j AS (SELECT *, n / 6 * (sk * sk + ku * ku / 4) AS jb FROM s)
-SELECT {_by}, n, round(sk, 6) AS skewness, round(ku, 6) AS kurtosis, round(jb, 6) AS jb_statistic, round(exp(-jb / 2), 6) AS p_value,
- coalesce(exp(-jb / 2) > 0.05, false) AS is_normal FROM j"""
+    O[f"x3_normality_{_by}"] = R + f""", r AS (SELECT {_by}, {X.METRIC} - avg({X.METRIC}) OVER (PARTITION BY {_by}) AS x, CAST(count(*) OVER (PARTITION BY {_by}) AS DOUBLE) AS n,
+  row_number() OVER (PARTITION BY {_by} ORDER BY {X.METRIC}) AS r FROM results WHERE {X.METRIC} IS NOT NULL),
+p AS (SELECT *, (r - 0.375) / (n + 0.25) AS p FROM r),
+m AS (SELECT *, {norm_ppf_sql('p')} AS m FROM p),
+s AS (SELECT {_by}, n, sum(x * x) AS ss, sum(m * m) AS mm, sum(m * x) AS mx, max(x) - min(x) AS d1, max(CASE WHEN r = n - 1 THEN x END) - max(CASE WHEN r = 2 THEN x END) AS d2,
+  max(m) AS m1, max(CASE WHEN r = n - 1 THEN m END) AS m2, 1 / sqrt(n) AS u FROM m GROUP BY {_by}, n),
+a AS (SELECT *, m1 / sqrt(mm) + {poly_sql('u', X.OUTER)} AS a1, m2 / sqrt(mm) + {poly_sql('u', X.NEXT)} AS a2 FROM s),
+w AS (SELECT *, pow((mx - m1 * d1 - m2 * d2) / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) + a1 * d1 + a2 * d2, 2) / ss AS w, ln(n) AS l FROM a),
+z AS (SELECT *, (ln(1 - w) - {poly_sql('l', X.MEAN)}) / exp({poly_sql('l', X.LOG_SD)}) AS z FROM w),
+q AS (SELECT *, {norm_sf_sql('z')} AS pv FROM z)
+SELECT {_by}, CAST(n AS BIGINT) AS n, round(w, 6) AS statistic, round(pv, 6) AS p_value, pv > 0.05 AS is_normal FROM q"""
 
 Q["x7_rank_combinations"] = lambda spark, sf: _r6(X.rank_combinations(_agg(spark, sf)))
 O["x7_rank_combinations"] = AGG + """, r AS (SELECT *, row_number() OVER (ORDER BY weighted_f1 DESC, architecture, encoder) AS rank,
@@ -187,12 +192,34 @@ SELECT CAST(pos AS INTEGER) AS pos, item, value, round(score, 6) AS score FROM (
  UNION ALL SELECT pos, 'rank', value, score FROM rk)"""
 
 
-def _x18(spark, sf):
-    """The complete study composed over one cached scan; returns its
-    conclusions table (every other step is a lazy frame of the result)."""
-    out = X.run_study(_res(spark, sf), persist=False)
-    return _r6(out["conclusions"])
-
-
-Q["x18_run_study"] = _x18
-O["x18_run_study"] = O["x17_conclusions"]
+Q["x12_pivot_open"] = lambda spark, sf: X.pivot_scores(_agg(spark, sf)).select(
+    "architecture", F.array_join(F.transform(F.array_sort(F.map_entries("scores")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.6f", e["value"]))), ",").alias("scores"))
+O["x12_pivot_open"] = AGG + """SELECT architecture, string_agg(encoder || '=' || printf('%.6f', weighted_f1), ',' ORDER BY encoder) AS scores FROM agg GROUP BY architecture"""
+
+#: X18's tables: the query that has the same table of its own, and its columns beside the keys (texts with an exclamation mark).
+_TABLES = {
+    "aggregate": ("x1_aggregate_metrics", "weighted_f1 mean_precision mean_recall mean_f1 std_f1 total_support"), "correlation": ("x2_correlation_matrix", "corr"),
+    "ranking": ("x7_rank_combinations", "weighted_f1 mean_precision mean_recall mean_f1 std_f1 total_support rank top bottom"),
+    "best_worst": ("x8_best_worst", "best! best_value worst! worst_value difference difference_pct"), "factors": ("x9_factor_means", "mean std count"),
+    "per_class": ("x11_per_class", "best_architecture! best_encoder! best_run_id best_f1 best_precision best_recall mean_f1 std_f1 min_f1 max_f1"),
+    "pivot": ("x1_aggregate_metrics", "weighted_f1"), "class_bands": ("x14_class_bands", "mean_f1 band!"), "histogram": ("x15_histogram", "lower upper count"),
+    "conclusions": ("x17_conclusions", "value! score"),
+}
+for _by in X.GROUP:
+    _TABLES |= {
+        f"normality_{_by}": (f"x3_normality_{_by}", "n statistic p_value is_normal"), f"levene_{_by}": (f"x4_levene_{_by}", "statistic df_between df_within p_value homogeneous"),
+        f"anova_{_by}": (f"x5_anova_{_by}", "f_statistic df_between df_within p_value significant"),
+        f"pairwise_{_by}": (f"x6_pairwise_t_{_by}", "mean_1 mean_2 diff t_statistic dof cohens_d p_value significant"),
+        f"metric_means_{_by}": (f"x13_metric_means_{_by}", "mean_precision mean_recall weighted_f1"),
+        f"box_{_by}": (f"x16_box_stats_{_by}", "q1 median q3 iqr whisker_low whisker_high outliers")}
+
+
+def _melted(name: str) -> str:
+    query, columns = _TABLES[name]
+    measures = ", ".join(f"{{'metric': '{c.rstrip('!')}', 'value': {'NULL::DOUBLE' if c.endswith('!') else f'CAST({c} AS DOUBLE)'}, 'text': {c.rstrip('!') if c.endswith('!') else 'NULL::VARCHAR'}}}" for c in columns.split())
+    key = " || '|' || ".join(["''", *[f"CAST({k} AS VARCHAR)" for k in X.STUDY[name]]])
+    return f"SELECT '{name}' AS \"table\", key, m.metric AS metric, round(m.value, 6) AS value, m.text AS text FROM (SELECT {key} AS key, unnest([{measures}]) AS m FROM ({O[query]}))"
+
+
+Q["x18_run_study"] = lambda spark, sf: _r6(X.study(_res(spark, sf)))
+O["x18_run_study"] = " UNION ALL ".join(_melted(t) for t in X.STUDY)

@@ -123,7 +123,99 @@ def test_quantiles_with_extreme_values(spark):
     for r in X.exact_quantiles(df, ["k"], "x", [0.0, 0.1, 0.5, 0.9, 1.0]).collect():
         assert r.q == pytest.approx(float(np.quantile(vals, r.p)), rel=1e-12)
     # the extreme values put all others into one bin of equal width; by magnitude few are left together
-    assert df.groupBy(X.magnitude("x")).count().agg(F.max("count")).first()[0] < 50
+    assert df.groupBy(X.magnitude("x", 1 << 16)).count().agg(F.max("count")).first()[0] < 50
+
+
+def test_quantiles_where_values_crowd(spark):
+    """Crowds within one part in 10^10 beside an outlier, a crowd inside a crowd, equal values: no bin over the bound is ranked."""
+    import numpy as np
+    from pyspark.sql.window import Window
+
+    from affect.operators import order
+    vals = {"a": [0.99 + i * 1e-14 for i in range(5000)] + [1e6], "b": [1.0 + i * 2.0 ** -50 for i in range(3000)] + [1.0 + i * 2.0 ** -25 for i in range(3000)] + [-1e300, 1e300],
+            "c": [7.0] * 4000, "d": [3.0], "e": [-0.0, 0.0, 5e-324, -5e-324] * 300}
+    df = _one(spark, [(k, v) for k, vs in vals.items() for v in vs] + [("c", None), ("f", None), ("c", float("nan"))], "k string, x double").repartition(5)
+    ranked = []
+    pick = order._pick
+
+    def watched(rows, located, by):
+        ranked.extend(r["c"] for r in located.where("__lo < __hi").select(F.col("__c").alias("c")).collect())
+        return pick(rows, located, by)
+
+    order._pick = watched
+    try:
+        got = {(r.k, r.p): r.q for r in order.exact_quantiles(df, ["k"], "x", [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0], bins=64, ranked=100).collect()}
+    finally:
+        order._pick = pick
+    assert ranked and max(ranked) <= 100
+    assert len(got) == 5 * 7
+    for (k, p), q in got.items():
+        want = float(np.quantile(vals[k], p))
+        assert q == want or abs(q - want) <= 1e-15 * abs(want), (k, p)
+
+
+def plain_shapiro(x):
+    """W by its definition, a loop over sorted values."""
+    from statistics import NormalDist
+    x, n = sorted(x), len(x)
+    m = [NormalDist().inv_cdf((i + 1 - 0.375) / (n + 0.25)) for i in range(n)]
+    mm, u = sum(v * v for v in m), n ** -0.5
+    outer = m[-1] / mm ** 0.5 + 0.221157 * u - 0.147981 * u ** 2 - 2.07119 * u ** 3 + 4.434685 * u ** 4 - 2.706056 * u ** 5
+    second = m[-2] / mm ** 0.5 + 0.042981 * u - 0.293762 * u ** 2 - 1.752461 * u ** 3 + 5.682633 * u ** 4 - 3.582633 * u ** 5
+    if n == 3:
+        a = [-0.5 ** 0.5, 0, 0.5 ** 0.5]
+    elif n <= 5:
+        f = ((mm - 2 * m[-1] ** 2) / (1 - 2 * outer ** 2)) ** 0.5
+        a = [-outer, *[v / f for v in m[1:-1]], outer]
+    else:
+        f = ((mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * outer ** 2 - 2 * second ** 2)) ** 0.5
+        a = [-outer, -second, *[v / f for v in m[2:-2]], second, outer]
+    mean = sum(x) / n
+    return sum(p * q for p, q in zip(a, x)) ** 2 / sum((v - mean) ** 2 for v in x)
+
+
+def test_shapiro_wilk_against_a_plain_version(spark, monkeypatch):
+    """Small groups by the definition, a published example, ties over many chunks of ranks, degenerate groups."""
+    import random
+
+    from affect.operators import order
+    monkeypatch.setattr(order.ranks, "__defaults__", (7,))
+    r = random.Random(3)
+    groups = {f"g{n}": [round(r.gauss(0, 1), 2) for _ in range(n)] for n in (3, 4, 5, 6, 8, 11, 12, 30, 500)}
+    groups["ties"] = [float(r.randint(0, 3)) for _ in range(400)]
+    groups["men"] = [float(v) for v in (148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236)]  # weights of Shapiro and Wilk's first example
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("two", 1.0), ("two", 2.0), ("same", 4.0), ("same", 4.0), ("same", 4.0), ("none", None), ("men", None)]
+    df = _one(spark, rows, "g string, f1_score double").repartition(4)
+    got = {x.g: x for x in X.normality(df, "g").collect()}
+    for k, vs in groups.items():
+        assert abs(got[k].statistic - plain_shapiro(vs)) < 1e-9 and got[k].n == len(vs), k
+    assert abs(got["men"].statistic - 0.7888) < 1e-3 and abs(got["men"].p_value - 0.0067) < 1e-4 and not got["men"].is_normal
+    assert got["two"].statistic is None and not got["two"].is_normal and got["same"].statistic == got["same"].p_value == 1.0 and "none" not in got
+    assert all(0 <= got[k].p_value <= 1 for k in groups)
+
+
+def test_study_cells_merge_to_what_rows_give(spark):
+    """Any grouping merged from cells equals the same taken from rows, with nulls, far-off means and a level of one row."""
+    import random
+    r = random.Random(6)
+    rows = [(i, r.choice("ABC"), r.choice("xy"), r.choice("pqr"), 1e6 + r.random() if i % 9 else None, r.random(), 1e6 + r.random() if i % 7 else None, r.randint(1, 9)) for i in range(400)]
+    rows.append((400, "D", "z", "s", 1e6, 0.5, 1e6 + 0.5, 3))
+    df = _one(spark, rows, "run_id long, architecture string, encoder string, emotion string, precision double, recall double, f1_score double, support long")
+    cells = X.moment_cells(df)
+    for by in ("architecture", "encoder", "emotion"):
+        want = {x[by]: x for x in X.group_stats(df, by, "f1_score").collect()}
+        for x in X.merge_moments(cells, [by]).collect():
+            w = want[x[by]]
+            assert x.n == w.n and abs(x.mean - w.mean) < 1e-8 and abs(x.var_pop - w.var_pop) < 1e-9
+            assert (x["var"] is None) == (w.n == 1) and (x["var"] is None or abs(x["var"] - w["var"]) < 1e-9)
+    want = {(x.metric_a, x.metric_b): x.corr for x in X.correlation_matrix(df).collect()}
+    assert {(x.metric_a, x.metric_b) for x in X.correlation_cells(cells).collect()} == set(want)
+    assert all(abs(x.corr - want[x.metric_a, x.metric_b]) < 1e-6 for x in X.correlation_cells(cells).collect())
+    a = {(x.architecture, x.encoder): x for x in X.aggregate_metrics(df).collect()}
+    for x in X.aggregate_cells(cells).collect():
+        w = a[x.architecture, x.encoder]
+        assert all((x[c] is None and w[c] is None) or abs(x[c] - w[c]) < 1e-6 for c in w.asDict() if c not in X.GROUP)
+    assert X.pivot_scores(X.aggregate_cells(cells)).where("architecture = 'D'").first().scores.keys() == {"z"}
 
 
 def test_normality_sanity(spark):
@@ -134,7 +226,7 @@ def test_normality_sanity(spark):
               "run_id long, g string, f1_score double")
     r = {x.g: x for x in X.normality(df, "g").collect()}
     assert r["n"].p_value > 0.05 and r["n"].is_normal and r["n"].n == 300
-    assert r["s"].skewness > 2 and r["s"].p_value < 1e-6 and not r["s"].is_normal
+    assert r["n"].statistic > 0.98 > 0.7 > r["s"].statistic and r["s"].p_value < 1e-6 and not r["s"].is_normal
 
 
 def test_f_tail_meets_its_limit_at_any_size(spark):
