@@ -2,9 +2,9 @@
 
 Predictions are evaluated in *long* form — (keys, y_true, y_pred) — so one
 job evaluates every emotion at once: the wide table is unpivoted with a
-narrow ``inline``, reduced to confusion cells by one hash aggregate (partial
-aggregation before the shuffle; at most keys x classes^2 cells survive), and
-every report is arithmetic on those cells.  Nothing is collected.
+narrow ``inline``, reduced to class counts (or confusion cells) by one hash
+aggregate (partial aggregation before the shuffle), and every report is
+arithmetic on those.  Nothing is collected.
 """
 
 from __future__ import annotations
@@ -147,25 +147,17 @@ def confusion_cells(long: DataFrame, keys: list[str], y_true: str = "y_true", y_
     return long.groupBy(*keys, y_true, y_pred).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _class_grid(cells: DataFrame, keys: list[str], classes: list) -> DataFrame:
-    """Every (keys, class) from the literal class list (no join)."""
-    return cells.select(*keys).distinct().select(*keys, F.explode(F.array(*[F.lit(c) for c in classes])).alias("cls"))
-
-
-def per_class_counts(cells: DataFrame, keys: list[str], classes: list | None = None) -> DataFrame:
-    """(keys, cls, support, predicted, tp) from the cells; with ``classes``
-    missing classes appear with zero counts, without them the observed
-    union of true and predicted labels is used (sklearn default)."""
-    t = cells.select(*keys, F.col("y_true").alias("cls"), F.col("cnt").alias("support"),
-                     F.lit(0).cast("long").alias("predicted"),
-                     F.when(F.col("y_true") == F.col("y_pred"), F.col("cnt")).otherwise(0).alias("tp"))
-    p = cells.select(*keys, F.col("y_pred").alias("cls"), F.lit(0).cast("long").alias("support"),
-                     F.col("cnt").alias("predicted"), F.lit(0).cast("long").alias("tp"))
-    c = t.unionByName(p).groupBy(*keys, "cls").agg(*[F.sum(x).alias(x) for x in ("support", "predicted", "tp")])
-    if classes is not None:
-        grid = _class_grid(cells, keys, classes)
-        c = grid.join(c, on=keys + ["cls"], how="left").na.fill(0, ["support", "predicted", "tp"])
-    return c
+def class_counts(long: DataFrame, keys: list[str], classes: list | None = None) -> DataFrame:
+    """(keys, cls, support, predicted, tp) in one aggregate: every row counts for its true
+    and for its predicted class.  With ``classes`` other labels count for none (class null, no counts)."""
+    sides = []
+    for c, support, predicted in ((F.col("y_true"), 1, 0), (F.col("y_pred"), 0, 1)):
+        known = F.lit(True) if classes is None else F.coalesce(c.isin(*classes), F.lit(False))
+        hit = (F.col("y_true") == F.col("y_pred")) if support else F.lit(False)
+        sides.append(F.struct(F.when(known, c).alias("cls"), F.when(known, F.lit(support)).otherwise(0).alias("support"),
+                              F.when(known, F.lit(predicted)).otherwise(0).alias("predicted"), F.when(known & hit, 1).otherwise(0).alias("tp")))
+    rows = long.select(*keys, F.inline(F.array(*sides)))
+    return rows.groupBy(*keys, "cls").agg(*[F.sum(x).alias(x) for x in ("support", "predicted", "tp")])
 
 
 def _ratio(n: Column, d: Column) -> Column:
@@ -181,37 +173,49 @@ def class_metrics(counts: DataFrame) -> DataFrame:
 
 def classification_report(long: DataFrame, keys: list[str], classes: list | None = None,
                           names: dict | None = None, y_true: str = "y_true", y_pred: str = "y_pred",
-                          keep_order: bool = False) -> DataFrame:
+                          keep_order: bool = False, ordered: bool = True) -> DataFrame:
     """M9: per class precision/recall/f1/support plus accuracy, macro avg and
     weighted avg rows, per ``keys`` group.  Rows: (keys, pos, label,
-    precision, recall, f1, support); the accuracy row carries only f1."""
-    cells = confusion_cells(long.withColumnRenamed(y_true, "y_true").withColumnRenamed(y_pred, "y_pred")
-                            if (y_true, y_pred) != ("y_true", "y_pred") else long, keys)
-    m = class_metrics(per_class_counts(cells, keys, classes))
-    name = F.col("cls").cast("string")
-    if names:
-        mapping = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
-        name = F.coalesce(F.try_element_at(mapping, F.col("cls")), name)
-    numeric = dict(cells.dtypes).get("y_true", "string") != "string"
-    order = F.lpad(F.col("cls").cast("string"), 20, "0") if numeric else F.col("cls").cast("string")
-    rows = m.select(*keys, F.lit(1).alias("pos"), order.alias("__ord"), name.alias("label"),
-                    "precision", "recall", "f1", "support")
-    g = m.groupBy(*keys).agg(
-        F.sum("support").alias("n"), F.sum("tp").alias("tp"),
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        F.sum(F.col("precision") * F.col("support")).alias("wp"),
-        F.sum(F.col("recall") * F.col("support")).alias("wr"),
-        F.sum(F.col("f1") * F.col("support")).alias("wf"))
-    acc = g.select(*keys, F.lit(2).alias("pos"), F.lit("").alias("__ord"), F.lit("accuracy").alias("label"),
-                   F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"),
-                   _ratio(F.col("tp"), F.col("n")).alias("f1"), F.col("n").alias("support"))
-    mac = g.select(*keys, F.lit(3).alias("pos"), F.lit("").alias("__ord"), F.lit("macro avg").alias("label"),
-                   F.col("mp").alias("precision"), F.col("mr").alias("recall"), F.col("mf").alias("f1"),
-                   F.col("n").alias("support"))
-    wei = g.select(*keys, F.lit(4).alias("pos"), F.lit("").alias("__ord"), F.lit("weighted avg").alias("label"),
-                   _ratio(F.col("wp"), F.col("n")).alias("precision"), _ratio(F.col("wr"), F.col("n")).alias("recall"),
-                   _ratio(F.col("wf"), F.col("n")).alias("f1"), F.col("n").alias("support"))
-    out = rows.unionByName(acc).unionByName(mac).unionByName(wei).orderBy(*keys, "pos", "__ord")
+    precision, recall, f1, support); the accuracy row carries only f1.
+
+    One aggregate over the rows, one by grouping sets over the classes (each class, and all of
+    a key), and one ``inline`` that makes every report row; ``classes`` that a key does not
+    have are rows of zeros (without a list: the observed labels)."""
+    if (y_true, y_pred) != ("y_true", "y_pred"):
+        long = long.withColumnRenamed(y_true, "y_true").withColumnRenamed(y_pred, "y_pred")
+    m = class_metrics(class_counts(long, keys, classes))
+    kind = dict(m.dtypes)["cls"]
+    mapping = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))]) if names else None
+
+    def row(pos: int, order, label, precision, recall, f1, support):
+        values = [F.lit(pos), order, label, precision, recall, f1, support]
+        types = ["int", "string", "string", "double", "double", "double", "long"]
+        fields = ["pos", "__ord", "label", "precision", "recall", "f1", "support"]
+        return F.struct(*[v.cast(t).alias(f) for v, t, f in zip(values, types, fields)])
+
+    def of_class(c, precision, recall, f1, support):
+        text = c.cast("string")
+        order = text if kind == "string" else F.lpad(text, 20, "0")
+        return row(1, order, F.coalesce(F.try_element_at(mapping, c), text) if names else text, precision, recall, f1, support)
+
+    weighted = [F.sum(F.col(x) * F.col("support")).alias(f"__w_{x}") for x in ("precision", "recall", "f1")]
+    g = m.groupingSets([[*keys, "cls"], keys], *keys, "cls").agg(
+        *[F.sum(x).alias(x) for x in ("precision", "recall", "f1", "support", "tp")], *weighted,
+        F.count(F.lit(1)).alias("__k"), F.collect_set("cls").alias("__seen"), (F.grouping_id().bitwiseAND(1) == 1).alias("__all"))
+    n, k = F.col("support"), F.col("__k") if classes is None else F.lit(len(classes))
+    empty, none = F.lit(""), F.lit(None)
+    rows = F.array(row(2, empty, F.lit("accuracy"), none, none, _ratio(F.col("tp"), n), n),
+                   row(3, empty, F.lit("macro avg"), *[F.col(x) / k for x in ("precision", "recall", "f1")], n),
+                   row(4, empty, F.lit("weighted avg"), *[_ratio(F.col(f"__w_{x}"), n) for x in ("precision", "recall", "f1")], n))
+    if classes is not None:
+        zero = F.lit(0.0)
+        unseen = F.array_except(F.array(*[F.lit(c).cast(kind) for c in classes]), F.col("__seen"))
+        rows = F.concat(rows, F.transform(unseen, lambda c: of_class(c, zero, zero, zero, F.lit(0))))
+    one = F.array(of_class(F.col("cls"), F.col("precision"), F.col("recall"), F.col("f1"), n))
+    if classes is not None:
+        g = g.where(F.col("__all") | F.col("cls").isNotNull())
+    out = g.select(*keys, F.inline(F.when(F.col("__all"), rows).otherwise(one)))
+    out = out.orderBy(*keys, "pos", "__ord") if ordered else out
     return out if keep_order else out.drop("__ord")
 
 
@@ -246,15 +250,17 @@ def prediction_names(pred: DataFrame, kind: str = "emotion") -> list[str]:
 def metrics(pred: DataFrame, names: list[str]) -> DataFrame:
     """M8 in one row: sentiment accuracy and macro-F1 over the observed
     classes, flattened emotion micro-F1 (= accuracy over all cells, both
-    classes averaged), element-wise intensity accuracy."""
-    s = classification_report(sentiment_long(pred), ["task"])
-    sent = s.where(F.col("label").isin("accuracy", "macro avg")).groupBy().agg(
-        F.max(F.when(F.col("label") == "accuracy", F.col("f1"))).alias("sent_acc"),
-        F.max(F.when(F.col("label") == "macro avg", F.col("f1"))).alias("sent_f1"))
-    em = emotion_long(pred, names).agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("em_f1_micro"))
-    it = intensity_long(pred, names).agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("int_acc"))
-    u = sent.unionByName(em, allowMissingColumns=True).unionByName(it, allowMissingColumns=True)
-    return u.agg(*[F.max(c).alias(c) for c in ("sent_acc", "sent_f1", "em_f1_micro", "int_acc")])
+    classes averaged), element-wise intensity accuracy.  All tasks are rows of one report, from one scan."""
+    sides = [("sentiment", "sentiment_label", "sentiment_pred")]
+    sides += [(kind, f"{kind}__{e}_label", f"{kind}__{e}_pred") for kind in ("emotion", "intensity") for e in names]
+    long = pred.select(stack_rows(["task", "y_true", "y_pred"], [(t, F.col(a).cast("string"), F.col(b).cast("string")) for t, a, b in sides]))
+    r = classification_report(long.where("task = 'sentiment' or (y_true is not null and y_pred is not null)"), ["task"], ordered=False)
+
+    def value(task: str, label: str):
+        return F.max(F.when((F.col("task") == task) & (F.col("label") == label) & (F.col("pos") > 1), F.col("f1")))
+
+    return r.agg(value("sentiment", "accuracy").alias("sent_acc"), value("sentiment", "macro avg").alias("sent_f1"),
+                 value("emotion", "accuracy").alias("em_f1_micro"), value("intensity", "accuracy").alias("int_acc"))
 
 
 # ---------------------------------------------------------------- M10 / M11
@@ -262,7 +268,7 @@ def emotion_report(pred: DataFrame, names: list[str]) -> tuple[DataFrame, DataFr
     """Overall flattened micro/macro F1 and accuracy, and the per-emotion
     absent/present classification report (one job for all emotions)."""
     long = emotion_long(pred, names)
-    flat = classification_report(long.select(F.lit("all").alias("scope"), "y_true", "y_pred"), ["scope"], [0, 1])
+    flat = classification_report(long.select(F.lit("all").alias("scope"), "y_true", "y_pred"), ["scope"], [0, 1], ordered=False)
     overall = flat.groupBy().agg(
         F.max(F.when(F.col("label") == "accuracy", F.col("f1"))).alias("micro_f1"),
         F.max(F.when(F.col("label") == "macro avg", F.col("f1"))).alias("macro_f1"),

@@ -95,12 +95,8 @@ def _intensity_docs(spark, sf):
     p = _pred_runs(spark, sf)
     long = E.intensity_long(p, PRED_EMOTIONS, keep=["run"])
     rep = E.classification_report(long, ["run", "emotion"], [0, 1, 2], dict(enumerate(E.INTENSITY_CLASSES)),
-                                  keep_order=True)
-    text = RP.report_lines(rep, ["run", "emotion"])
-    acc = long.groupBy("run", "emotion").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"))
-    overall = long.groupBy("run").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"))
-    order = spark.createDataFrame([(e, k) for k, e in enumerate(PRED_EMOTIONS)], "emotion string, k int")
-    return RP.intensity_report_text(text.join(acc, ["run", "emotion"]), overall, order, ["run"])
+                                  keep_order=True, ordered=False)
+    return RP.intensity_report_text(RP.report_lines(rep, ["run", "emotion"]), PRED_EMOTIONS, ["run"])
 
 
 Q["s10_parse_reports"] = lambda spark, sf: RP.parse_reports(_intensity_docs(spark, sf), "text", ["run"])
@@ -133,10 +129,10 @@ O["s7_latest_report"] = _WF + "SELECT run, CAST(pos AS INTEGER) AS pos, f1 FROM
 def _summary(spark, sf):
     p = _pred_runs(spark, sf)
     sent = E.classification_report(p.select("run", F.col("sentiment_label").alias("y_true"),
-                                            F.col("sentiment_pred").alias("y_pred")), ["run"], keep_order=True)
+                                            F.col("sentiment_pred").alias("y_pred")), ["run"], keep_order=True, ordered=False)
     sent_txt = RP.report_lines(sent, ["run"]).select("run", F.lit("sentiment").alias("kind"), F.col("report").alias("text"))
     em = E.classification_report(E.emotion_long(p, PRED_EMOTIONS, keep=["run"]), ["run", "emotion"], [0, 1],
-                                 {0: "absent", 1: "present"}, keep_order=True)
+                                 {0: "absent", 1: "present"}, keep_order=True, ordered=False)
     em_txt = (RP.report_lines(em, ["run", "emotion"]).groupBy("run")
               .agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("--- "), F.upper("emotion"), F.lit(" ---\n"),
                                                                       F.col("report")))), "\n").alias("text"))

@@ -9,7 +9,7 @@ Reports are small (one line per class), so rendering is an ordered
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RULE = "=" * 60
@@ -23,45 +23,40 @@ def _num(c: Column) -> Column:
 
 def report_lines(rep: DataFrame, keys: list[str]) -> DataFrame:
     """Classification-report rows (keys, pos, label, precision, recall, f1,
-    support) -> the report text per key (fixed-width layout)."""
-    width = F.greatest(F.max(F.length("label")).over(Window.partitionBy(*keys)), F.lit(12))
-    r = rep.withColumn("__w", width)
-    line = F.when(F.col("label") == "accuracy",
-                  F.concat(F.lpad("label", F.col("__w"), " "), F.lit(" "), F.lit(" " + " " * 9), F.lit(" " + " " * 9),
-                           F.lit(" "), _num(F.col("f1")), F.lit(" "), F.lpad(F.col("support").cast("string"), 9, " "))) \
-        .otherwise(F.concat(F.lpad("label", F.col("__w"), " "), F.lit(" "), F.lit(" "), _num(F.col("precision")),
-                            F.lit(" "), _num(F.col("recall")), F.lit(" "), _num(F.col("f1")), F.lit(" "),
-                            F.lpad(F.col("support").cast("string"), 9, " ")))
-    within = F.col("__ord") if "__ord" in rep.columns else F.col("label")
-    r = r.withColumn("__line", line).withColumn("__ord", F.row_number().over(
-        Window.partitionBy(*keys).orderBy("pos", within)))
+    support) -> per key the report text (fixed-width layout), accuracy and support, in one aggregate."""
+    within = "__ord" if "__ord" in rep.columns else "label"
+    r = F.struct("pos", F.col(within).alias("ord"), "label", "precision", "recall", "f1", "support")
+    accuracy = F.col("label") == "accuracy"
+    g = rep.groupBy(*keys).agg(F.array_sort(F.collect_list(r)).alias("__l"), F.greatest(F.max(F.length("label")), F.lit(12)).alias("__w"),
+                               F.max(F.when(accuracy, F.col("f1"))).alias("accuracy"), F.max(F.when(accuracy, F.col("support"))).alias("support"))
+
+    def line(x: Column) -> Column:
+        head, blank = F.lpad(x["label"], F.col("__w"), " "), F.lit(" " + " " * 9)
+        tail = F.concat(F.lit(" "), _num(x["f1"]), F.lit(" "), F.lpad(x["support"].cast("string"), 9, " "))
+        return F.when(x["label"] == "accuracy", F.concat(head, F.lit(" "), blank, blank, tail)).otherwise(
+            F.concat(head, F.lit("  "), _num(x["precision"]), F.lit(" "), _num(x["recall"]), tail))
+
     header = F.concat(F.lpad(F.lit(""), F.col("__w"), " "), F.lit(" "),
                       *[F.lpad(F.lit(h), 10, " ") for h in HEADERS])
-    g = r.groupBy(*keys).agg(F.first(header).alias("__h"),
-                             F.array_sort(F.collect_list(F.struct("pos", "__ord", "__line"))).alias("__l"))
-    cls = F.filter("__l", lambda x: x["pos"] == 1)
-    avg = F.filter("__l", lambda x: x["pos"] > 1)
-    text = F.concat(F.col("__h"), F.lit("\n\n"), F.array_join(F.transform(cls, lambda x: x["__line"]), "\n"),
-                    F.lit("\n\n"), F.array_join(F.transform(avg, lambda x: x["__line"]), "\n"), F.lit("\n"))
-    return g.select(*keys, text.alias("report"))
+    cls, avg = (F.array_join(F.transform(F.filter("__l", f), line), "\n") for f in (lambda x: x["pos"] == 1, lambda x: x["pos"] > 1))
+    return g.select(*keys, F.concat(header, F.lit("\n\n"), cls, F.lit("\n\n"), avg, F.lit("\n")).alias("report"), "accuracy", "support")
 
 
-def intensity_report_text(per_emotion: DataFrame, overall: DataFrame, order: DataFrame,
-                          keys: list[str]) -> DataFrame:
+def intensity_report_text(per_emotion: DataFrame, order: list[str], keys: list[str]) -> DataFrame:
     """The intensity report document per ``keys`` (e.g. run): title, overall
     accuracy, then one ``--- EMOTION ---`` block (accuracy + report) per
-    emotion in vocabulary order.  ``per_emotion``: (keys, emotion, report,
-    accuracy); ``overall``: (keys, accuracy); ``order``: (emotion, k)."""
-    blocks = per_emotion.join(F.broadcast(order), "emotion").select(
-        *keys, "k", F.concat(F.lit("\n--- "), F.upper("emotion"), F.lit(" ---\nAccuracy: "),
-                             F.format_string("%.4f", F.col("accuracy")), F.lit("\n\n"), F.col("report"),
-                             F.lit("\n")).alias("block"))
-    g = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "block"))).alias("__b"))
+    emotion in the order of ``order``.  ``per_emotion``: (keys, emotion, report,
+    accuracy, support), from which the overall accuracy is summed exactly."""
+    place = F.array_position(F.array(*[F.lit(e) for e in order]), F.col("emotion"))
+    block = F.concat(F.lit("\n--- "), F.upper("emotion"), F.lit(" ---\nAccuracy: "), F.format_string("%.4f", F.col("accuracy")),
+                     F.lit("\n\n"), F.col("report"), F.lit("\n"))
+    hits = F.sum(F.round(F.col("accuracy") * F.col("support")))
+    g = per_emotion.where(place > 0).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(place.alias("k"), block.alias("block")))).alias("__b"),
+                                                        F.coalesce(hits / F.sum("support"), F.lit(0.0)).alias("accuracy"))
     head = F.concat(F.lit(RULE + "\nINTENSITY CLASSIFICATION REPORT\n" + RULE + "\n\nOverall Intensity Accuracy: "),
                     F.format_string("%.4f", F.col("accuracy")),
                     F.lit("\n\n" + RULE + "\nPER-EMOTION INTENSITY REPORTS\n" + RULE + "\n\n"))
-    return g.join(overall, keys).select(*keys, F.concat(head, F.array_join(F.transform("__b", lambda x: x["block"]), ""))
-                                        .alias("text"))
+    return g.select(*keys, F.concat(head, F.array_join(F.transform("__b", lambda x: x["block"]), "")).alias("text"))
 
 
 # ---------------------------------------------------------------- S10
