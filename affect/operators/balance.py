@@ -10,7 +10,7 @@ planned job — no loop over groups.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affect.functions.clean import word_count
@@ -19,7 +19,10 @@ from affect.operators.labels import SLOTS, bundle_key, with_bundle
 from affect.operators.rewrite import (gate_completion, is_valid_output, quality_score,
                                       rewrite_rules)
 from affect.operators.sampling import draw_long, lowest_by_draw
+from affect.session import materialize
 
+#: Ranges of passes that one row is cut into at once, at most.
+FAN = 1000
 
 
 # ---------------------------------------------------------------- D7
@@ -88,9 +91,8 @@ def balance_plan(df: DataFrame, multiplier: float = 1.0, cap: int | None = None)
     times the whole group and ``last_pass`` of its rows once more."""
     keyed = df if "bundle_key" in df.columns else with_bundle(df).withColumn("bundle_key", bundle_key(F.col("bundle")))
     c = keyed.groupBy("bundle_key").agg(F.count(F.lit(1)).alias("count"))
-    allw = Window.partitionBy()
     missing = F.col("target") - F.col("count")
-    p = (c.withColumn("max_count", F.max("count").over(allw))
+    p = (c.withColumn("max_count", c.agg(F.max("count")).scalar())
           .withColumn("target", (F.col("max_count") * F.lit(float(multiplier))).cast("long"))
           .withColumn("action", F.when(F.col("count") == F.col("target"), "keep")
                       .when(F.col("count") > F.col("target"), "downsample").otherwise("augment"))
@@ -114,13 +116,33 @@ def downsample(keyed: DataFrame, plan: DataFrame, id_col: str, seed: int = 42) -
 
 
 # ---------------------------------------------------------------- D17
-def expansion_rows(keyed: DataFrame, plan: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
+def replicate(rows: DataFrame, times: str, id_col: str, into: str = "pass", fan: int = FAN) -> DataFrame:
+    """Every row as often as its column ``times`` (a long) says, numbered from 1 in ``into``.
+
+    Passes are cut into ranges, ranges of ranges if need be: a row stands for a range and is
+    cut into ``fan`` smaller ones at most, which are dealt out anew before they are cut
+    further.  So no array and no task grows with the factor, and any factor is possible."""
+    most = rows.agg(F.max(times)).first()[0] or 0
+    step = 1
+    while step * fan < most:
+        step *= fan
+    out = rows.where(F.col(times) > 0).withColumn(into, F.lit(1).cast("long")).withColumnRenamed(times, "__last")
+    while True:
+        out = out.withColumn(into, F.explode(F.sequence(into, "__last", F.lit(step).cast("long"))))
+        out = out.withColumn("__last", F.least(F.col(into) + (step - 1), F.col("__last")))
+        if step == 1:
+            return out.drop("__last")
+        out = out.repartition(id_col, into)
+        step //= fan
+
+
+def expansion_rows(keyed: DataFrame, plan: DataFrame, id_col: str, seed: int = 42, fan: int = FAN) -> DataFrame:
     """The rows to augment — every row of a group for each of its full
     passes, and ``last_pass`` seeded draws of it in one pass more.  Adds
     ``pass`` and ``aug_id`` (row id and pass, the draw key of the rewrite)."""
-    full = (keyed.join(plan.where("full_passes > 0").select("bundle_key", "full_passes"), "bundle_key")
-            .withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("full_passes").cast("int")))).drop("full_passes"))
-    more = plan.where("last_pass > 0").select("bundle_key", F.col("last_pass").alias("__quota"), (F.col("full_passes") + 1).cast("int").alias("pass"))
+    plan = materialize(plan.select("bundle_key", "full_passes", "last_pass"), "plan")
+    full = replicate(keyed.join(plan.where("full_passes > 0").select("bundle_key", "full_passes"), "bundle_key"), "full_passes", id_col, fan=fan)
+    more = plan.where("last_pass > 0").select("bundle_key", F.col("last_pass").alias("__quota"), (F.col("full_passes") + 1).alias("pass"))
     drawn = keyed.join(more.drop("__quota"), "bundle_key")
     step = F.concat(F.lit("pass"), F.col("pass").cast("string"))
     last = lowest_by_draw(drawn, ["bundle_key"], more.drop("pass"), draw_long(seed, id_col, step), tie=id_col).drop("__rank_draw")

@@ -13,9 +13,11 @@ from affect.operators import balance as B
 from affect.operators import labels as L
 from affect.operators import rewrite as RW
 from affect.operators import text as T
+from affect.operators.requests import Ledger
 from affect.operators.sampling import draw_long_sql
 from affect.plans import sqltext as S
 from affect.session import materialize
+from affect.sources import io as IO
 from affect.sources.fixtures import cte, view
 
 Q: dict = {}
@@ -279,7 +281,7 @@ _DRAW = draw_long_sql(42, "k.utt_id", "STEP").replace("'STEP'", "'pass' || CAST(
 
 def _passes_sql(keyed: str, plan: str) -> str:
     """Whole groups for every full pass, seeded draws for the last one."""
-    return f"""SELECT utt_id, bundle_key, CAST(pass AS INTEGER) AS pass FROM (
+    return f"""SELECT utt_id, bundle_key, CAST(pass AS BIGINT) AS pass FROM (
   SELECT k.utt_id, k.bundle_key, unnest(range(1, full_passes + 1)) AS pass FROM {keyed} k JOIN {plan} USING (bundle_key)
   UNION ALL SELECT utt_id, bundle_key, pass FROM (SELECT k.utt_id, k.bundle_key, full_passes + 1 AS pass, last_pass, row_number() OVER (PARTITION BY k.bundle_key
     ORDER BY {_DRAW}, k.utt_id) AS rn FROM {keyed} k JOIN {plan} USING (bundle_key)) WHERE rn <= last_pass)"""
@@ -627,3 +629,48 @@ assert _FS_LINE in O["d8_rewrite_rules"]
 O["d18_balance_and_expand"] = O["d8_rewrite_rules"].replace(_FS_LINE, _XROWS, 1).split("\nSELECT utt_id, t AS original")[0] + """
 SELECT CAST(utt_id AS VARCHAR) AS row_id, emotion1, intensity1, NULL AS augmented, NULL AS mode FROM src
 UNION ALL SELECT g1.utt_id, fs.emotion1, fs.intensity1, g1.augmented, 'eda' FROM g1 JOIN fs USING (utt_id)"""
+
+
+# ---------------------------------------------------------------- D18 with completions
+def _answers(spark, sf, ledger):
+    """Stand-in for the model: completions of the same utterance. Every tenth request has no answer, every seventh a
+    second attempt, and each answer stands twice."""
+    n = F.col("utt_id").cast("long") + F.col("pass").cast("long")
+    asked = ledger.pending().select("request_id", "prompt_id", F.split("request_id", "#")[0].alias("utt_id"), F.split("request_id", "#")[1].alias("pass"))
+    made = asked.join(view(spark, "completions", sf).select(F.col("utt_id").cast("string").alias("utt_id"), "completion"), "utt_id").where(n % 10 != 0)
+    tries = F.array(F.struct(F.lit(1).alias("attempt"), F.col("completion")), F.struct(F.lit(1).alias("attempt"), F.col("completion")))
+    again = F.array(F.struct(F.lit(2).alias("attempt"), F.lit("ok").alias("completion")))
+    return made.select("request_id", "prompt_id", F.inline(F.when(n % 7 == 0, F.concat(again, tries)).otherwise(tries)))
+
+
+def _d18_completions(mode: str):
+    def run(spark, sf):
+        keyed = B.keyed_rows(_source(spark, sf))
+        plan = B.balance_plan(keyed, 1.0)
+        kept = B.downsample(keyed, plan, "utt_id").withColumn("utt_id", F.col("utt_id").cast("string"))
+        rows = B.expansion_rows(keyed, plan, "utt_id").withColumn("prompt", F.concat(F.lit("Rewrite: "), F.coalesce("utterance", F.lit(""))))
+        ledger = Ledger(spark, IO.scratch_path(spark, "ledger"))
+        ledger.ask(rows, "aug_id", "prompt")
+        ledger.record(_answers(spark, sf, ledger))
+        ledger.ask(rows, "aug_id", "prompt")  # a second start of the job asks nothing twice
+        done = ledger.attach(rows, "aug_id", "prompt").drop("prompt")
+        if mode == "mixed":
+            done = D.attach_patterns(done, *_patterns(spark, sf))
+        else:
+            done = done.withColumn("keywords", F.lit(None).cast("array<string>")).withColumn("avg_length", F.lit(None).cast("double"))
+        aug, _ = B.augment(done.withColumn("utt_id", F.col("aug_id")), mode=mode, seed=42, completion_col="completion")
+        return B.balance_and_expand(kept.drop("bundle"), aug).select(F.col("utt_id").cast("string").alias("row_id"), "emotion1", "intensity1", "augmented", "mode")
+    return run
+
+
+for _mode in ("llm", "mixed"):
+    Q[f"d18_balance_{_mode}"] = _d18_completions(_mode)
+    _taken = "CASE WHEN (ex.utt_id + ex.pass) % 10 = 0 OR (ex.utt_id + ex.pass) % 7 = 0 THEN a.original ELSE a.augmented END"
+    if _mode == "mixed":
+        _taken = f"CASE WHEN {uniform_sql(42, 'ex.aug_id', 'mixed')} < 0.65 THEN {_taken} ELSE e.augmented END"
+    O[f"d18_balance_{_mode}"] = f"""WITH ex AS ({O['d17_expansion_rows']}), a AS ({O['d14_augment_completion']}),
+src AS ({cte('utterances')} SELECT utt_id, emotion1, intensity1 FROM utterances WHERE domain = 'source'){
+    f", e AS (SELECT row_id, augmented FROM ({O['d18_balance_and_expand']}) WHERE mode = 'eda')" if _mode == "mixed" else ""}
+SELECT CAST(utt_id AS VARCHAR) AS row_id, emotion1, intensity1, NULL AS augmented, NULL AS mode FROM src
+UNION ALL SELECT ex.aug_id, src.emotion1, src.intensity1, {_taken}, '{_mode}' FROM ex JOIN src USING (utt_id) JOIN a USING (utt_id){
+    " JOIN e ON e.row_id = ex.aug_id" if _mode == "mixed" else ""}"""
