@@ -2,26 +2,25 @@
 starters, pronoun rates, per-group TF-IDF keywords, intensifiers, example
 retrieval and the pattern report.
 
-TF-IDF is computed the way a SQL engine would, per group and without any
-dense matrix: token rows -> term frequencies per (group, doc, term) ->
-document frequencies per (group, term) (partial aggregation before every
-shuffle) -> vocabulary cut (min_df, top max_features by corpus frequency) ->
-smooth idf -> L2 norm per document -> mean over the group's documents ->
-top-n.  Ranking windows only ever see aggregated (group, term) rows, never
-raw tokens, so a dominant label does not put raw data into one task.
+TF-IDF is computed per group and without any dense matrix: term frequencies
+inside the row -> document frequencies per (group, term) (partial aggregation
+before the shuffle) -> vocabulary cut (min_df, top max_features by corpus
+frequency) -> smooth idf as a map per group -> L2 norm inside the row -> mean over the
+group's documents -> top-n.  Ranking windows only ever see aggregated (group,
+term) rows, never raw tokens, so a dominant label does not put raw data into one task.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affect.functions.clean import WS_CLASS, to_num, word_count
 from affect.operators.labels import SLOTS, explode_slots, sentiment_label
 from affect.operators.sampling import draw_long, lowest_by_draw
+from affect.session import materialize
 
 _HERE = os.path.dirname(os.path.abspath(__file__))
 
@@ -82,49 +81,77 @@ def with_terms(df: DataFrame, tokens: Column, stop_words: list[str] | None, ngra
 
 
 # ---------------------------------------------------------------- T6 core
-def tfidf_scores(docs: DataFrame, keys: list[str], doc_id: list[str], term_col: str = "terms",
+def term_counts(terms: str | Column) -> Column:
+    """(term, tf) of every distinct term of an array, from runs of the sorted array: linear after the sort, so that
+    long texts cost no more for each term."""
+    t = F.col(terms) if isinstance(terms, str) else terms
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.element_at(s, i) != F.element_at(s, F.least(i + 1, n))))
+        return _let(ends, lambda e: F.transform(e, lambda last, j: F.struct(
+            F.element_at(s, last).alias("term"), (last - F.when(j > 0, F.element_at(e, F.greatest(j, F.lit(1)))).otherwise(0)).cast("long").alias("tf"))))
+
+    none = F.array().cast("array<struct<term: string, tf: bigint>>")
+    return F.when(F.size(t) > 0, _let(F.array_sort(t), runs)).otherwise(none)
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def tfidf_scores(docs: DataFrame, keys: list[str], term_col: str = "terms",
                  min_df: int = 2, max_features: int | None = 50) -> DataFrame:
     """Mean L2-normalised TF-IDF score per (keys, term) over the group's
     documents.  ``docs`` holds one row per document with an array of terms.
     Returns (keys, term, score).
 
-    The tokenised documents are persisted (memory, spilling to disk): the
-    document counts and the term frequencies both derive from them, so the
-    source is scanned and tokenised once; executor loss recomputes the lost
-    blocks from lineage."""
-    docs = docs.select(*keys, *doc_id, term_col).persist(StorageLevel.MEMORY_AND_DISK)
-    n_docs = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    tok = docs.select(*keys, *doc_id, F.explode(term_col).alias("term"))
-    tf = tok.groupBy(*keys, *doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
-    dfreq = tf.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
-    vocab = dfreq.where(F.col("df") >= min_df)
+    Term frequencies are counted, and vectors normalised, inside the row: only
+    (key, term) sums are shuffled, never a document's terms.  The counted documents are
+    written once (they serve the vocabulary and the scores).  ``max_features`` terms of the
+    greatest corpus frequency a key make its vocabulary, looked up as a map; without
+    a limit the vocabulary is joined by (key, term) instead."""
+    counted = materialize(docs.select(*keys, term_counts(term_col).alias("__tf")), "term_counts")
+    # one more entry a document, of no term, counts the documents
+    one = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
+    sums = (counted.select(*keys, F.inline(F.concat(one, "__tf"))).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf")))
+    sums = materialize(sums, "terms")
+    n_docs = sums.where("term is null").select(*keys, F.col("df").alias("__n"))
+    vocab = sums.where((F.col("df") >= min_df) & F.col("term").isNotNull())
     if max_features:
         w = Window.partitionBy(*keys).orderBy(F.desc("ctf"), "term")
-        vocab = vocab.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max_features).drop("__r")
-    vocab = (vocab.join(n_docs, on=keys)
-                  .withColumn("idf", F.log((F.lit(1.0) + F.col("__n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
-                  .select(*keys, "term", "idf", "__n"))
-    # the cut vocabulary is at most max_features terms per group
-    x = tf.join(F.broadcast(vocab) if max_features else vocab, on=keys + ["term"])
-    x = x.withColumn("__v", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("__v") * F.col("__v")).over(Window.partitionBy(*keys, *doc_id)))
-    x = x.withColumn("__nv", F.col("__v") / norm)
+        vocab = vocab.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max_features)
+    idf = F.log((F.lit(1.0) + F.col("__n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+    vocab = vocab.join(n_docs, on=keys).select(*keys, "term", idf.alias("idf"), "__n")
+    if max_features:
+        maps = vocab.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("__idf"), F.first("__n").alias("__n"))
+        weighed = F.filter(F.transform("__tf", lambda x: F.struct(x["term"].alias("term"), (x["tf"] * F.try_element_at("__idf", x["term"])).alias("v"))), lambda x: x["v"].isNotNull())
+        x = counted.join(maps, on=keys).select(*keys, "__n", weighed.alias("__v"))
+        norm = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda a, y: a + y["v"] * y["v"]))
+        x = x.withColumn("__norm", norm).select(*keys, "__n", "__norm", F.inline("__v")).withColumn("__nv", F.col("v") / F.col("__norm"))
+    else:
+        rows = counted.withColumn("__doc", F.monotonically_increasing_id()).select(*keys, "__doc", F.inline("__tf"))
+        x = rows.join(vocab, on=[*keys, "term"]).withColumn("v", F.col("tf") * F.col("idf"))
+        x = x.withColumn("__nv", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("__doc"))))
     # rounded to 12 dp so that mathematically tied terms tie exactly whatever
     # the summation order, and the term order decides
     return x.groupBy(*keys, "term").agg(F.round(F.sum("__nv") / F.first("__n"), 12).alias("score"))
 
 
+def ranked_terms(scores: DataFrame, keys: list[str], top_n: int, restrict: list[str] | None = None) -> DataFrame:
+    """(keys, term, score, __r): the best ``top_n`` terms per group, score desc, term asc."""
+    s = scores.where(F.col("term").isin(*dict.fromkeys(restrict))) if restrict is not None else scores
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "term")
+    return s.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= top_n)
+
+
 def top_terms(scores: DataFrame, keys: list[str], top_n: int, ascending_output: bool = True,
               restrict: list[str] | None = None) -> DataFrame:
     """Best ``top_n`` terms per group (score desc, term asc), returned as an
     ordered array ``keywords`` (ascending score when ``ascending_output``, as
     the reference returns its ``argsort`` tail)."""
-    s = scores
-    if restrict is not None:
-        s = s.join(F.broadcast(s.sparkSession.createDataFrame([(w,) for w in dict.fromkeys(restrict)], "term string")),
-                   on="term", how="left_semi")
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "term")
-    r = s.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= top_n)
+    r = ranked_terms(scores, keys, top_n, restrict)
     g = r.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__r", "term"))).alias("__l"))
     lst = F.transform(F.col("__l"), lambda x: x["term"])
     return g.select(*keys, (F.reverse(lst) if ascending_output else lst).alias("keywords"))
@@ -159,7 +186,7 @@ GROUP_KEY = ["emotion", "intensity_key", "sentiment"]
 
 def group_docs(records: DataFrame, groups: DataFrame) -> DataFrame:
     """Records of the kept style groups (one document per record)."""
-    return records.join(F.broadcast(groups), on=["emotion", "intensity", "sentiment"], how="inner")
+    return records.join(groups, on=["emotion", "intensity", "sentiment"], how="inner")
 
 
 # ---------------------------------------------------------------- T2-T5
@@ -198,63 +225,52 @@ def style_profile(docs: DataFrame, keys=GROUP_KEY) -> DataFrame:
 
 # ---------------------------------------------------------------- T6
 def tfidf_keywords(docs: DataFrame, keys=GROUP_KEY, top_n: int = 20, ngram_max: int = 2, min_df: int = 2,
-                   max_features: int = 50, stop_words: list[str] | None = None,
-                   id_cols=("utt_id", "slot")) -> DataFrame:
+                   max_features: int | None = 50, stop_words: list[str] | None = None) -> DataFrame:
     """Per-group TF-IDF keywords (see module doc); groups whose
     vocabulary is empty get no row (callers coalesce to [])."""
     sw = english_stop_words() if stop_words is None else stop_words
-    d = with_terms(docs.select(*keys, *id_cols, "text"), word_tokens(F.col("text")), sw, ngram_max).drop("text")
-    sc = tfidf_scores(d, list(keys), list(id_cols), min_df=min_df, max_features=max_features)
+    d = with_terms(docs.select(*keys, "text"), word_tokens(F.col("text")), sw, ngram_max).drop("text")
+    sc = tfidf_scores(d, list(keys), min_df=min_df, max_features=max_features)
     return top_terms(sc, list(keys), top_n)
 
 
 # ---------------------------------------------------------------- T7 / T8
-def _slot_docs(df: DataFrame, k: int, text_col: str, id_col: str, with_intensity: bool,
-               keep_null_label: bool) -> DataFrame:
-    e, i = SLOTS[k]
-    label = F.lower(F.regexp_replace(F.col(e).cast("string"), rf"^{WS_CLASS}+|{WS_CLASS}+$", ""))
-    if keep_null_label:
-        label = F.coalesce(label, F.lit("nan"))
-    cols = [F.lit(k + 1).alias("slot"), label.alias("emotion"), F.col(id_col),
-            F.coalesce(F.col(text_col).cast("string"), F.lit("nan")).alias("text")]
-    if with_intensity:
-        cols.append(to_num(i).alias("intensity"))
-    out = df.select(*cols).where(F.col("emotion").isNotNull() & (F.col("emotion") != ""))
+def _slot_docs(df: DataFrame, text_col: str, with_intensity: bool, keep_null_label: bool) -> DataFrame:
+    """(slot, emotion, [intensity,] terms): one row for each slot with a label; the text is read and cut into terms once a row."""
+    slots = []
+    for k, (e, i) in enumerate(SLOTS):
+        label = F.lower(F.regexp_replace(F.col(e).cast("string"), rf"^{WS_CLASS}+|{WS_CLASS}+$", ""))
+        slots.append(F.struct(F.lit(k + 1).alias("slot"), (F.coalesce(label, F.lit("nan")) if keep_null_label else label).alias("emotion"),
+                              *([to_num(i).alias("intensity")] if with_intensity else [])))
+    terms = ascii_tokens(F.coalesce(F.col(text_col).cast("string"), F.lit("nan")))
+    out = df.select(terms.alias("terms"), F.array(*slots).alias("__s")).select("terms", F.inline("__s")).where("emotion is not null and emotion <> ''")
     return out.where(F.col("intensity").isNotNull()) if with_intensity else out
 
 
 def intensifiers(df: DataFrame, by_intensity: bool = False, top_n: int = 10, min_rows: int = 10,
-                 text_col: str = "utterance", id_col: str = "utt_id", keep_null_label: bool = False) -> DataFrame:
+                 text_col: str = "utterance", keep_null_label: bool = False, max_features: int | None = 100) -> DataFrame:
     """T7 (``by_intensity=False``): per emotion, computed per slot (groups of
-    >= min_rows rows, unigram TF-IDF over ASCII words, df >= 2, top 100),
-    restricted to the intensifier list, best ``top_n`` by score; slots are
-    merged — a single slot's list is kept in score order, several slots'
-    lists are united, de-duplicated, sorted and cut to ``top_n``.
+    >= min_rows rows, unigram TF-IDF over ASCII words, df >= 2, top ``max_features``),
+    restricted to the intensifier list, best ``top_n`` by score; the slots of an
+    emotion are merged by each word's best score, and the best ``top_n`` stay.
 
     T8 (``by_intensity=True``): the same per (emotion, float intensity) with
     the longer list; the key is (emotion, int(intensity)) and a later slot
     (then a larger float intensity) overwrites an earlier one.
     """
     words = INTENSITY_INTENSIFIERS if by_intensity else INTENSIFIERS
-    parts = [_slot_docs(df, k, text_col, id_col, by_intensity, keep_null_label) for k in range(3)]
-    docs = parts[0].unionByName(parts[1]).unionByName(parts[2])
     gkeys = ["slot", "emotion"] + (["intensity"] if by_intensity else [])
+    docs = _slot_docs(df, text_col, by_intensity, keep_null_label)
     sizes = docs.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") >= min_rows)
-    docs = docs.join(F.broadcast(sizes.drop("__rows")), on=gkeys, how="left_semi")
-    d = docs.select(*gkeys, id_col, ascii_tokens(F.col("text")).alias("terms"))
-    sc = tfidf_scores(d, gkeys, [id_col], min_df=2, max_features=100)
-    top = top_terms(sc, gkeys, top_n, ascending_output=False, restrict=words)
+    sc = tfidf_scores(docs.join(sizes.drop("__rows"), on=gkeys, how="left_semi"), gkeys, min_df=2, max_features=max_features)
     if by_intensity:
-        top = top.withColumn("intensity_key", F.col("intensity").cast("int"))
+        top = top_terms(sc, gkeys, top_n, ascending_output=False, restrict=words).withColumn("intensity_key", F.col("intensity").cast("int"))
         w = Window.partitionBy("emotion", "intensity_key").orderBy(F.desc("slot"), F.desc("intensity"))
         return (top.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1)
                    .select("emotion", F.col("intensity_key").alias("intensity"), "keywords")
                    .withColumnRenamed("keywords", "intensifiers"))
-    g = top.groupBy("emotion").agg(F.count(F.lit(1)).alias("__slots"),
-                                   F.first(F.col("keywords")).alias("__one"),
-                                   F.array_sort(F.array_distinct(F.flatten(F.collect_list("keywords")))).alias("__all"))
-    return g.select("emotion", F.when(F.col("__slots") == 1, F.col("__one"))
-                    .otherwise(F.slice(F.col("__all"), 1, top_n)).alias("intensifiers"))
+    best = ranked_terms(sc, gkeys, top_n, words).groupBy("emotion", "term").agg(F.max("score").alias("score"))
+    return top_terms(best, ["emotion"], top_n, ascending_output=False).withColumnRenamed("keywords", "intensifiers")
 
 
 # ---------------------------------------------------------------- T9
@@ -267,7 +283,7 @@ def examples(df: DataFrame, keys: DataFrame, k: int = 3, seed: int = 7,
     recs = explode_slots(df.select(id_col, F.col(text_col).alias("text"),
                                    sentiment_label("sentiment").alias("sentiment"),
                                    *[c for p in SLOTS for c in p]), keep=[id_col, "text", "sentiment"])
-    recs = recs.join(F.broadcast(keys.select("emotion", "intensity", "sentiment")),
+    recs = recs.join(keys.select("emotion", "intensity", "sentiment"),
                      on=["emotion", "intensity", "sentiment"], how="left_semi")
     quota = keys.select("emotion", "intensity", "sentiment", F.lit(k).cast("long").alias("__quota"))
     rid = F.concat_ws("#", F.col(id_col).cast("string"), F.col("slot").cast("string"))
@@ -284,10 +300,10 @@ def style_patterns(df: DataFrame, text_col: str = "utterance", id_col: str = "ut
     sentence_starters, pronoun_freq, ratios and keywords ([] when empty)."""
     recs = style_records(df, text_col, id_col)
     groups = style_groups(recs, min_size)
-    docs = group_docs(recs, groups).persist()
+    docs = materialize(group_docs(recs, groups), "style_docs")  # read by the profile, the starters and the keywords
     prof = style_profile(docs)
     st = sentence_starters(docs, id_col=id_col)
-    kw = tfidf_keywords(docs, stop_words=stop_words, id_cols=(id_col, "slot"))
+    kw = tfidf_keywords(docs, stop_words=stop_words)
     return (prof.join(st, on=GROUP_KEY, how="left").join(kw, on=GROUP_KEY, how="left")
                 .withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
                 .withColumn("sentence_starters", F.coalesce("sentence_starters", F.array().cast("array<string>")))

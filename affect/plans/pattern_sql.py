@@ -76,9 +76,9 @@ def intensifier_ctes(where: str, with_int: bool, p: str) -> str:
 {p}out AS (SELECT emotion, CAST(trunc(intensity) AS INTEGER) AS intensity, keywords AS intensifiers FROM {p}r WHERE rn = 1)"""
     else:
         out += f""",
-{p}g AS (SELECT emotion, count(*) AS slots, list(keywords ORDER BY slot)[1] AS one,
-  list_sort(list_distinct(flatten(list(keywords)))) AS alls FROM {p}kw GROUP BY emotion),
-{p}out AS (SELECT emotion, CASE WHEN slots = 1 THEN one ELSE alls[1:10] END AS intensifiers FROM {p}g)"""
+{p}b AS (SELECT emotion, term, max(score) AS score FROM {p}top WHERE r <= 10 GROUP BY ALL),
+{p}g AS (SELECT *, row_number() OVER (PARTITION BY emotion ORDER BY score DESC, term) AS rn FROM {p}b),
+{p}out AS (SELECT emotion, list(term ORDER BY rn) AS intensifiers FROM {p}g WHERE rn <= 10 GROUP BY emotion)"""
     return out
 
 

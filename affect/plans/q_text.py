@@ -137,9 +137,9 @@ kw AS (SELECT {gk}, list(term ORDER BY r) AS keywords FROM top WHERE r <= 10 GRO
 
 Q["t7_intensifiers"] = lambda spark, sf: T.intensifiers(_target(spark, sf)).select(
     "emotion", F.array_join("intensifiers", "|").alias("intensifiers"))
-O["t7_intensifiers"] = _intens_sql(False) + """, g AS (SELECT emotion, count(*) AS slots, list(keywords ORDER BY slot)[1] AS one,
-  list_sort(list_distinct(flatten(list(keywords)))) AS alls FROM kw GROUP BY emotion)
-SELECT emotion, array_to_string(CASE WHEN slots = 1 THEN one ELSE alls[1:10] END, '|') AS intensifiers FROM g"""
+O["t7_intensifiers"] = _intens_sql(False) + """, b AS (SELECT emotion, term, max(score) AS score FROM top WHERE r <= 10 GROUP BY ALL),
+g AS (SELECT *, row_number() OVER (PARTITION BY emotion ORDER BY score DESC, term) AS rn FROM b)
+SELECT emotion, string_agg(term, '|' ORDER BY rn) AS intensifiers FROM g WHERE rn <= 10 GROUP BY emotion"""
 
 Q["t8_intensity_intensifiers"] = lambda spark, sf: T.intensifiers(_target(spark, sf), by_intensity=True).select(
     "emotion", "intensity", F.array_join("intensifiers", "|").alias("intensifiers"))
