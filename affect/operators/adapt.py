@@ -45,19 +45,19 @@ def _slot_label(k: int) -> Column:
 
 
 def _lookup(df: DataFrame, table: DataFrame, on: list, prefix: str) -> DataFrame:
-    """Left broadcast lookup of a small table with columns renamed by prefix;
-    ``on`` lists (left Column, right column name) pairs."""
+    """Left lookup in a table with columns renamed by prefix;
+    ``on`` lists (left Column, right column name) pairs.  Spark broadcasts the table if it is small."""
     t = table.select(*[F.col(c).alias(f"{prefix}{c}") for c in table.columns])
     cond = None
     for left, right in on:
         c = left == F.col(f"{prefix}{right}")
         cond = c if cond is None else cond & c
-    return df.join(F.broadcast(t), cond, "left")
+    return df.join(t, cond, "left")
 
 
 def label_flags(df: DataFrame, compatible: DataFrame) -> DataFrame:
     """``keep_label`` = some slot label is in the compatible set (three
-    broadcast lookups, one per slot)."""
+    lookups, one per slot)."""
     comp = compatible.where(F.col("status") == "compatible").select("emotion").distinct()
     out = df
     for k in range(3):
@@ -98,17 +98,15 @@ def rare_flags(df: DataFrame, min_samples: int = 10, scope: Column | None = None
     keep rows having at least one non-rare valid pair; when none is rare the
     step keeps every row.  Pair counts are taken over the rows satisfying
     ``scope`` (the survivors of D2 and D3); rows outside it get null."""
-    counts = pair_counts(df if scope is None else df.where(scope))
-    any_rare = counts.agg(F.count_if(F.col("cnt") < min_samples).alias("n_rare"), F.lit(1).alias("__one"))
+    counts = materialize(pair_counts(df if scope is None else df.where(scope)), "pair_counts")
+    n_rare = counts.agg(F.count_if(F.col("cnt") < min_samples)).scalar()
     out = df
     for k in range(3):
         v, e, x = _pair(k)
         out = _lookup(out, counts, [(e, "emotion"), (x, "intensity")], f"__p{k}_")
         out = out.withColumn(f"__ok{k}", v & (F.col(f"__p{k}_cnt") >= min_samples))
-    # one-row scalar attached by an equi-join on a constant (broadcast of 1 row)
-    out = out.withColumn("__one", F.lit(1)).join(F.broadcast(any_rare), "__one", "left")
-    keep = (F.coalesce(F.col("n_rare"), F.lit(0)) == 0) | F.col("__ok0") | F.col("__ok1") | F.col("__ok2")
-    drop = [c for c in out.columns if c.startswith("__p") or c.startswith("__ok")] + ["__one", "n_rare"]
+    keep = (F.coalesce(n_rare, F.lit(0)) == 0) | F.col("__ok0") | F.col("__ok1") | F.col("__ok2")
+    drop = [c for c in out.columns if c.startswith("__p") or c.startswith("__ok")]
     flag = F.coalesce(keep, F.lit(False))
     if scope is not None:
         flag = F.when(scope, flag)
@@ -154,80 +152,93 @@ def filter_report(flagged: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- D6
-def attach_patterns(src: DataFrame, patterns: DataFrame, emotion_int: DataFrame, intensity_int: DataFrame,
-                    examples: DataFrame, sentiment_default: str = "negative") -> DataFrame:
-    """Merge, per source row, the target patterns of its bundle.
+def bundle_columns(src: DataFrame, sentiment_default: str = "negative") -> DataFrame:
+    """``src`` with its bundle as looked up in pattern tables: ``__slots`` (e, i of the slots that have both; an empty bundle
+    is (neutral, 2)), ``__sent`` and ``__bk``, a key of the two."""
+    slots = F.array(*[F.when(normalize_label(e).isNotNull() & to_num(i).isNotNull(),
+                             F.struct(F.lit(k).alias("slot"), normalize_label(e).alias("e"), to_num(i).cast("int").alias("i"))) for k, (e, i) in enumerate(SLOTS)])
+    neutral = F.array(F.struct(F.lit(0).alias("slot"), F.lit("neutral").alias("e"), F.lit(2).alias("i")))
+    d = src.withColumn("__slots", F.filter(slots, lambda x: x.isNotNull())).withColumn("__sent", F.coalesce(F.lower(F.col("sentiment").cast("string")), F.lit(sentiment_default)))
+    d = d.withColumn("__slots", F.when(F.size("__slots") > 0, F.col("__slots")).otherwise(neutral))
+    return d.withColumn("__bk", F.to_json(F.struct("__sent", "__slots")))
+
+
+def _best_first(els: Column, of) -> Column:
+    """Terms of all elements, ranked by their best place in any element's list (``of``: element -> array of (place, term)), ties by term."""
+    return _terms(F.flatten(F.transform(els, of)))
+
+
+def _terms(ranked: Column) -> Column:
+    return F.array_distinct(F.transform(F.array_sort(ranked), lambda x: x["t"]))
+
+
+def _placed(terms: Column, best_last: bool = False) -> Column:
+    """(place, term) from 0, the best first."""
+    t = F.coalesce(terms, F.array().cast("array<string>"))
+    return F.transform(t, lambda x, j: F.struct((F.size(t) - 1 - j if best_last else j).cast("int").alias("r"), x.alias("t")))
+
+
+def composed_patterns(bundles: DataFrame, patterns: DataFrame, emotion_int: DataFrame, intensity_int: DataFrame, examples: DataFrame) -> DataFrame:
+    """One row for each distinct bundle and sentiment (``__bk``): its merged patterns.
 
     ``patterns`` (emotion, intensity, sentiment, keywords, sentence_starters,
     avg_length), ``emotion_int`` (emotion, intensifiers), ``intensity_int``
     (emotion, intensity, intensifiers) and ``examples`` (emotion, intensity,
-    sentiment, texts) are small tables keyed by labels; each bundle element
-    is looked up by a broadcast join, then merged with array functions:
-    keywords union (sorted, <= 30), starters union (<= 15, default list when
-    empty), mean avg_length of the matched keys (else mean words of the
-    examples, else 50), intensifiers by fallback pair -> emotion -> default
-    list (<= 15), examples (<= 6), keyword fallback = 20 commonest example
-    words (ties by first appearance).
-    """
-    sent = F.coalesce(F.lower(F.col("sentiment").cast("string")), F.lit(sentiment_default))
-    d = src.withColumn("__sent", sent)
-    for k, (e, i) in enumerate(SLOTS):
-        lab, inten = normalize_label(e), to_num(i)
-        d = d.withColumn(f"__e{k}", F.when(lab.isNotNull() & inten.isNotNull(), lab)) \
-             .withColumn(f"__i{k}", F.when(lab.isNotNull() & inten.isNotNull(), inten.cast("int")))
-    # an empty bundle is treated as (neutral, 2), looked up like any other
-    empty_bundle = F.col("__e0").isNull() & F.col("__e1").isNull() & F.col("__e2").isNull()
-    d = d.withColumn("__empty", empty_bundle) \
-         .withColumn("__e0", F.when(F.col("__empty"), F.lit("neutral")).otherwise(F.col("__e0"))) \
-         .withColumn("__i0", F.when(F.col("__empty"), F.lit(2)).otherwise(F.col("__i0")))
-    for k in range(3):
-        d = _lookup(d, patterns.select("emotion", "intensity", "sentiment", "keywords", "sentence_starters", "avg_length"),
-                    [(F.col(f"__e{k}"), "emotion"), (F.col(f"__i{k}"), "intensity"), (F.col("__sent"), "sentiment")], f"__pt{k}_")
-        d = _lookup(d, intensity_int.select("emotion", "intensity", "intensifiers"),
-                    [(F.col(f"__e{k}"), "emotion"), (F.col(f"__i{k}"), "intensity")], f"__ia{k}_")
-        d = _lookup(d, emotion_int.select("emotion", "intensifiers"), [(F.col(f"__e{k}"), "emotion")], f"__eo{k}_")
-        d = _lookup(d, examples.select("emotion", "intensity", "sentiment", "texts"),
-                    [(F.col(f"__e{k}"), "emotion"), (F.col(f"__i{k}"), "intensity"), (F.col("__sent"), "sentiment")], f"__ex{k}_")
+    sentiment, texts) are joined to the bundles' elements, and an element's
+    lists merged: keywords (<= 30), starters (<= 15, default list when empty) and intensifiers (by
+    fallback pair -> emotion -> default list, <= 15) ranked by their best
+    mined place in any element, mean avg_length of the matched keys (else mean words of the
+    examples, else 50), examples (<= 6), keyword fallback = 20 commonest example
+    words (ties by first appearance)."""
+    el = bundles.select("__bk", "__sent", F.inline("__slots"))
+    pt = patterns.select(F.col("emotion").alias("e"), F.col("intensity").alias("i"), F.col("sentiment").alias("__sent"), F.col("keywords").alias("kw"),
+                         F.col("sentence_starters").alias("st"), F.col("avg_length").alias("al"))
+    ia = intensity_int.select(F.col("emotion").alias("e"), F.col("intensity").alias("i"), F.col("intensifiers").alias("ia"))
+    eo = emotion_int.select(F.col("emotion").alias("e"), F.col("intensifiers").alias("eo"))
+    ex = examples.select(F.col("emotion").alias("e"), F.col("intensity").alias("i"), F.col("sentiment").alias("__sent"), F.col("texts").alias("ex"))
+    el = el.join(pt, ["e", "i", "__sent"], "left").join(ia, ["e", "i"], "left").join(eo, "e", "left").join(ex, ["e", "i", "__sent"], "left")
     empty = F.array().cast("array<string>")
-    el = F.array(*[F.struct(
-        F.col(f"__e{k}").alias("e"), F.col(f"__pt{k}_keywords").alias("kw"),
-        F.col(f"__pt{k}_sentence_starters").alias("st"), F.col(f"__pt{k}_avg_length").alias("al"),
-        F.coalesce(F.col(f"__ia{k}_intensifiers"), empty).alias("ia"),
-        F.coalesce(F.col(f"__eo{k}_intensifiers"), empty).alias("eo"),
-        F.coalesce(F.col(f"__ex{k}_texts"), empty).alias("ex")) for k in range(3)])
-    d = d.withColumn("__el", F.filter(el, lambda x: x["e"].isNotNull()))
-    els = F.col("__el")
-    d = (d.withColumn("__matched", F.filter(els, lambda x: x["al"].isNotNull()))
-          .withColumn("__kwu", F.array_sort(F.array_distinct(F.flatten(F.transform(els, lambda x: F.coalesce(x["kw"], empty))))))
-          .withColumn("__stu", F.array_sort(F.array_distinct(F.flatten(F.transform(els, lambda x: F.coalesce(x["st"], empty))))))
-          .withColumn("__exs", F.flatten(F.transform(els, lambda x: x["ex"]))))
-    defaults = F.array(*[F.lit(w) for w in DEFAULT_INTENSIFIERS])
+    parts = F.struct("slot", "kw", "st", "al", F.coalesce("ia", empty).alias("ia"), F.coalesce("eo", empty).alias("eo"), F.coalesce("ex", empty).alias("ex"))
+    d = el.groupBy("__bk").agg(F.array_sort(F.collect_list(parts)).alias("__els"))  # three elements at most
+    els = F.col("__els")
+    defaults = F.array(*[F.struct(F.lit(j).alias("r"), F.lit(w).alias("t")) for j, w in enumerate(DEFAULT_INTENSIFIERS)])
 
     def add_intens(acc, x):
-        with_emo = F.when(F.size(x["eo"]) > 0, F.array_union(acc, x["eo"])).otherwise(acc)
-        fallback = F.when(F.size(with_emo) == 0, F.array_union(with_emo, defaults)).otherwise(with_emo)
-        return F.when(F.size(x["ia"]) > 0, F.array_union(acc, x["ia"])).otherwise(fallback)
+        with_emo = F.concat(acc, _placed(x["eo"]))
+        return F.when(F.size(x["ia"]) > 0, F.concat(acc, _placed(x["ia"]))).otherwise(F.when(F.size(with_emo) == 0, defaults).otherwise(with_emo))
 
-    d = d.withColumn("__int", F.array_sort(F.aggregate(els, empty, add_intens)))
+    none = F.array().cast("array<struct<r: int, t: string>>")
+    d = (d.withColumn("__matched", F.filter(els, lambda x: x["al"].isNotNull()))
+          .withColumn("__kwu", _best_first(els, lambda x: _placed(x["kw"], best_last=True)))
+          .withColumn("__stu", _best_first(els, lambda x: _placed(x["st"])))
+          .withColumn("__int", _terms(F.aggregate(els, none, add_intens)))
+          .withColumn("__exs", F.flatten(F.transform(els, lambda x: x["ex"]))))
     matched, kw, st, exs = F.col("__matched"), F.col("__kwu"), F.col("__stu"), F.col("__exs")
     d = d.withColumn("__exw", F.flatten(F.transform(
         exs, lambda t: F.filter(F.split(F.lower(t), rf"{WS_CLASS}+"), lambda w: w != ""))))
     avg_al = F.aggregate(matched, F.lit(0.0), lambda a, x: a + x["al"]) / F.size(matched)
     ex_len = F.aggregate(F.transform(exs, lambda t: word_count(t).cast("double")), F.lit(0.0), lambda a, x: a + x) / F.size(exs)
     need_common = (F.size(kw) == 0) & (F.size(exs) > 0)
-    # only rows whose bundle matched no pattern but has examples pay for the word count
+    # only bundles that match no pattern but have examples pay for the word count
     ranked = F.array_sort(F.transform(F.array_distinct(F.col("__exw")), lambda w, i: F.struct(
         (-F.size(F.filter(F.col("__exw"), lambda x: x == w))).alias("neg"), i.alias("pos"), w.alias("w"))))
     common = F.transform(F.slice(ranked, 1, 20), lambda s: s["w"])
-    out = (d.withColumn("keywords", F.slice(F.when(need_common, common).otherwise(kw), 1, 30))
-            .withColumn("sentence_starters", F.slice(F.when(F.size(st) == 0, F.array(*[F.lit(s) for s in DEFAULT_STARTERS]))
-                                                     .otherwise(st), 1, 15))
-            .withColumn("avg_length", F.when(F.size(matched) > 0, avg_al).when(F.size(exs) > 0, ex_len)
-                        .otherwise(F.lit(50.0)))
-            .withColumn("intensifiers", F.slice("__int", 1, 15))
-            .withColumn("examples", F.slice(exs, 1, 6)))
-    drop = [c for c in out.columns if c.startswith("__")]
-    return out.drop(*drop)
+    return d.select(
+        "__bk", F.slice(F.when(need_common, common).otherwise(kw), 1, 30).alias("keywords"),
+        F.slice(F.when(F.size(st) == 0, F.array(*[F.lit(s) for s in DEFAULT_STARTERS])).otherwise(st), 1, 15).alias("sentence_starters"),
+        F.when(F.size(matched) > 0, avg_al).when(F.size(exs) > 0, ex_len).otherwise(F.lit(50.0)).alias("avg_length"),
+        F.slice("__int", 1, 15).alias("intensifiers"), F.slice(exs, 1, 6).alias("examples"))
+
+
+def attach_patterns(src: DataFrame, patterns: DataFrame, emotion_int: DataFrame, intensity_int: DataFrame,
+                    examples: DataFrame, sentiment_default: str = "negative") -> DataFrame:
+    """Every source row with the target patterns of its bundle and sentiment: patterns
+    are composed once for each distinct bundle (:func:`composed_patterns`) and joined once."""
+    d = bundle_columns(src, sentiment_default)
+    bundles = d.select("__bk", "__sent", "__slots").dropDuplicates(["__bk"])
+    composed = materialize(composed_patterns(bundles, patterns, emotion_int, intensity_int, examples), "composed")
+    taken = [c for c in composed.columns if c != "__bk"]
+    return d.drop(*taken, "__slots", "__sent").join(composed, "__bk", "left").drop("__bk")
 
 
 # ---------------------------------------------------------------- D9
@@ -268,9 +279,10 @@ EXAMPLE_BLOCK_WORDS = ["sad", "angry", "anxious", "afraid", "disgusted", "surpri
                        "worried", "frustrated", "depressed", "excited", "nervous"]
 
 
-def cue_table(spark) -> DataFrame:
-    return spark.createDataFrame([(e, i, c) for (e, i), c in EMOTION_CUES.items()],
-                                 "emotion string, intensity int, cue string")
+def cue_of(emotion: Column, intensity: Column) -> Column:
+    """The cue phrase of a label and whole intensity, null if it has none."""
+    cues = F.create_map(*[F.lit(v) for (e, i), cue in EMOTION_CUES.items() for v in (f"{e}:{i}", cue)])
+    return F.try_element_at(cues, F.concat_ws(":", emotion, intensity.cast("string")))
 
 
 def build_prompts(src: DataFrame, attached: DataFrame | None = None, text_col: str = "utterance",
@@ -280,10 +292,7 @@ def build_prompts(src: DataFrame, attached: DataFrame | None = None, text_col: s
     examples free of '*' and of emotion words, and the rules text.  The model
     call itself is outside the job; completions come back as a table."""
     d = attached if attached is not None else src
-    cues = cue_table(d.sparkSession)
-    for k, (e, i) in enumerate(SLOTS):
-        d = _lookup(d, cues, [(normalize_label(e), "emotion"), (to_num(i).cast("int"), "intensity")], f"__cu{k}_")
-    cue_list = F.filter(F.array(*[F.col(f"__cu{k}_cue") for k in range(3)]), lambda c: c.isNotNull())
+    cue_list = F.filter(F.array(*[cue_of(normalize_label(e), to_num(i).cast("int")) for e, i in SLOTS]), lambda c: c.isNotNull())
     cues_desc = F.when(F.size(cue_list) > 0, F.array_join(cue_list, " and ")).otherwise(F.lit("mixed feelings"))
     exs = F.coalesce(F.col("examples"), F.array().cast("array<string>")) if "examples" in d.columns \
         else F.array().cast("array<string>")

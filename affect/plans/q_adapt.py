@@ -415,6 +415,14 @@ from affect.plans.pattern_sql import example_ctes, intensifier_ctes, style_ctes
 _TW = "domain = 'target'"
 _DEF_I = "[" + ", ".join(f"'{w}'" for w in D.DEFAULT_INTENSIFIERS) + "]"
 _DEF_S = "[" + ", ".join(f"'{w}'" for w in D.DEFAULT_STARTERS) + "]"
+
+
+def _best(ranked: str) -> str:
+    """Terms of (place, term) by their best place, ties by term."""
+    terms = f"list_transform(list_sort({ranked}), lambda s: s.t)"
+    return f"list_filter({terms}, lambda t, j: list_position({terms}, t) = j)"
+
+
 _SLOT_SEL = " UNION ALL ".join(
     f"SELECT utt_id, sent, {k + 1} AS slot, CASE WHEN {S.lenient(e)} IS NOT NULL AND {S.to_num(i)} IS NOT NULL "
     f"THEN {S.lenient(e)} END AS e, CASE WHEN {S.lenient(e)} IS NOT NULL AND {S.to_num(i)} IS NOT NULL "
@@ -437,12 +445,13 @@ el AS (SELECT sl.utt_id, sl.slot, sl.e, pat.keywords AS kw, pat.starters AS st,
 els AS (SELECT utt_id, list({{'e': e, 'kw': kw, 'st': st, 'al': al, 'ia': ia, 'eo': eo, 'ex': ex}} ORDER BY slot) AS els
   FROM el GROUP BY utt_id),
 mg AS (SELECT utt_id, els,
-  list_sort(list_distinct(flatten(list_transform(els, lambda x: coalesce(x.kw, []::VARCHAR[]))))) AS kwu,
-  list_sort(list_distinct(flatten(list_transform(els, lambda x: coalesce(x.st, []::VARCHAR[]))))) AS stu,
+  {_best("flatten(list_transform(els, lambda x: list_transform(coalesce(x.kw, []::VARCHAR[]), lambda t, j: {'r': len(x.kw) - j, 't': t})))")} AS kwu,
+  {_best("flatten(list_transform(els, lambda x: list_transform(coalesce(x.st, []::VARCHAR[]), lambda t, j: {'r': j, 't': t})))")} AS stu,
   flatten(list_transform(els, lambda x: x.ex)) AS exs,
   list_filter(els, lambda x: x.al IS NOT NULL) AS matched,
-  list_sort(list_reduce(els, lambda acc, x: CASE WHEN len(x.ia) > 0 THEN list_distinct(acc || x.ia)
-     WHEN len(x.eo) > 0 THEN list_distinct(acc || x.eo) WHEN len(acc) = 0 THEN {_DEF_I} ELSE acc END, []::VARCHAR[])) AS ints
+  {_best("list_reduce(els, lambda acc, x: CASE WHEN len(x.ia) > 0 THEN acc || list_transform(x.ia, lambda t, j: {'r': CAST(j AS BIGINT), 't': t}) "
+         "WHEN len(x.eo) > 0 THEN acc || list_transform(x.eo, lambda t, j: {'r': CAST(j AS BIGINT), 't': t}) WHEN len(acc) = 0 THEN "
+         f"list_transform({_DEF_I}, lambda t, j: {{'r': CAST(j AS BIGINT), 't': t}}) ELSE acc END, []::STRUCT(r BIGINT, t VARCHAR)[])")} AS ints
   FROM els),
 wd AS (SELECT mg.utt_id, u.w, u.pos FROM mg, LATERAL (SELECT unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos
    FROM (SELECT flatten(list_transform(mg.exs, lambda t: list_filter(regexp_split_to_array(lower(t), '{_W}+'), lambda w: w <> ''))) AS ws)) u),
