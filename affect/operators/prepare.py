@@ -150,8 +150,7 @@ def stratified_split(df: DataFrame, by: str, id_col: str, frac: float = 0.2, see
     strata (computed on the small per-stratum count table); membership is the
     ``quota`` lowest hash draws of each stratum, found by the skew-safe
     histogram selection of :mod:`affect.operators.sampling` (no per-stratum
-    sort; the stratum counts come from the same histogram pass, so the input
-    is read twice).  Adds ``split`` in {'train','test'}.
+    sort; the input is read twice, once without its texts).  Adds ``split`` in {'train','test'}.
     """
     def quotas(counts: DataFrame) -> DataFrame:
         allw = Window.partitionBy()

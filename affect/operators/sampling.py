@@ -5,17 +5,20 @@ draw (stratified split, down-sampling, example retrieval, expansion passes).
 A ``row_number()`` window over the raw rows would sort a whole group inside
 one task — with one label holding a third of 100 TB that is unacceptable.
 
-Instead the 32-bit draw is bucketed into ``2**bits`` bins:
+Instead:
 
-1. ``groupBy(keys, bin).count()`` — a partial/final hash aggregate, skew-safe.
-2. On that small histogram a running sum per key finds the boundary bin
-   where the quota is crossed (one row per key, broadcast).
-3. Rows below the boundary are kept, rows above dropped, with no sort; only
-   the boundary bin's rows (about ``n_key / 2**bits``) are ranked by a
-   window, which keeps the result exact with ties broken by ``tie``.
+1. Group, draw and tie of every row — no text — are written once.
+2. The 32-bit draw is bucketed into ``2**bits`` bins and counted (a partial/final
+   hash aggregate, skew-safe); a running sum per key finds the boundary bin
+   where the quota is crossed.
+3. Only the boundary bin's rows (about ``n_key / 2**bits``) are ranked, which
+   gives each key one cut: the (draw, tie) of its last row.
+4. The rows themselves are read once more and kept where their (draw, tie) is
+   not past the cut: one join with a table of a row per key, no sort, no window.
 
 The selection equals ``row_number() over (partition by keys order by draw,
-tie) <= quota`` — which is what the DuckDB oracles state.
+tie) <= quota`` — which is what the DuckDB oracles state.  Where several rows
+share the draw and tie of a cut (repeated ids), those rows alone are numbered.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from affect.session import materialize
+
 
 def draw_long(seed, id_col, step: str | Column = "") -> Column:
     """32-bit unsigned integer draw from md5(seed:id:step)."""
@@ -45,38 +50,42 @@ def lowest_by_draw(df: DataFrame, keys: list[str], quota, draw: Column,
 
     ``quota`` may also be a function of the per-group counts (keys,
     ``__n``) returning that table; the counts then come from the same
-    histogram pass, so the input is scanned twice in total (histogram,
-    selection) instead of three times.
+    histogram.  The input is read twice in total.
 
     With ``flag`` set, every row is returned and the boolean column ``flag``
     marks the selected ones.  ``__rank_draw`` (the 32-bit draw) is added.
     """
-    shift = 32 - bits
-    d = df.withColumn("__rank_draw", draw).withColumn("__bin", F.shiftright(F.col("__rank_draw"), shift))
-    hist = d.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__cnt"))
+    narrow = materialize(df.select(*keys, draw.alias("__rank_draw"), F.col(tie).alias("__tie")), "draws")
+    narrow = narrow.withColumn("__bin", F.shiftright(F.col("__rank_draw"), 32 - bits))
+    hist = narrow.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__cnt"))
     if callable(quota):
         quota = quota(hist.groupBy(*keys).agg(F.sum("__cnt").alias("__n")))
     w = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (hist.join(F.broadcast(quota.select(*keys, quota_col)), on=keys, how="inner")
-               .withColumn("__cum", F.sum("__cnt").over(w))
-               .withColumn("__prev", F.col("__cum") - F.col("__cnt")))
-    # one row per group: the boundary bin and how many of its rows to keep
-    bound = (cum.where((F.col("__cum") >= F.col(quota_col)) & (F.col("__prev") < F.col(quota_col)))
-                .select(*keys, F.col("__bin").alias("__bbin"),
-                        (F.col(quota_col) - F.col("__prev")).alias("__need")))
-    # groups smaller than their quota keep every row: boundary past the last bin
-    everything = (cum.groupBy(*keys).agg(F.max("__cum").alias("__tot"), F.first(quota_col).alias("__q"))
-                     .where(F.col("__tot") < F.col("__q"))
-                     .select(*keys, F.lit(1 << bits).cast("long").alias("__bbin"),
-                             F.lit(0).cast("long").alias("__need")))
-    b = bound.unionByName(everything)
-    j = d.join(F.broadcast(b), on=keys, how="left" if flag else "inner")
-    at_bound = F.coalesce(F.col("__bin") == F.col("__bbin"), F.lit(False))
-    off = j.where(~at_bound).withColumn("__sel", F.coalesce(F.col("__bin") < F.col("__bbin"), F.lit(False)))
-    wr = Window.partitionBy(*keys).orderBy("__rank_draw", tie)
-    on = (j.where(at_bound).withColumn("__r", F.row_number().over(wr))
-           .withColumn("__sel", F.col("__r") <= F.col("__need")).drop("__r"))
-    out = off.unionByName(on).drop("__bin", "__bbin", "__need")
+    cum = (hist.join(quota.select(*keys, quota_col), on=keys, how="inner")
+               .withColumn("__cum", F.sum("__cnt").over(w)).withColumn("__prev", F.col("__cum") - F.col("__cnt"))
+               .withColumn("__total", F.sum("__cnt").over(Window.partitionBy(*keys))))
+    crossed = (F.col("__cum") >= F.col(quota_col)) & (F.col("__prev") < F.col(quota_col))
+    # one row per group: the boundary bin and how many of its rows to keep; a group smaller than its quota: its last bin, whole
+    short = (F.col("__total") < F.col(quota_col)) & (F.col("__cum") == F.col("__total"))
+    bound = cum.where(crossed | short).select(*keys, "__bin", F.when(short, F.col("__cnt")).otherwise(F.col(quota_col) - F.col("__prev")).alias("__need"))
+    order = Window.partitionBy(*keys).orderBy("__rank_draw", "__tie")
+    same = Window.partitionBy(*keys, "__rank_draw", "__tie")
+    ranked = narrow.join(bound, on=[*keys, "__bin"]).withColumn("__r", F.row_number().over(order))
+    ranked = ranked.withColumn("__alike", F.count(F.lit(1)).over(same)).withColumn("__first", F.min("__r").over(same))
+    cuts = materialize(ranked.where("__r = __need").select(*keys, F.col("__rank_draw").alias("__cut"), F.col("__tie").alias("__cut_tie"),
+                                                           "__alike", (F.col("__need") - F.col("__first") + 1).alias("__some")), "cuts")
+    j = df.withColumn("__rank_draw", draw).join(cuts, on=keys, how="left" if flag else "inner")
+    at = (F.col("__rank_draw") == F.col("__cut")) & F.col(tie).eqNullSafe(F.col("__cut_tie"))
+    # nulls of the tie come first, as they do in the ranking
+    before = (F.col("__rank_draw") < F.col("__cut")) | ((F.col("__rank_draw") == F.col("__cut")) & (F.col(tie).isNull() | F.coalesce(F.col(tie) <= F.col("__cut_tie"), F.lit(False))))
+    if cuts.where("__alike > __some").isEmpty():
+        out = j.withColumn("__sel", F.coalesce(before, F.lit(False)))
+    else:
+        at = F.coalesce(at, F.lit(False))
+        out = j.where(~at).withColumn("__sel", F.coalesce(before, F.lit(False)))
+        alike = j.where(at).withColumn("__sel", F.row_number().over(Window.partitionBy(*keys).orderBy(tie)) <= F.col("__some"))
+        out = out.unionByName(alike)
+    out = out.drop("__cut", "__cut_tie", "__alike", "__some")
     if flag:
         return out.withColumnRenamed("__sel", flag)
     return out.where(F.col("__sel")).drop("__sel")

@@ -154,3 +154,70 @@ def test_reports_take_one_scan(spark, name, shuffles, scans):
     from tools.plan_report import summarize
     s = summarize(_final(all_queries()[name](spark, SF001)))
     assert s["shuffles"] <= shuffles and s["scans"] == scans and not s["cartesian"], s
+
+
+def test_patterns_are_merged_by_their_mined_place(spark):
+    """The best of each element come first, whatever their letters; a bundle is composed once; an empty one is (neutral, 2)."""
+    from affect.operators import adapt as D
+    from affect.operators import labels as L
+    from tools.plan_report import summarize
+    joy = [f"j{i:02}" for i in range(20)]  # worst first, as mined
+    fear = [f"a{i:02}" for i in range(20)]
+    pats = spark.createDataFrame([("joy", 2, "positive", joy, ["zz", "aa"], 10.0), ("fear", 1, "positive", fear, ["mm", "zz"], 20.0), ("neutral", 2, "positive", ["n"], ["s"], 5.0)],
+                                 "emotion string, intensity int, sentiment string, keywords array<string>, sentence_starters array<string>, avg_length double")
+    ei = spark.createDataFrame([("joy", ["very", "so"]), ("fear", ["quite"])], "emotion string, intensifiers array<string>")
+    ii = spark.createDataFrame([("fear", 1, ["utterly", "deeply"])], "emotion string, intensity int, intensifiers array<string>")
+    ex = spark.createDataFrame([("joy", 2, "positive", ["a text"])], "emotion string, intensity int, sentiment string, texts array<string>")
+    rows = [(i, "positive", "Joy", "2", "fear", "1.0", None, None) for i in range(5)] + [(5, "Positive", None, None, None, None, None, None), (6, None, "joy", "2", None, None, None, None)]
+    cols = ", ".join(f"{c} string" for p in L.SLOTS for c in p)
+    src = spark.createDataFrame(rows, f"utt_id int, sentiment string, {cols}")
+    out = D.attach_patterns(src, pats, ei, ii, ex)
+    assert summarize(_final(out))["broadcasts"] + _final(out).count("SortMergeJoin") <= 2  # one join with the composed table
+    got = {r.utt_id: r for r in out.collect()}
+    assert sorted(got) == list(range(7))
+    want = [w for i in range(19, -1, -1) for w in (f"a{i:02}", f"j{i:02}")]
+    assert all(got[i].keywords == want[:30] for i in range(5))
+    assert got[0].sentence_starters == ["mm", "zz", "aa"] and got[0].avg_length == 15.0 and got[0].examples == ["a text"]
+    assert got[0].intensifiers == ["utterly", "very", "deeply", "so"]
+    assert got[5].keywords == ["n"] and got[5].sentence_starters == ["s"]
+    assert got[6].avg_length == 50.0 and got[6].keywords == [] and got[6].intensifiers == ["very", "so"]
+
+
+def test_tfidf_cut_and_uncut(spark):
+    """``max_features`` keeps the most frequent terms; without it every term of enough documents is scored, by a join."""
+    from affect.operators import text as T
+    r = random.Random(4)
+    docs = [[f"t{min(int(r.expovariate(0.15)), 40)}" for _ in range(r.randint(0, 12))] for _ in range(120)]
+    frame = spark.createDataFrame([("g", d) for d in docs], "k string, terms array<string>").repartition(3)
+
+    def plain(limit):
+        import math
+        df, ctf = Counter(t for d in docs for t in set(d)), Counter(t for d in docs for t in d)
+        vocab = sorted((t for t in df if df[t] >= 2), key=lambda t: (-ctf[t], t))[:limit]
+        idf = {t: math.log((1 + len(docs)) / (1 + df[t])) + 1 for t in vocab}
+        out = Counter()
+        for d in docs:
+            v = {t: c * idf[t] for t, c in Counter(d).items() if t in idf}
+            norm = sum(x * x for x in v.values()) ** 0.5
+            for t, x in v.items():
+                out[t] += x / norm / len(docs)
+        return out
+
+    for limit in (5, None):
+        got = {x.term: x.score for x in T.tfidf_scores(frame, ["k"], max_features=limit).collect()}
+        want = plain(limit)
+        assert set(got) == set(want) and (limit is None) == (len(want) > 5)
+        assert all(abs(got[t] - want[t]) < 1e-9 for t in want)
+
+
+def test_selection_with_repeated_ids_and_nulls(spark):
+    """Quotas are met exactly, also where rows share an id, and so the draw."""
+    from affect.operators.sampling import draw_long, lowest_by_draw
+    rows = [("a", i // 4) for i in range(40)] + [("b", None)] * 3 + [("b", 1)] + [("c", 7)] * 5 + [(None, 1)]
+    frame = spark.createDataFrame(rows, "k string, id long").repartition(3)
+    for n in (0, 1, 2, 3, 6, 100):
+        quota = spark.createDataFrame([("a", n), ("b", n), ("c", n), ("none", n)], "k string, __quota long")
+        out = lowest_by_draw(frame, ["k"], quota, draw_long(1, "id", "x"), tie="id")
+        assert {r.k: r["count"] for r in out.groupBy("k").count().collect()} == {k: min(n, m) for k, m in (("a", 40), ("b", 4), ("c", 5)) if n}
+        flagged = lowest_by_draw(frame, ["k"], quota, draw_long(1, "id", "x"), tie="id", flag="taken")
+        assert flagged.count() == len(rows) and flagged.where("taken").count() == out.count()
