@@ -69,11 +69,11 @@ def cross_entropy(df: DataFrame, logits: str, label: str,
                   weights: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """Weighted mean cross entropy  sum(w_y * nll) / sum(w_y)  (per
     ``by`` group; unweighted when ``weights`` is None).  ``weights`` is a
-    small (label, weight) table joined by broadcast."""
+    (label, weight) table."""
     by = by or []
     d = df.withColumn("__nll", nll(F.col(logits), F.col(label)))
     if weights is not None:
-        d = d.join(F.broadcast(weights.select(label, F.col("weight").alias("__w"))), on=label, how="left")
+        d = d.join(weights.select(label, F.col("weight").alias("__w")), on=label, how="left")
         d = d.withColumn("__w", F.coalesce("__w", F.lit(1.0)))
     else:
         d = d.withColumn("__w", F.lit(1.0))
@@ -89,13 +89,13 @@ def focal_loss(df: DataFrame, logits: str, targets: str, alpha,
                gamma: float = 2.0, by: list[str] | None = None) -> DataFrame:
     """Mean over rows x labels of alpha_e (1 - pt)^gamma * BCE with
     pt = exp(-BCE).  ``alpha`` is a per-label list, or a small DataFrame
-    (pos, alpha) such as the M3 label weights — joined by broadcast on the
+    (pos, alpha) such as the M3 label weights — joined on the
     label position, so nothing goes through the driver."""
     by = by or []
     e = df.select(*by, F.posexplode(F.arrays_zip(F.col(logits).alias("x"), F.col(targets).alias("t"))))
     e = e.select(*by, "pos", F.col("col.x").alias("x"), F.col("col.t").cast("double").alias("t"))
     if isinstance(alpha, DataFrame):
-        e = e.join(F.broadcast(alpha.select("pos", "alpha")), on="pos", how="left")
+        e = e.join(alpha.select("pos", "alpha"), on="pos", how="left")
     else:
         e = e.withColumn("alpha", F.element_at(F.array(*[F.lit(float(a)) for a in alpha]), F.col("pos") + 1))
     b = bce_with_logits(F.col("x"), F.col("t"))

@@ -113,13 +113,42 @@ def vocabulary(df: DataFrame, normalise: bool = True) -> DataFrame:
               .distinct().orderBy("emotion"))
 
 
-def collect_vocabulary(df: DataFrame, normalise: bool = True) -> list[str]:
-    """Driver-side vocabulary (bounded by the number of labels) — needed only
-    where it becomes column names (one-hot, pivots)."""
-    return [r[0] for r in vocabulary(df, normalise).collect()]
+#: Labels that may become columns.
+MOST_COLUMNS = 2000
+
+
+def collect_vocabulary(df: DataFrame, normalise: bool = True, most: int = MOST_COLUMNS) -> list[str]:
+    """Driver-side vocabulary — needed only where it becomes column names
+    (one-hot, pivots); more than ``most`` labels are an error (use the long or map forms)."""
+    found = [r[0] for r in vocabulary(df, normalise).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} labels: no wide table (see one_hot_map)")
+    return found
 
 
 # ---------------------------------------------------------------- L6
+def slot_entries() -> Column:
+    """(k, v) of the slots with a label: label and truncated intensity (2 when unparsable)."""
+    return F.filter(F.array(*[
+        F.struct(normalize_label(e).alias("k"),
+                 F.coalesce(finite(i).cast("int"), F.lit(2)).alias("v"))
+        for e, i in SLOTS]), lambda x: x["k"].isNotNull() & (x["k"] != "nan"))
+
+
+def one_hot_map(df: DataFrame, keep: list[str]) -> DataFrame:
+    """L6 for any set of labels: ``keep`` and ``labels``, a map from each label of the row to
+    (present = 1, intensity of the last slot naming it).  No vocabulary is needed, and no label is lost."""
+    e = F.col("__slots")
+    last = F.filter(e, lambda x, j: ~F.exists(F.slice(e, j + 2, F.lit(len(SLOTS))), lambda y: y["k"] == x["k"]))
+    entries = F.transform(last, lambda x: F.struct(x["k"], F.struct(F.lit(1).alias("present"), x["v"].alias("intensity"))))
+    return df.withColumn("__slots", slot_entries()).select(*keep, F.map_from_entries(entries).alias("labels"))
+
+
+def melt_map(df: DataFrame, id_col: str) -> DataFrame:
+    """L7 from the map form: (id, emotion, present, intensity) of every label that a row has."""
+    return df.select(id_col, F.explode("labels").alias("emotion", "__v")).select(id_col, "emotion", "__v.present", "__v.intensity")
+
+
 def one_hot(df: DataFrame, vocab: list[str], text_col: str = "utterance",
             passthrough=("original", "quality", "mode"),
             sentiment_default: str = "neutral", id_col: str | None = "utt_id") -> DataFrame:
@@ -130,11 +159,7 @@ def one_hot(df: DataFrame, vocab: list[str], text_col: str = "utterance",
     every vocabulary entry is one projection over it (the last matching slot
     wins, as when a Python dict is filled slot by slot).
     """
-    entries = F.filter(F.array(*[
-        F.struct(normalize_label(e).alias("k"),
-                 F.coalesce(finite(i).cast("int"), F.lit(2)).alias("v"))
-        for e, i in SLOTS]), lambda x: x["k"].isNotNull() & (x["k"] != "nan"))
-    df = df.withColumn("__slots", entries)
+    df = df.withColumn("__slots", slot_entries())
     cols = [F.col(c) for c in ([id_col] if id_col and id_col in df.columns else [])]
     cols.append(F.col(text_col))
     cols.append(F.col("sentiment") if "sentiment" in df.columns

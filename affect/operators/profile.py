@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from affect.functions.clean import finite, py_strip, to_num
 from affect.functions.frames import stack_rows
-from affect.operators.labels import SLOTS, with_emotions
+from affect.operators.labels import MOST_COLUMNS, SLOTS, with_emotions
 
 
 def _all():
@@ -172,10 +172,12 @@ def emotion_intensity_long(df: DataFrame) -> DataFrame:
 
 def emotion_intensity_crosstab(df: DataFrame, vocab: list[str] | None = None) -> DataFrame:
     """Intensity rows x raw-emotion columns, missing cells 0.  ``vocab``
-    fixes the column set (else it is read from the data: bounded by labels)."""
+    fixes the column set (else it is read from the data, ``MOST_COLUMNS`` at most); the long form has every label."""
     long = emotion_intensity_long(df)
     if vocab is None:
-        vocab = sorted(r[0] for r in long.select("emotion").distinct().collect())
+        vocab = sorted(r[0] for r in long.select("emotion").distinct().limit(MOST_COLUMNS + 1).collect())
+        if len(vocab) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} labels: no wide table (see emotion_intensity_long)")
     return (long.groupBy("intensity").pivot("emotion", vocab).agg(F.sum("count"))
                 .na.fill(0, subset=vocab).orderBy("intensity"))
 

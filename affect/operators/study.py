@@ -283,8 +283,8 @@ def metric_means(agg: DataFrame, factor: str) -> DataFrame:
 def with_group_score(df: DataFrame, agg: DataFrame, by=GROUP) -> DataFrame:
     """Attach the group's weighted F1 to every result row — an inner
     equi-join whose right side has one row per (architecture, encoder)
-    combination (a bounded design space), hence broadcast."""
-    return df.join(F.broadcast(agg.select(*by, "weighted_f1")), on=list(by), how="inner")
+    combination; Spark broadcasts it if it is small."""
+    return df.join(agg.select(*by, "weighted_f1"), on=list(by), how="inner")
 
 
 # ---------------------------------------------------------------- X11 / X14
@@ -331,7 +331,7 @@ def histogram(df: DataFrame, by: str = "architecture", x: str = METRIC, bins: in
     last bin closed; every bin is listed (zero counts included)."""
     rng = df.groupBy(by).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
     width = (F.col("__hi") - F.col("__lo")) / bins
-    j = df.select(by, x).where(F.col(x).isNotNull()).join(F.broadcast(rng), on=by)
+    j = df.select(by, x).where(F.col(x).isNotNull()).join(rng, on=by)
     b = F.when(F.col("__hi") == F.col("__lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col(x) - F.col("__lo")) / width), F.lit(bins - 1))).cast("int")
     cnt = j.groupBy(by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))

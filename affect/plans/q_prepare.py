@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from affect.operators import baseline as BL
+from affect.operators import evaluate as E
 from affect.operators import labels as L
 from affect.operators import prepare as M
 from affect.operators import profile as P
 from affect.operators.sampling import draw_long_sql
 from affect.plans import sqltext as S
+from affect.session import materialize
 from affect.sources.fixtures import cte, view
 
 Q: dict = {}
@@ -173,6 +176,11 @@ O["l7_melt_one_hot"] = "SELECT * FROM (" + " UNION ALL ".join(
     for e in UTT_VOCAB) + ") WHERE present = 1"
 O["l7_melt_one_hot"] = O["l6_one_hot"].replace("\nSELECT utt_id, utterance", ", oh AS (SELECT utt_id, utterance", 1) + ")\n" + O["l7_melt_one_hot"]
 
+Q["l7_melt_open"] = lambda spark, sf: L.melt_map(L.one_hot_map(view(spark, "utterances", sf), ["utt_id"]), "utt_id")
+O["l7_melt_open"] = _U + f""", s AS (SELECT row_number() OVER () AS rid, utt_id, {_ENT} AS ent FROM utterances),
+x AS (SELECT rid, utt_id, unnest(ent) AS en, unnest(range(1, len(ent) + 1)) AS j FROM s)
+SELECT utt_id, en.k AS emotion, 1 AS present, CAST(arg_max(en.v, j) AS INTEGER) AS intensity FROM x GROUP BY rid, utt_id, en.k"""
+
 # ---------------------------------------------------------------- A18 (experiment results table)
 _NUM = ["run_id", "precision", "recall", "f1_score", "support"]
 _ALLC = ["run_id", "architecture", "encoder", "emotion", "precision", "recall", "f1_score", "support"]
@@ -189,13 +197,14 @@ for _c in _NUM:
 O["a18_profile"] = _RS + "SELECT \"column\", statistic, round(value, 6) AS value FROM (" + " UNION ALL ".join(f"({x})" for x in _parts) + ")"
 
 
-# ---------------------------------------------------------------- M21 (rows-only: iterative training)
-def _m21(spark, sf):
-    from affect.operators import baseline as BL
-    from affect.operators import evaluate as E
-    split = M.stratified_split(_loaded(spark, sf), by="sentiment_code", id_col="doc_id", frac=0.2, seed=42).persist()
-    train = split.where(F.col("split") == "train")
-    test = split.where(F.col("split") == "test")
+# ---------------------------------------------------------------- M21
+def _halves(spark, sf):
+    split = materialize(M.stratified_split(_loaded(spark, sf), by="sentiment_code", id_col="doc_id", frac=0.2, seed=42), "split")
+    return split.where("split = 'train'"), split.where("split = 'test'")
+
+
+def _m21(spark, sf):  # rows-only: iterative training
+    train, test = _halves(spark, sf)
     models = BL.fit_baseline(train, NAMES, max_iter=10, num_features=1 << 14)
     sc = BL.score(models, test, NAMES, "doc_id")
     return E.predictions_table(sc, NAMES, id_col="doc_id")
@@ -204,6 +213,43 @@ def _m21(spark, sf):
 Q["m21_baseline_predictions"] = _m21
 
 
+def _m21_counts(spark, sf):
+    train, test = _halves(spark, sf)
+    sc = BL.count_score(BL.fit_counts(train, NAMES), test, NAMES, "doc_id")
+    return E.predictions_table(sc, NAMES, id_col="doc_id")
+
+
+Q["m21_count_predictions"] = _m21_counts
+_HEADS = [("sentiment_code", c, 3) for c in range(3)] + [x for e in NAMES for x in [(f"em__{e}", 0, 2), (f"em__{e}", 1, 2)]] + \
+    [(f"int__{e}", c, 3) for e in NAMES for c in range(3)]
+
+
+def _weight_sql(h: str, c: int) -> str:
+    if h == "sentiment_code":
+        return f"(CASE WHEN n_{h}_{c} > 0 THEN n_all / (3.0 * n_{h}_{c}) ELSE 1.0 END)"
+    return f"(1.0 / (n_{h}_1 / n_all + 1e-6))" if h.startswith("em__") and c == 1 else "1.0"
+
+
+_LL = {(h, c): f"round(ln({_weight_sql(h, c)} * n_{h}_{c} + 1.0) + coalesce(sum(tf * ln(({_weight_sql(h, c)} * coalesce(t_{h}_{c}, 0) + 1.0) / "
+               f"({_weight_sql(h, c)} * s_{h}_{c} + v))), 0.0), 9) AS l_{h}_{c}" for h, c, _ in _HEADS}
+_ARG3 = "CASE WHEN {0}_0 >= {0}_1 AND {0}_0 >= {0}_2 THEN 0 WHEN {0}_1 >= {0}_2 THEN 1 ELSE 2 END"
+_SN = "list_extract(['negative', 'neutral', 'positive'], {} + 1)"
+O["m21_count_predictions"] = f"""WITH d AS ({O['m0_load_labels']}), sp AS (SELECT doc_id, split FROM ({O['m1_stratified_split']})),
+x AS (SELECT row_number() OVER () AS rid, d.*, split FROM d JOIN sp USING (doc_id)),
+tok AS (SELECT rid, split, {', '.join(sorted({h for h, _, _ in _HEADS}))}, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM x),
+ct AS (SELECT term, {', '.join(f'CAST(count_if({h} = {c}) AS DOUBLE) AS t_{h}_{c}' for h, c, _ in _HEADS)} FROM tok WHERE split = 'train' GROUP BY term),
+tt AS (SELECT {', '.join(f'sum(t_{h}_{c}) AS s_{h}_{c}' for h, c, _ in _HEADS)}, CAST(count(*) AS DOUBLE) AS v FROM ct),
+dc AS (SELECT {', '.join(f'CAST(count_if({h} = {c}) AS DOUBLE) AS n_{h}_{c}' for h, c, _ in _HEADS)}, CAST(count(*) AS DOUBLE) AS n_all FROM x WHERE split = 'train'),
+te AS (SELECT rid, term, count(*) AS tf FROM tok WHERE split = 'test' GROUP BY ALL),
+ll AS (SELECT rid, {', '.join(_LL.values())} FROM (SELECT rid FROM x WHERE split = 'test') LEFT JOIN te USING (rid) LEFT JOIN ct USING (term), tt, dc GROUP BY ALL)
+SELECT doc_id, {_SN.format('sentiment_code')} AS sentiment_label, {_SN.format('(' + _ARG3.format('l_sentiment_code') + ')')} AS sentiment_pred,
+ {', '.join(f"em__{e} AS emotion__{e}_label, CAST(l_em__{e}_1 >= l_em__{e}_0 AS INTEGER) AS emotion__{e}_pred" for e in NAMES)},
+ {', '.join(f"int__{e} + 1 AS intensity__{e}_label, {_ARG3.format(f'l_int__{e}')} + 1 AS intensity__{e}_pred" for e in NAMES)}
+FROM x JOIN ll USING (rid)"""
+O["m21_count_predictions"] = O["m21_count_predictions"].replace("FROM (SELECT rid FROM x WHERE split = 'test') LEFT JOIN te USING (rid) LEFT JOIN ct USING (term), tt, dc GROUP BY ALL",
+    "FROM (SELECT * FROM (SELECT rid FROM x WHERE split = 'test') LEFT JOIN te USING (rid) LEFT JOIN ct USING (term)) CROSS JOIN tt CROSS JOIN dc GROUP BY rid, tt.*, dc.*".replace(", tt.*, dc.*", "".join(f", s_{h}_{c}, n_{h}_{c}" for h, c, _ in _HEADS) + ", v, n_all"))
+
+
 # ---------------------------------------------------------------- N4-N9 as standalone column functions
 from affect.functions import clean as C  # noqa: E402
 

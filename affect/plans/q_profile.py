@@ -133,9 +133,11 @@ O["a10_multi_emotion_ratio"] = U + f"""SELECT round(avg({_NE}), 6) AS avg_emotio
 # the query passes it explicitly, the operator can also discover it).
 RAW_LABELS = sorted(['Joy', 'anger', 'SADNESS', 'neutral', ' disgust ', 'fear', 'surprise',
                      'acceptance', 'no-label', 'guilt'])
+Q["a11_emotion_intensity_open"] = lambda spark, sf: P.emotion_intensity_long(_utt(spark, sf))
 Q["a11_emotion_intensity_crosstab"] = lambda spark, sf: P.emotion_intensity_crosstab(_utt(spark, sf), RAW_LABELS)
 _EIL = " UNION ALL ".join(f"SELECT {e} AS emotion, {S.trunc_int(i)} AS intensity FROM utterances"
                           for e, i in L.SLOTS)
+O["a11_emotion_intensity_open"] = U + f", r AS ({_EIL})\nSELECT intensity, emotion, count(*) AS count FROM r WHERE emotion IS NOT NULL AND emotion <> '' AND intensity IS NOT NULL GROUP BY ALL"
 O["a11_emotion_intensity_crosstab"] = U + f", r AS ({_EIL})\nSELECT intensity, " + ", ".join(
     f"CAST(count_if(emotion = '{v}') AS BIGINT) AS \"{v}\"" for v in RAW_LABELS) + \
     " FROM r WHERE emotion IS NOT NULL AND emotion <> '' AND intensity IS NOT NULL GROUP BY intensity ORDER BY intensity"

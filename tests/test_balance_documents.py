@@ -221,3 +221,36 @@ def test_selection_with_repeated_ids_and_nulls(spark):
         assert {r.k: r["count"] for r in out.groupBy("k").count().collect()} == {k: min(n, m) for k, m in (("a", 40), ("b", 4), ("c", 5)) if n}
         flagged = lowest_by_draw(frame, ["k"], quota, draw_long(1, "id", "x"), tie="id", flag="taken")
         assert flagged.count() == len(rows) and flagged.where("taken").count() == out.count()
+
+
+def test_labels_outside_any_list_are_kept(spark):
+    from affect.operators import labels as L
+    from affect.operators import profile as P
+    cols = ", ".join(f"{c} string" for p in L.SLOTS for c in p)
+    rows = [(1, "brand new", "2", "joy", "1", "brand new", "3"), (2, None, None, "joy", "x", None, "2"), (3, "nan", "1", None, None, None, None)]
+    df = spark.createDataFrame(rows, f"utt_id int, {cols}")
+    long = {tuple(r) for r in L.melt_map(L.one_hot_map(df, ["utt_id"]), "utt_id").collect()}
+    assert long == {(1, "brand new", 1, 3), (1, "joy", 1, 1), (2, "joy", 1, 2)}
+    assert ("brand new", 3, 1) in {(r.emotion, r.intensity, r["count"]) for r in P.emotion_intensity_long(df).collect()}
+    with pytest.raises(ValueError):
+        L.collect_vocabulary(df, most=1)
+
+
+def test_count_baseline_beats_the_majority(spark):
+    """Held-out rows of a table whose words tell the labels; empty texts get the prior."""
+    from affect.operators import baseline as BL
+    r = random.Random(1)
+    rows = []
+    for i in range(600):
+        s, j = r.choice([0, 0, 0, 1, 2]), r.random() < 0.2
+        words = r.choices(["and", "the", "of"], k=4) + r.choices([f"s{s}a", f"s{s}b"], k=2) + (["joyful"] if j else ["plain"])
+        rows.append((i, " ".join(words), s, int(j), 1 + s % 2 if j else 0))
+    rows += [(600, "", 0, 0, 0), (601, None, 1, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, sentiment_code int, em__joy int, int__joy int")
+    model = BL.fit_counts(df.where("doc_id < 400"), ["joy"])
+    got = BL.count_score(model, df.where("doc_id >= 400"), ["joy"], "doc_id").collect()
+    assert len(got) == 202
+    right = sum(max(range(3), key=lambda c: g.sentiment_logits[c]) == g.sentiment_true for g in got)
+    assert right > 0.95 * len(got) > 1.3 * sum(g.sentiment_true == 0 for g in got)
+    assert sum((g.emotion_logits[0] >= 0) == bool(g.emotion_true[0]) for g in got) > 0.95 * len(got)
+    assert BL.count_score(BL.fit_counts(df.where("false"), ["joy"]), df.where("doc_id = 600"), ["joy"], "doc_id").count() == 1
