@@ -227,7 +227,7 @@ def composed_patterns(bundles: DataFrame, patterns: DataFrame, emotion_int: Data
         "__bk", F.slice(F.when(need_common, common).otherwise(kw), 1, 30).alias("keywords"),
         F.slice(F.when(F.size(st) == 0, F.array(*[F.lit(s) for s in DEFAULT_STARTERS])).otherwise(st), 1, 15).alias("sentence_starters"),
         F.when(F.size(matched) > 0, avg_al).when(F.size(exs) > 0, ex_len).otherwise(F.lit(50.0)).alias("avg_length"),
-        F.slice("__int", 1, 15).alias("intensifiers"), F.slice(exs, 1, 6).alias("examples"))
+        F.slice("__int", 1, 15).alias("intensifiers"), F.slice(exs, 1, 6).alias("examples"), exs.alias("prompt_examples"))
 
 
 def attach_patterns(src: DataFrame, patterns: DataFrame, emotion_int: DataFrame, intensity_int: DataFrame,
@@ -286,22 +286,24 @@ def cue_of(emotion: Column, intensity: Column) -> Column:
 
 
 def build_prompts(src: DataFrame, attached: DataFrame | None = None, text_col: str = "utterance",
-                  id_col: str = "utt_id", max_examples: int = 4) -> DataFrame:
+                  id_col: str = "utt_id", max_examples: int = 4, seed: int = 7) -> DataFrame:
     """Prompt per row: cue phrases of its bundle joined by ' and ' (else
-    'mixed feelings'), the target length, up to ``max_examples`` distinct
-    examples free of '*' and of emotion words, and the rules text.  The model
+    'mixed feelings'), the target length, up to ``max_examples`` of the distinct
+    examples of its elements that are free of '*' and of emotion words (of more, a seeded draw), and the rules text.  The model
     call itself is outside the job; completions come back as a table."""
     d = attached if attached is not None else src
     cue_list = F.filter(F.array(*[cue_of(normalize_label(e), to_num(i).cast("int")) for e, i in SLOTS]), lambda c: c.isNotNull())
     cues_desc = F.when(F.size(cue_list) > 0, F.array_join(cue_list, " and ")).otherwise(F.lit("mixed feelings"))
-    exs = F.coalesce(F.col("examples"), F.array().cast("array<string>")) if "examples" in d.columns \
+    exs = F.coalesce(F.col("prompt_examples"), F.array().cast("array<string>")) if "prompt_examples" in d.columns \
         else F.array().cast("array<string>")
     block = "|".join(EXAMPLE_BLOCK_WORDS)
     clean = F.filter(exs, lambda x: ~x.contains("*") & ~F.lower(x).rlike(block))
     # de-duplicate on the normalised text, first occurrence kept
     norm = F.transform(clean, lambda x: F.lower(F.trim(x)))
     uniq = F.filter(clean, lambda x, i: F.array_position(norm, F.lower(F.trim(x))) == i + 1)
-    chosen = F.slice(uniq, 1, max_examples)
+    d = d.withColumn("__uniq", uniq)
+    drawn = F.array_sort(F.transform("__uniq", lambda x: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), x)).alias("k"), x.alias("x"))))
+    chosen = F.when(F.size("__uniq") > max_examples, F.slice(F.transform(drawn, lambda s: s["x"]), 1, max_examples)).otherwise(F.col("__uniq"))
     ex_str = F.when(F.size(chosen) > 0, F.array_join(F.transform(chosen, lambda x: F.concat(F.lit("- "), x)), "\n")) \
         .otherwise(F.lit("(no clean examples available)"))
     tl = F.coalesce(F.col("avg_length"), F.lit(50.0)).cast("int") if "avg_length" in d.columns else F.lit(50)

@@ -170,6 +170,24 @@ def stratified_split(df: DataFrame, by: str, id_col: str, frac: float = 0.2, see
                .drop("__test", "__rank_draw"))
 
 
+def plain_split(df: DataFrame, id_col: str, frac: float = 0.2, seed: int = 42) -> DataFrame:
+    """M1 without strata: ``round(frac * N)`` rows of the lowest draws are the test part."""
+    def quota(counts: DataFrame) -> DataFrame:
+        return counts.withColumn("__quota", F.round(F.col("__n") * frac).cast("long"))
+
+    out = lowest_by_draw(df.withColumn("__all", F.lit(1)), ["__all"], quota, draw_long(seed, id_col, "split"), tie=id_col, flag="__test")
+    return out.withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).drop("__test", "__rank_draw", "__all")
+
+
+def split(df: DataFrame, by: str, id_col: str, frac: float = 0.2, seed: int = 42) -> DataFrame:
+    """M1 with its fallback: stratified, unless that is impossible — a stratum of one row, or fewer
+    test or training rows than strata — and then plain."""
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("strata")).first()
+    test = round(frac * (counts["n"] or 0))
+    possible = counts["least"] is not None and counts["least"] > 1 and counts["strata"] <= min(test, counts["n"] - test)
+    return stratified_split(df, by, id_col, frac, seed) if possible else plain_split(df, id_col, frac, seed)
+
+
 # ---------------------------------------------------------------- M2 / M3
 def class_weights(df: DataFrame, label: str, classes: list) -> DataFrame:
     """M2: balanced weights n / (k * count_c) over the given classes; a class

@@ -258,6 +258,11 @@ def presence_rates(parsed: DataFrame, vocab: list[str], prefix: str = "em__") ->
 
 
 # ---------------------------------------------------------------- A18
+def head(df: DataFrame, *order: str, n: int = 5) -> DataFrame:
+    """A18's head: the first ``n`` rows by ``order``, then by all other columns (a table has no order of its own).  Every task keeps n rows."""
+    return df.orderBy(*order, *[c for c in df.columns if c not in order]).limit(n)
+
+
 def profile(df: DataFrame, numeric: list[str] | None = None) -> DataFrame:
     """Long-form table profile — row/column counts, nulls per column and
     ``describe`` statistics (count, mean, std, min, exact quartiles with

@@ -125,6 +125,12 @@ def group_stats(df: DataFrame, by: str, x: str) -> DataFrame:
         F.var_samp(x).alias("var"), F.var_pop(x).alias("var_pop"))
 
 
+def correlation_wide(corr: DataFrame, cols=("precision", "recall", METRIC)) -> DataFrame:
+    """X2 as a matrix: one row and one column for each metric."""
+    return (corr.groupBy(F.col("metric_a").alias("metric")).agg(*[F.max(F.when(F.col("metric_b") == c, F.col("corr"))).alias(c) for c in cols])
+            .orderBy(F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("metric"))))
+
+
 # ---------------------------------------------------------------- X5
 def anova_from_stats(stats: DataFrame) -> DataFrame:
     """One-way ANOVA from per-group (n, mean, var): F, dof, p, significant.

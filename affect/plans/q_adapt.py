@@ -107,7 +107,7 @@ def _patterns(spark, sf):
     keys = recs.select("emotion", "intensity", "sentiment").distinct()
     # looked up by whole intensity: 1.5 has no examples, and every key one row
     keys = keys.where(F.col("intensity") == F.col("intensity").cast("int"))
-    ex = (T.examples(tgt, keys, k=2, seed=7).groupBy("emotion", "intensity", "sentiment")
+    ex = (T.examples(tgt, keys, k=3, seed=7).groupBy("emotion", "intensity", "sentiment")
           .agg(F.array_sort(F.collect_list(F.struct("__rank_draw", "text"))).alias("__l"))
           .select("emotion", F.col("intensity").cast("int").alias("intensity"), "sentiment",
                   F.transform("__l", lambda x: x["text"]).alias("texts")))
@@ -429,7 +429,7 @@ _SLOT_SEL = " UNION ALL ".join(
     f"THEN CAST(trunc({S.to_num(i)}) AS INTEGER) END AS i FROM fs" for k, (e, i) in enumerate(L.SLOTS))
 _WSR = f"regexp_split_to_array(t, '{_W}+')"
 O["d6_attach_patterns"] = SRC + style_ctes(_TW, "p_") + intensifier_ctes(_TW, False, "eo_") + \
-    intensifier_ctes(_TW, True, "ia_") + example_ctes("p_rec", 2, 7, "ex_") + f""",
+    intensifier_ctes(_TW, True, "ia_") + example_ctes("p_rec", 3, 7, "ex_") + f""",
 fs AS (SELECT *, coalesce(lower(sentiment), 'negative') AS sent FROM rk WHERE keep_rare),
 sl0 AS ({_SLOT_SEL}),
 emp AS (SELECT utt_id, bool_and(e IS NULL) AS empty FROM sl0 GROUP BY utt_id),
@@ -463,7 +463,7 @@ att AS (SELECT mg.utt_id,
  CASE WHEN len(matched) > 0 THEN list_sum(list_transform(matched, lambda x: x.al)) / len(matched)
    WHEN len(exs) > 0 THEN list_sum(list_transform(exs, lambda t: len(list_filter({_WSR}, lambda w: w <> '')))) / len(exs)
    ELSE 50.0 END AS avg_length,
- ints[1:15] AS intensifiers, exs[1:6] AS examples
+ ints[1:15] AS intensifiers, exs[1:6] AS examples, exs AS prompt_examples
 FROM mg LEFT JOIN cw USING (utt_id))
 """
 _D6_ATT = O["d6_attach_patterns"]
@@ -577,15 +577,16 @@ FROM g1"""
 _BLOCK = "|".join(D.EXAMPLE_BLOCK_WORDS)
 O["d9_build_prompts"] = _D6_ATT + f""",
 cue(emotion, intensity, cue) AS (VALUES {_CUES}),
-q0 AS (SELECT fs.utt_id, fs.utterance, fs.sentiment, att.examples AS exs, att.avg_length, """ + ", ".join(
+q0 AS (SELECT fs.utt_id, fs.utterance, fs.sentiment, att.prompt_examples AS exs, att.avg_length, """ + ", ".join(
     f"(SELECT cue FROM cue WHERE cue.emotion = {S.lenient(e)} AND cue.intensity = {S.trunc_int(i)}) AS c{k}"
     for k, (e, i) in enumerate(L.SLOTS)) + f""" FROM fs JOIN att USING (utt_id)),
 q1 AS (SELECT *, list_filter([c0, c1, c2], lambda x: x IS NOT NULL) AS cl,
   list_filter(exs, lambda x: NOT contains(x, '*') AND NOT regexp_matches(lower(x), '{_BLOCK}')) AS cln FROM q0),
 q2 AS (SELECT *, list_transform(cln, lambda x: lower(trim(x))) AS nrm FROM q1),
-q3 AS (SELECT *, list_filter(cln, lambda x, i: list_position(nrm, lower(trim(x))) = i)[1:4] AS chosen,
+qu AS (SELECT *, list_filter(cln, lambda x, i: list_position(nrm, lower(trim(x))) = i) AS uq FROM q2),
+q3 AS (SELECT *, CASE WHEN len(uq) > 4 THEN list_transform(list_sort(list_transform(uq, lambda x: {{'k': md5(concat_ws(':', '7', CAST(utt_id AS VARCHAR), x)), 'x': x}})), lambda s: s.x)[1:4] ELSE uq END AS chosen,
   CAST(trunc(coalesce(avg_length, 50.0)) AS INTEGER) AS tl,
-  CASE WHEN len(cl) > 0 THEN array_to_string(cl, ' and ') ELSE 'mixed feelings' END AS cues FROM q2)
+  CASE WHEN len(cl) > 0 THEN array_to_string(cl, ' and ') ELSE 'mixed feelings' END AS cues FROM qu)
 SELECT utt_id, cues, tl AS target_len, CAST(len(chosen) AS INTEGER) AS n_examples,
  'Rewrite this message as someone talking to a therapist. Show their emotional state through what they describe, not by naming emotions.' || chr(10) || chr(10) ||
  'Original: "' || utterance || '"' || chr(10) || chr(10) || 'Their state: ' || cues || chr(10) || chr(10) ||

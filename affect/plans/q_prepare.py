@@ -124,6 +124,17 @@ ranked AS (SELECT p.doc_id, p.sentiment_code, q.quota, row_number() OVER (PARTIT
 SELECT doc_id, sentiment_code, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS split FROM ranked"""
 
 
+def _m1_fallback(spark, sf):
+    """Strata by text length, of which some have one row: the split cannot be stratified."""
+    df = _loaded(spark, sf).withColumn("stratum", F.length("text"))
+    return M.split(df, by="stratum", id_col="doc_id").select("doc_id", "split")
+
+
+Q["m1_split_fallback"] = _m1_fallback
+O["m1_split_fallback"] = LOADED + f"""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {draw_long_sql(42, 'doc_id', 'split')}, doc_id)
+  <= round((SELECT count(*) FROM p) * 0.2) THEN 'test' ELSE 'train' END AS split FROM p"""
+
+
 def _m2(spark, sf):
     split = M.stratified_split(_loaded(spark, sf), by="sentiment_code", id_col="doc_id", frac=0.2, seed=42)
     w = M.class_weights(split.where(F.col("split") == "train"), "sentiment_code", [0, 1, 2])
@@ -186,6 +197,8 @@ _NUM = ["run_id", "precision", "recall", "f1_score", "support"]
 _ALLC = ["run_id", "architecture", "encoder", "emotion", "precision", "recall", "f1_score", "support"]
 Q["a18_profile"] = lambda spark, sf: P.profile(view(spark, "results", sf), _NUM)
 _RS = cte("results")
+Q["a18_head"] = lambda spark, sf: P.head(view(spark, "results", sf), "run_id")
+O["a18_head"] = _RS + "SELECT * FROM results ORDER BY run_id, architecture, encoder, emotion, precision, recall, f1_score, support LIMIT 5"
 _parts = ["SELECT '__table__' AS \"column\", 'rows' AS statistic, CAST(count(*) AS DOUBLE) AS value FROM results",
           f"SELECT '__table__', 'columns', {float(len(_ALLC))} FROM results LIMIT 1"]
 _parts += [f"SELECT '{c}', 'nulls', CAST(count_if({c} IS NULL) AS DOUBLE) FROM results" for c in _ALLC]

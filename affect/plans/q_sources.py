@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from affect.operators import evaluate as E
 from affect.operators import labels as L
+from affect.operators.prepare import resolve_text_column
 from affect.plans.q_evaluate import report_sql
 from affect.sources import io as IO
 from affect.sources import reports as RP
@@ -49,6 +50,23 @@ O["s2_drop_malformed"] = cte("labels_raw") + """SELECT doc_id, sentiment, CAST(i
 FROM labels_raw WHERE regexp_full_match(intensity__joy, '-?[0-9]+')"""
 
 
+# ---------------------------------------------------------------- S9
+def _text_columns(spark, sf):
+    """The text column of each view, found by name, and how many rows have text in it."""
+    rows = None
+    for name in ("utterances", "labels_raw", "completions"):
+        df = view(spark, name, sf)
+        found = resolve_text_column(df.columns, fallback="first")
+        part = df.agg(F.count(found).alias("with_text")).select(F.lit(name).alias("view"), F.lit(found).alias("text_column"), "with_text")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+Q["s9_text_column"] = _text_columns
+O["s9_text_column"] = cte("utterances", "labels_raw", "completions") + """SELECT 'utterances' AS view, 'utterance' AS text_column, count(utterance) AS with_text FROM utterances
+UNION ALL SELECT 'labels_raw', 'augmented', count(augmented) FROM labels_raw UNION ALL SELECT 'completions', 'utt_id', count(utt_id) FROM completions"""
+
+
 # ---------------------------------------------------------------- S4 / S6
 def _history_roundtrip(spark, sf):
     ep = E.epoch_loss(view(spark, "history", sf)).drop("batches")

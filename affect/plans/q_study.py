@@ -44,6 +44,11 @@ O["x2_correlation_matrix"] = R + "SELECT * FROM (" + " UNION ALL ".join(
     for a in _M for b in _M) + ")"
 
 
+Q["x2_correlation_wide"] = lambda spark, sf: _r6(X.correlation_wide(X.correlation_matrix(_res(spark, sf))))
+O["x2_correlation_wide"] = R + " UNION ALL ".join(
+    f"SELECT '{a}' AS metric, " + ", ".join("1.0::DOUBLE AS " + b if a == b else f"round(corr({a}, {b}), 6) AS {b}" for b in _M) + " FROM results" for a in _M)
+
+
 def _stats_sql(src: str, by: str, x: str) -> str:
     return f"SELECT {by}, count({x}) AS n, avg({x}) AS mean, var_samp({x}) AS var, var_pop({x}) AS var_pop FROM {src} GROUP BY {by}"
 
