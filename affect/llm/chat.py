@@ -5,17 +5,14 @@ speaker as the assistant and all others as named users; the loss mask covers
 what the assistant says (and the end mark that it must learn to give).  The
 role ``system`` is an instruction, not a participant.
 
-Dialogues are rendered in segments, the length of a training context, so that
-no row grows with the longest dialogue and one that holds a third of all rows is
-dealt to many tasks.  ``dialogues`` renders them whole: its segments are
-``SEGMENT`` turns each, and every participant of the dialogue gets a row for every
-segment.  ``perspectives`` cuts by turn numbers: a participant gets a row only for
-the ``SEGMENT`` turn numbers in which it speaks, without the other segments' turns.
-
-Cases: turns are ordered by number, then role, then text (nulls last); for
-``perspectives`` rows without a turn number form a segment of their own (-1); a null role is the
+Dialogues are rendered whole, in segments of ``SEGMENT`` turns, the length of a
+training context, so that no row grows with the longest dialogue and one that holds
+a third of all rows is dealt to many tasks: every participant of the dialogue
+gets a row for every segment.
+
+Cases: turns are ordered by number (turns without one come last), then role, then text; a null role is the
 speaker ``unknown``; a null text is empty; a repeated row is a turn like any
-other; rows without a dialogue id belong to no dialogue and are left out; a
+other; a very long text stands whole in its segment; other columns are not read; rows without a dialogue id belong to no dialogue and are left out; a
 dialogue of system turns only has no participant and no row.  ``<|`` in texts is
 written ``< |``, so that no text can give a mark.
 """
@@ -32,20 +29,10 @@ SEGMENT = 512
 START, END, SYSTEM, UNKNOWN = "<|im_start|>", "<|im_end|>", "system", "unknown"
 
 
-def perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", segment: int = SEGMENT) -> DataFrame:
-    """``conv_id, segment, speaker, n_messages, n_assistant, rendered, mask``:
-    ``mask`` are the code point spans of ``rendered`` (end exclusive) that count
-    for the loss.  One shuffle by dialogue and segment."""
-    message = F.struct(F.col(turn).isNull().alias("no_turn"), F.col(turn).alias("turn"), F.coalesce(role, F.lit(UNKNOWN)).alias("role"),
-                       F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"))
-    rows = turns.where(F.col(conv_id).isNotNull()).select(
-        F.col(conv_id).alias("conv_id"), F.coalesce(F.floor(F.col(turn) / segment).cast("bigint"), F.lit(-1).cast("bigint")).alias("segment"), message.alias("m"))
-    return _rendered(_spoken(rows))
-
-
 def dialogues(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", segment: int = SEGMENT) -> DataFrame:
-    """The columns of ``perspectives`` for whole dialogues: a row for every
-    participant of the dialogue and every segment, whoever speaks in it.
+    """``conv_id, segment, speaker, n_messages, n_assistant, rendered, mask``: a row for every
+    participant of the dialogue and every segment, whoever speaks in it; ``mask`` are the code
+    point spans of ``rendered`` (end exclusive) that count for the loss.
 
     A segment is ``segment`` turns by their place in the dialogue (turns without
     a number come last), whatever their numbers.  Before the turns of a later segment stand the system turns of the earlier ones, each text once

@@ -61,20 +61,25 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q["op2_chat"] = op2_chat
 O["op2_chat"] = r"""
 WITH turns AS (
-  SELECT conv_id, coalesce(CAST(floor(turn / 512) AS BIGINT), -1) AS segment, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
-  FROM conversations WHERE conv_id IS NOT NULL),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn NULLS LAST, role, text) AS i FROM turns),
-speakers AS (SELECT DISTINCT conv_id, segment, role AS speaker FROM turns WHERE role <> 'system'),
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, (number // 512) AS segment FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1 AS number FROM turns)),
+segments AS (SELECT DISTINCT conv_id, segment FROM placed),
+instructions AS (SELECT conv_id, text, min(number) AS number, min(segment) AS since FROM placed WHERE role = 'system' GROUP BY conv_id, text),
+said AS (
+  SELECT conv_id, segment, number, role, text FROM placed
+  UNION ALL SELECT s.conv_id, s.segment, f.number, 'system', f.text FROM segments s JOIN instructions f ON f.conv_id = s.conv_id AND f.since < s.segment),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, segment ORDER BY number) AS i FROM said),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'),
 parts AS (
   SELECT conv_id, segment, speaker, i, role = speaker AS own,
          '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head, text || '<|im_end|>' AS body
-  FROM numbered JOIN speakers USING (conv_id, segment)),
-placed AS (
+  FROM ordered JOIN speakers USING (conv_id)),
+begun AS (
   SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, segment, speaker ORDER BY i) - length(body) - 1 AS begin FROM parts)
 SELECT conv_id, segment, speaker, CAST(count(*) AS BIGINT) AS n_messages, CAST(count(*) FILTER (WHERE own) AS BIGINT) AS n_assistant,
        string_agg(head || body || chr(10), '' ORDER BY i) AS rendered,
-       string_agg(CAST(begin AS BIGINT) || ':' || CAST(begin + length(body) AS BIGINT), ',' ORDER BY i) FILTER (WHERE own) AS mask
-FROM placed GROUP BY conv_id, segment, speaker
+       coalesce(string_agg(CAST(begin AS BIGINT) || ':' || CAST(begin + length(body) AS BIGINT), ',' ORDER BY i) FILTER (WHERE own), '') AS mask
+FROM begun GROUP BY conv_id, segment, speaker
 """
 
 
