@@ -40,6 +40,8 @@ LEARNED = 500_000
 CANDIDATE = 12
 #: A candidate is reported if its log likelihood ratio per character is over this.
 MARGIN = 0.5
+#: Characters that credentials are made of.
+CHARACTERS = 68
 ALPHA = 0.05
 ORDINARY = ("lower", "upper", "digits", "mixed")
 KINDS = ("assign", "access", "hex", "format")
@@ -139,8 +141,9 @@ def _fold(p: State, q: State) -> None:
                 p.taken[c], p.next[c] = q.taken[c], y
 
 
-def infer(values: list[str], alpha: float = ALPHA) -> list[tuple[float, dict[str, tuple[float, int]]]]:
-    """States of the automaton, the first one first: log probability of ending, and for each character log probability and next state."""
+def infer(values: list[str], alpha: float = ALPHA) -> list[tuple[float, dict[str, tuple[float, int]], float]]:
+    """States of the automaton, the first one first: log probability of ending, for each character log probability
+    and next state, and log probability of each character that was never seen there (one visit's share for all of them)."""
     root = prefix_tree(sorted(values))
     red, number = [root], {id(root): 0}
     while True:
@@ -160,17 +163,18 @@ def infer(values: list[str], alpha: float = ALPHA) -> list[tuple[float, dict[str
     out = []
     for s in red:
         total = s.count + 1.0  # one count is left for what was never seen
-        out.append((math.log((s.end + 1e-3) / total), {c: (math.log(s.taken[c] / total), number[id(t)]) for c, t in s.next.items()}))
+        out.append((math.log((s.end + 1e-3) / total), {c: (math.log(s.taken[c] / total), number[id(t)]) for c, t in s.next.items()},
+                    math.log(0.999 / total / max(1, CHARACTERS - len(s.next)))))
     return out
 
 
 def log_likelihood(automaton: list, value: str) -> float:
-    """Of the value and its end; a character that the state has never seen costs a fixed share and starts anew."""
+    """Of the value and its end; a character that the state has never seen has its share of what is left and starts anew."""
     state, total = 0, 0.0
     for c in value:
         step = automaton[state][1].get(c)
         if step is None:
-            total, state = total - 9.0, 0
+            total, state = total + automaton[state][2], 0
         else:
             total, state = total + step[0], step[1]
     return total + max(automaton[state][0], -9.0)

@@ -25,7 +25,7 @@ def two_state_source(r, n):
 def test_a_two_state_source_is_recovered():
     automaton = secrets.infer(two_state_source(random.Random(1), 4000))
     assert len(automaton) == 2
-    (end0, go0), (end1, go1) = automaton
+    (end0, go0, _), (end1, go1, _) = automaton
     want = [(end0, 0.1), (go0["a"][0], 0.7), (go0["b"][0], 0.2), (end1, 0.1), (go1["b"][0], 0.6), (go1["a"][0], 0.3)]
     assert all(abs(math.exp(x) - p) < 0.02 for x, p in want)
     assert [go0["a"][1], go0["b"][1], go1["b"][1], go1["a"][1]] == [0, 1, 1, 0]
@@ -36,7 +36,7 @@ def test_edges_have_their_own_frequencies():
     values = ["".join(r.choices("ab", (9, 1), k=20)) for _ in range(1000)]
     automaton = secrets.infer(values)
     share = sum(v.count("a") for v in values) / 20_000
-    for _, go in automaton:  # a state that has seen much goes on as the source does
+    for _, go, _ in automaton:  # a state that has seen much goes on as the source does
         if len(go) == 2:
             assert abs(math.exp(go["a"][0]) - share) < 0.08
 
@@ -101,7 +101,8 @@ def plain_infer(values, alpha):
     out = []
     for p in red:
         n, e, go = stats(block[p])
-        out.append((math.log((e + 1e-3) / (n + 1)), {c: (math.log(t / (n + 1)), next(i for i, q in enumerate(red) if block[q] == after(block[p], c))) for c, t in go.items()}))
+        out.append((math.log((e + 1e-3) / (n + 1)), {c: (math.log(t / (n + 1)), next(i for i, q in enumerate(red) if block[q] == after(block[p], c))) for c, t in go.items()},
+                    math.log(0.999 / (n + 1) / (68 - len(go)))))
     return out
 
 
@@ -110,11 +111,11 @@ def test_merges_agree_with_a_plain_version(values):
     for alpha in (0.05, 0.5, 0.9):
         got, want = secrets.infer(values, alpha), plain_infer(values, alpha)
         assert len(got) == len(want)
-        for (e, go), (f, to) in zip(got, want):
-            assert abs(e - f) < 1e-12 and {c: t for c, (_, t) in go.items()} == {c: t for c, (_, t) in to.items()}
+        for (e, go, left), (f, to, rest) in zip(got, want):
+            assert abs(e - f) < 1e-12 and abs(left - rest) < 1e-12 and {c: t for c, (_, t) in go.items()} == {c: t for c, (_, t) in to.items()}
             assert all(abs(go[c][0] - to[c][0]) < 1e-12 for c in go)
             mass = math.exp(e) + sum(math.exp(x) for x, _ in go.values())
-            assert 0.5 <= mass < 1
+            assert 0.5 <= mass < 1 and abs(mass + (68 - len(go)) * math.exp(left) - 1) < 1e-9  # with what is left for the unseen, all of it
 
 
 def test_format_spans_where_values_are_many(spark):
