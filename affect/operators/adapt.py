@@ -18,6 +18,7 @@ from affect.functions.clean import WS_CLASS, normalize_label, to_num, word_count
 from affect.operators.labels import SLOTS, explode_slots, vocabulary
 from affect.session import materialize
 
+# What a bundle without mined patterns gets.
 DEFAULT_INTENSIFIERS = ["very", "really", "so", "quite", "extremely"]
 DEFAULT_STARTERS = ["i", "it", "that", "this", "my", "the"]
 

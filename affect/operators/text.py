@@ -40,7 +40,12 @@ INTENSIFIERS = ["very", "really", "so", "extremely", "absolutely", "completely",
                 "especially", "quite", "rather", "fairly", "pretty", "somewhat",
                 "constantly", "always", "never", "forever", "endlessly",
                 "utterly", "purely", "entirely", "wholly", "fully"]
-INTENSITY_INTENSIFIERS = INTENSIFIERS + ["barely", "slightly", "moderately", "considerably"]
+INTENSITY_INTENSIFIERS = ["very", "really", "so", "extremely", "absolutely", "completely",
+                          "totally", "deeply", "highly", "incredibly", "particularly",
+                          "especially", "quite", "rather", "fairly", "pretty", "somewhat",
+                          "constantly", "always", "never", "forever", "endlessly",
+                          "utterly", "purely", "entirely", "wholly", "fully",
+                          "barely", "slightly", "moderately", "considerably"]
 PRONOUNS = ["i", "me", "my", "myself", "we", "us", "our"]
 
 WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"      # = \b\w\w+\b (runs of >= 2 word chars)
