@@ -23,3 +23,13 @@ def test_completion_is_cleaned_once(spark):
     out = rows.withColumn("out", RW.gate_completion("completion", "original"))
     assert [r["out"] for r in out.collect()] == TAKEN
     assert _plan(out.repartition(2)).count("In this rewritten") == 1
+
+
+def test_banned_words_are_sought_in_one_lowered_text(spark):
+    texts = ["fine words", "Please NOTE that", "so (Intensity 2)", "ab", "a *b", None, " *SIGH* well "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    valid = rows.withColumn("v", RW.is_valid_output("t"))
+    assert {r["t"]: r["v"] for r in valid.collect()} == dict(zip(texts, [True, False, False, False, False, False, False]))
+    named = rows.withColumn("v", RW.contains_label_words("t"))
+    for df in (valid, named, rows.withColumn("v", RW.clean_completion("t"))):
+        assert "contains(lower(" not in _plan(df).lower()
