@@ -33,3 +33,18 @@ def test_banned_words_are_sought_in_one_lowered_text(spark):
     named = rows.withColumn("v", RW.contains_label_words("t"))
     for df in (valid, named, rows.withColumn("v", RW.clean_completion("t"))):
         assert "contains(lower(" not in _plan(df).lower()
+
+
+def test_inspection_derives_only_what_it_shows(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def rewritten(i):
+        seen.add(1)
+        return f"text {i}"
+
+    rows = spark.range(1000).select(F.col("id").alias("utt_id"), rewritten("id").alias("augmented"))
+    got = [r["utt_id"] for r in B.inspect(rows, 10, "utt_id").collect()]
+    draws = spark.range(1000).select("id", B.draw_long(42, "id", "inspect").alias("d")).orderBy("d", "id").limit(10)
+    assert sorted(got) == sorted(r["id"] for r in draws.collect())
+    assert seen.value < 100
