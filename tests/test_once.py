@@ -48,3 +48,14 @@ def test_inspection_derives_only_what_it_shows(spark):
     draws = spark.range(1000).select("id", B.draw_long(42, "id", "inspect").alias("d")).orderBy("d", "id").limit(10)
     assert sorted(got) == sorted(r["id"] for r in draws.collect())
     assert seen.value < 100
+
+
+def test_class_weights_move_no_rows(spark):
+    labels = [0] * 6 + [1] * 3 + [2] + [None] * 2
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(labels)], "i int, c int").localCheckpoint()
+    w = BL._weighted(rows, "c", [0, 1, 2])
+    assert w.columns == ["i", "c", "__w"] or set(w.columns) == {"i", "c", "__w"}
+    n = len(labels)
+    assert sorted((r["i"], round(r["__w"], 9)) for r in w.collect()) == [
+        (i, round(n / (3 * labels.count(c)), 9) if c is not None else 1.0) for i, c in enumerate(labels)]
+    assert "Join" not in _plan(w)
